@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def bspline(u: Column, order: int) -> Column:
         return F.when((u >= 0) & (u < 1), 1.0).otherwise(0.0)
     total = F.lit(0.0)
     for k in range(order + 1):
-        total = total + F.lit((-1.0) ** k * math.comb(order, k)) * F.pow(F.greatest(u - k, F.lit(0.0)), F.lit(float(order - 1)))
+        base = F.greatest(u - k, F.lit(0.0))
+        total = total + F.lit((-1.0) ** k * math.comb(order, k)) * reduce(lambda x, _: x * base, range(order - 2), base)
     return F.when((u > 0) & (u < order), total / math.factorial(order - 1)).otherwise(0.0)
 
 

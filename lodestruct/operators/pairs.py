@@ -187,22 +187,33 @@ def slab_correction(ss: StructureSet, charge: str = "q") -> DataFrame:
 # ---- mesh
 
 
+def _axis_point(low: Column, t: Column, n: int, order: int):
+    """Of the o-th grid point below an atom along an axis: its number, the weight, the weight's slope."""
+
+    def point(o: Column) -> Column:
+        slope = bspline_slope(t + o, order) * n if order > 1 else F.lit(0.0)
+        return F.struct(F.pmod(low - o, F.lit(n)).cast("int").alias("g"), bspline(t + o, order).alias("w"), slope.alias("s"))
+
+    return point
+
+
 def mesh_points(ss: StructureSet, dims: Sequence[int], order: int, columns: Sequence[str] = ()) -> DataFrame:
     """Atoms times the order^3 grid points they reach: gx, gy, gz, weight, and the weight's slope along each fractional axis (sa, sb, sc)."""
     s = ss.systems.select("system_id", cell_inverse(F.col("cell")).alias("inv"))
     a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns).join(s, "system_id")
     f = to_fractional(vec(POSITION), elements(F.col("inv")))
     a = a.withColumns({f"u{k}": f[k] * dims[k] for k in range(3)})
-    for k in range(3):
-        a = a.withColumn(f"o{k}", F.explode(F.sequence(F.lit(0), F.lit(order - 1))))
-    out = {}
     for k, n in enumerate("xyz"):
         low = F.floor(F.col(f"u{k}"))
-        t = F.col(f"u{k}") - low + F.col(f"o{k}")
-        out |= {f"g{n}": F.pmod(low - F.col(f"o{k}"), F.lit(dims[k])).cast("int"), f"w{k}": bspline(t, order), f"s{k}": bspline_slope(t, order) * dims[k] if order > 1 else F.lit(0.0)}
-    a = a.withColumns(out)
-    w = [F.col(f"w{k}") for k in range(3)]
-    return a.withColumns({"weight": w[0] * w[1] * w[2], "sa": F.col("s0") * w[1] * w[2], "sb": w[0] * F.col("s1") * w[2], "sc": w[0] * w[1] * F.col("s2")}).select("system_id", "atom_id", *columns, "inv", "gx", "gy", "gz", "weight", "sa", "sb", "sc")
+        t = F.col(f"u{k}") - low
+        a = a.withColumn(f"p{n}", F.transform(F.sequence(F.lit(0), F.lit(order - 1)), _axis_point(low, t, dims[k], order)))
+    for n in "xyz":  # splines are evaluated once for each axis of an atom, before its points are listed
+        a = a.withColumn(f"p{n}", F.explode(f"p{n}"))
+    g, w, s_ = ([F.col(f"p{n}.{part}") for n in "xyz"] for part in "gws")
+    return a.select(
+        "system_id", "atom_id", *columns, "inv", *[c.alias(f"g{n}") for c, n in zip(g, "xyz")],
+        (w[0] * w[1] * w[2]).alias("weight"), (s_[0] * w[1] * w[2]).alias("sa"), (w[0] * s_[1] * w[2]).alias("sb"), (w[0] * w[1] * s_[2]).alias("sc"),
+    )
 
 
 def spread(ss: StructureSet, dims: Sequence[int], order: int = 4, channels: Sequence[str] = ("q",)) -> DataFrame:

@@ -1,9 +1,38 @@
-"""Registered queries over the structure views, and their SQL."""
+"""Registered queries over the structure views, and their SQL where SQL can express them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import re
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with SQL that gives the same rows; what that rounds is made free of negative zeros."""
+
+    def add(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = re.sub(r"(, \d+\)) AS (\w+)", r"\1 + 0.0 AS \2", sql)
+        return fn
+
+    return add
+
+
+def _load() -> None:
+    from . import data, measures, neighbors, pairs, sampling, segments  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
