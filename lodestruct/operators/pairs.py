@@ -187,38 +187,31 @@ def slab_correction(ss: StructureSet, charge: str = "q") -> DataFrame:
 # ---- mesh
 
 
-def _axis_point(low: Column, t: Column, n: int, order: int):
-    """Of the o-th grid point below an atom along an axis: its number, the weight, the weight's slope."""
-
-    def point(o: Column) -> Column:
-        slope = bspline_slope(t + o, order) * n if order > 1 else F.lit(0.0)
-        return F.struct(F.pmod(low - o, F.lit(n)).cast("int").alias("g"), bspline(t + o, order).alias("w"), slope.alias("s"))
-
-    return point
-
-
 def mesh_points(ss: StructureSet, dims: Sequence[int], order: int, columns: Sequence[str] = ()) -> DataFrame:
     """Atoms times the order^3 grid points they reach: gx, gy, gz, weight, and the weight's slope along each fractional axis (sa, sb, sc)."""
     s = ss.systems.select("system_id", cell_inverse(F.col("cell")).alias("inv"))
     a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns).join(s, "system_id")
     f = to_fractional(vec(POSITION), elements(F.col("inv")))
     a = a.withColumns({f"u{k}": f[k] * dims[k] for k in range(3)})
-    for k, n in enumerate("xyz"):
-        low = F.floor(F.col(f"u{k}"))
-        t = F.col(f"u{k}") - low
-        a = a.withColumn(f"p{n}", F.transform(F.sequence(F.lit(0), F.lit(order - 1)), _axis_point(low, t, dims[k], order)))
-    for n in "xyz":  # splines are evaluated once for each axis of an atom, before its points are listed
-        a = a.withColumn(f"p{n}", F.explode(f"p{n}"))
-    g, w, s_ = ([F.col(f"p{n}.{part}") for n in "xyz"] for part in "gws")
+    for k in range(3):
+        a = a.withColumn(f"o{k}", F.explode(F.array(*[F.lit(o) for o in range(order)])))
+    # one step after the other: each value is named before it is used more than once, so no expression is repeated
+    a = a.withColumns({f"t{k}": F.col(f"u{k}") - F.floor(F.col(f"u{k}")) + F.col(f"o{k}") for k in range(3)})
+    splines = {f"w{k}": bspline(F.col(f"t{k}"), order) for k in range(3)}
+    slopes = {f"s{k}": bspline_slope(F.col(f"t{k}"), order) * dims[k] if order > 1 else F.lit(0.0) for k in range(3)}
+    a = a.withColumns(splines | slopes)
+    w, s_ = ([F.col(f"{c}{k}") for k in range(3)] for c in "ws")
+    point = [F.pmod(F.floor(F.col(f"u{k}")) - F.col(f"o{k}"), F.lit(dims[k])).cast("int").alias(f"g{n}") for k, n in enumerate("xyz")]
     return a.select(
-        "system_id", "atom_id", *columns, "inv", *[c.alias(f"g{n}") for c, n in zip(g, "xyz")],
+        "system_id", "atom_id", *columns, "inv", *point,
         (w[0] * w[1] * w[2]).alias("weight"), (s_[0] * w[1] * w[2]).alias("sa"), (w[0] * s_[1] * w[2]).alias("sb"), (w[0] * w[1] * s_[2]).alias("sc"),
     )
 
 
 def spread(ss: StructureSet, dims: Sequence[int], order: int = 4, channels: Sequence[str] = ("q",)) -> DataFrame:
     """Values of atoms on a periodic grid: (system_id, gx, gy, gz, one column per channel), points that get nothing left out."""
-    return mesh_points(ss, dims, order, channels).filter("weight <> 0").groupBy("system_id", "gx", "gy", "gz").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in channels])
+    m = mesh_points(ss, dims, order, channels).groupBy("system_id", "gx", "gy", "gz").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in channels], F.max("weight").alias("_w"))
+    return m.filter("_w > 0").drop("_w")
 
 
 def gather(mesh: DataFrame, ss: StructureSet, dims: Sequence[int], order: int = 4, channels: Sequence[str] = ("q",), gradient: bool = False) -> DataFrame:
