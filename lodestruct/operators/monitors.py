@@ -13,6 +13,11 @@ from ..structures import FORCE, VELOCITY, StructureSet
 from .metrics import finite
 from .segments import KB
 
+def micros(ts: Column) -> Column:
+    """Microseconds of a timestamp, with or without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 REDUCERS = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum, "norm": lambda c: F.sqrt(F.sum(c * c))}
 
 
@@ -83,7 +88,7 @@ def first_converged(traj: DataFrame, reached: Column) -> DataFrame:
 def stage_timing(events: DataFrame, keys: tuple[str, ...] = ("system_id",)) -> DataFrame:
     """(transition, n, mean, std, min, max, total) of the seconds from one stage to the next; std is that of a sample, 0 for one."""
     w = W.partitionBy(*keys).orderBy("ts")
-    e = events.select(*keys, "stage", "ts", F.lag("stage").over(w).alias("prev"), (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))).alias("us")).filter("prev is not null")
+    e = events.select(*keys, "stage", "ts", F.lag("stage").over(w).alias("prev"), (micros(F.col("ts")) - micros(F.lag("ts").over(w))).alias("us")).filter("prev is not null")
     s = F.col("us") / 1e6
     return e.groupBy(F.concat_ws("->", "prev", "stage").alias("transition")).agg(
         F.count("*").alias("n"), F.avg(s).alias("mean"), F.coalesce(F.nanvl(F.stddev_samp(s), F.lit(0.0)), F.lit(0.0)).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.sum(s).alias("total")
@@ -113,7 +118,7 @@ def scalars(systems: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
 def progress(traj: DataFrame, total_steps: int) -> DataFrame:
     """(step, fraction, rate): how far a run is, and steps a second since its first record."""
     t = traj.groupBy("step").agg(F.max("ts").alias("ts"))
-    last = t.agg(F.max("step").alias("step"), F.min("step").alias("first"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("s"))
+    last = t.agg(F.max("step").alias("step"), F.min("step").alias("first"), ((micros(F.max("ts")) - micros(F.min("ts"))) / 1e6).alias("s"))
     return last.select("step", F.least(F.col("step") / total_steps, F.lit(1.0)).alias("fraction"), F.coalesce(F.try_divide(F.col("step") - F.col("first"), F.col("s")), F.lit(0.0)).alias("rate"))
 
 

@@ -184,7 +184,7 @@ def pack_initial(sizes: DataFrame, budget: tuple[int, int, int], shard_col: str
     adds none; the next batch starts from what is left. Greedy choice is sequential, so shards are packed independently,
     from their (id, size) rows alone; choose shards of bounded size. A system over the budget is an error.
     """
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         waiting = {b: list(g.sort_values("system_id").itertuples(index=False)) for b, g in frame.groupby("bin")}
         out, batch = [], 0
         while any(waiting.values()):
@@ -209,7 +209,7 @@ def pack_initial(sizes: DataFrame, budget: tuple[int, int, int], shard_col: str
 
 def refill(pool: DataFrame, used: DataFrame, budget: tuple[int, int, int], shard_col: str = "shard") -> DataFrame:
     """(shard, system_id): systems of ``pool`` that go into what ``used`` (shard, num_atoms, num_edges, n) leaves of the budget, bins in descending order."""
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         used_ = [int(frame["u_atoms"].iloc[0]), int(frame["u_edges"].iloc[0]), int(frame["u_n"].iloc[0])]
         out = []
         for row in frame.sort_values(["bin", "system_id"], ascending=[False, True]).itertuples(index=False):

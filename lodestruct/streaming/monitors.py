@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitors import converged, observables
+from ..operators.monitors import converged, micros, observables
 from ..operators.sampling import refill
 from ..sources.sinks import Sink
 
@@ -72,7 +72,7 @@ def stage_timing_stream(stream: DataFrame, ttl_ms: int | None = None) -> DataFra
         yield pd.DataFrame(out, columns=["system_id", "transition", "seconds"])
 
     kind = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.select("system_id", "stage", F.unix_micros("ts").alias("us")).groupBy("system_id").applyInPandasWithState(run, "system_id long, transition string, seconds double", "stage string, us long", "append", kind)
+    return stream.select("system_id", "stage", micros(F.col("ts")).alias("us")).groupBy("system_id").applyInPandasWithState(run, "system_id long, transition string, seconds double", "stage string, us long", "append", kind)
 
 
 def log_stream(systems: DataFrame, path: str, checkpoint: str, every: int = 1):
