@@ -67,3 +67,10 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Record
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn labels from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable in Latin-1, else one from 256 on, in order."""
+    printable = {*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]

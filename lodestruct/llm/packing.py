@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batches, materialise, table, values
+from ._common import batches, byte_letters, materialise, table, values
 
 LENGTH, END = 4096, 2
 #: Hashed size of a document vector, dimensions and bits of a dimension of the curve's cube.
@@ -35,26 +36,38 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+LETTERS = byte_letters()
+
+
+class _Pieces(dict):
+    """Ids of pieces as little-endian 32-bit numbers, asked of the tokenizer's model once; ``older`` may know them too."""
+
+    def __init__(self, model, older: dict) -> None:
+        self.model, self.older = model, older
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else "".join([LETTERS[b] for b in piece.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self[piece] = found
+        return found
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; what the tokenizer said of a piece is remembered."""
+    """Ids of texts as little-endian 32-bit numbers; pieces are remembered for the last and the last but one CACHE of them."""
 
     def __init__(self, path: str) -> None:
-        self.tok, self.known = _tokenizer(path), {}
+        self.tok = _tokenizer(path)
+        self.known = _Pieces(self.tok.model, {})
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = PIECES.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
         if len(self.known) > CACHE:
-            self.known = {}
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+            self.known.older = {}
+            self.known = _Pieces(self.tok.model, self.known)
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text.lower())))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
