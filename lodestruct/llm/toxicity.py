@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ HASHED, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6)
 SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 #: Words whose responses are kept in a task, and positions filtered at once; both bound memory.
-CACHE, BLOCK = 60_000, 1 << 15
+CACHE, BLOCK = 300_000, 1 << 15
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Frequent function words by which the language of a text is guessed.
 FUNCTION_WORDS = {
@@ -67,14 +68,14 @@ class Model:
     def _ids(self, words: list[str]) -> np.ndarray:
         """Rows of ``table`` that hold the words' responses to all filters."""
         if self.table is None or len(self.cache) > CACHE:
-            self.cache, self.table = {}, np.zeros((0, len(SLOTS) * FILTERS), np.float32)
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        if new:
-            f = np.array([features(w) for w in new])
+            self.cache, self.table = {}, np.empty((CACHE + 2 * BLOCK, len(SLOTS) * FILTERS), np.float32)
+        cache, start = self.cache, len(self.cache)
+        ids = np.fromiter([cache.setdefault(w, len(cache)) for w in words], np.int64, len(words))
+        if len(cache) > start:
+            f = np.array([features(w) for w in islice(reversed(cache), len(cache) - start)][::-1])
             made = np.concatenate([self.params["E"][f[at : at + 8192]].sum(axis=1) for at in range(0, len(f), 8192)])
-            self.cache |= dict(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, (made @ self.params["W"].reshape(DIM, -1)).astype(np.float32)])
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+            self.table[start : len(cache)] = made @ self.params["W"].reshape(DIM, -1)
+        return ids
 
     def pooled(self, words: list[str]) -> np.ndarray:
         """Greatest response of every filter over all places of the text; no words: no response."""
