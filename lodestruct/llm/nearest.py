@@ -8,12 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import materialise, table
 
 #: Rows of a candidate block and of a query block. A tile holds one of each and their int32-exact products.
 ROWS, QUERIES = 2048, 1024
+#: Independent parts of the work for a query block.
+LANES = 8
 _BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("scales", pa.binary()), ("norms", pa.binary()), ("errors", pa.binary())])
 _BLOCK_SQL = "block long, n int, dim int, ids binary, vectors binary, codes binary, scales binary, norms binary, errors binary"
 
@@ -66,13 +69,13 @@ def _unpack(row: dict, side: str) -> tuple:
     return get("ids", np.int64, n), get("vectors", np.float64, (n, dim)), get("codes", np.int8, (n, dim)), get("scales", np.float64, n), get("norms", np.float64, n), get("errors", np.float64, n)
 
 
-def tile(queries: tuple, rows: tuple, k: int) -> list[tuple[int, int, float]]:
-    """The ``k`` best (query, row, score) of every query in a tile.
+def tile(queries: tuple, rows: tuple, k: int, heaps: list[list[tuple[float, int]]]) -> None:
+    """Puts the ``k`` best (score, -id) of a tile into the queries' heaps.
 
     The int8 product is exact in float32 (at most 127 * 127 * dim < 2**24 up to 1040 dimensions, float64 beyond). It is
     off from the true product by at most |q| * error(x) + error(q) * (|x| + error(x)), and float rounding is added to
-    that. Only pairs whose upper bound reaches the k-th greatest lower bound are computed again in double, one
-    component after the other, so equal vectors score equally.
+    that. Only pairs whose upper bound reaches both the k-th greatest lower bound of the tile and what the heap holds
+    are computed again in double, one component after the other, so equal vectors score equally.
     """
     qi, qv, qc, qs, qn, qe = queries
     ri, rv, rc, rs, rn, re = rows
@@ -83,41 +86,44 @@ def tile(queries: tuple, rows: tuple, k: int) -> list[tuple[int, int, float]]:
     own = qi[:, None] == ri
     low[own], high[own] = -np.inf, -np.inf
     bar = np.partition(low, -k, axis=1)[:, -k] if len(ri) > k else np.full(len(qi), -np.inf)
-    out = []
-    for i in range(len(qi)):
+    bar = np.maximum(bar, [h[0][0] if len(h) == k else -np.inf for h in heaps])
+    for i, heap in enumerate(heaps):
         pick = np.flatnonzero((high[i] >= bar[i]) & ~own[i])
         for at in range(0, len(pick), 4096):
             p = pick[at : at + 4096]
             exact = np.add.accumulate(rv[p] * qv[i], axis=1)[:, -1]
-            best = np.lexsort((ri[p], -exact))[:k]
-            out += [(int(qi[i]), int(ri[p[b]]), float(exact[b])) for b in best]
-    return out
+            for b in np.lexsort((ri[p], -exact))[:k]:
+                item = (float(exact[b]), -int(ri[p[b]]))
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
+                else:
+                    break
 
 
 def _tiles(k: int):
+    """Tiles of one query block follow one another; its heaps are handed on when the next one comes."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, queries, heaps = None, None, []
+
+        def made() -> pa.RecordBatch:
+            rows = [(int(q), -r, s) for q, h in zip(queries[0], heaps) for s, r in h]
+            cols = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
         for batch in it:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                found = tile(_unpack(row, "q"), _unpack(row, "r"), k)
-                cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    return run
-
-
-def _merge(k: int):
-    def run(key, frame):
-        import pandas as pd
-
-        best: list[tuple[float, int]] = []
-        for score, row in zip(frame["score"], -frame["vec_id"]):
-            if len(best) < k:
-                heapq.heappush(best, (score, row))
-            elif (score, row) > best[0]:
-                heapq.heapreplace(best, (score, row))
-        best.sort(reverse=True)
-        return pd.DataFrame({"query_id": [key[0]] * len(best), "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [-r for _, r in best], "score": [s for s, _ in best]})
+                if row["q_block"] != block:
+                    if queries is not None:
+                        yield made()
+                    block, queries = row["q_block"], _unpack(row, "q")
+                    heaps = [[] for _ in queries[0]]
+                tile(queries, _unpack(row, "r"), k, heaps)
+        if queries is not None:
+            yield made()
 
     return run
 
@@ -129,7 +135,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     vector is null, and vectors that are zero or hold null or non-finite components, take no part. Vectors of another
     length than the query's are not its candidates. Repeated ids are different rows. An empty side gives an empty
     result; other columns are not read. Both sides become blocks once; each pair of blocks meets in one row of an
-    equi-join on the query block, so a task holds one tile, and each tile hands on at most ``k`` rows a query.
+    equi-join on the query block and one of LANES lanes. A task goes through the tiles of a lane one by one with a heap
+    for each query, so a lane hands on at most ``k`` rows a query, however many rows there are; these are ranked last.
     """
     def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
         v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -137,13 +144,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     names = [f.name for f in _BLOCK]
     right, left = blocks(vectors, rows, "vector_blocks"), blocks(queries, query_rows, "query_blocks")
-    q = left.select(*[F.col(c).alias(f"q_{c}") for c in names])
+    lanes = F.sequence(F.lit(0), F.lit(LANES - 1))
+    q = left.select(*[F.col(c).alias(f"q_{c}") for c in names], F.explode(lanes).alias("q_lane"))
     # every candidate block is sent to each query block of its length: the list of their numbers is what is joined
     wanted = left.groupBy("dim").agg(F.collect_list("block").alias("wanted")).withColumnRenamed("dim", "w_dim")
-    r = right.join(wanted, right.dim == F.col("w_dim")).select(*[F.col(c).alias(f"r_{c}") for c in names], F.explode("wanted").alias("to"))
-    tiles = r.join(q, F.col("to") == F.col("q_block"))
+    r = right.join(wanted, right.dim == F.col("w_dim")).select(*[F.col(c).alias(f"r_{c}") for c in names], F.explode("wanted").alias("to"), F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int").alias("lane"))
+    tiles = r.join(q, (F.col("to") == F.col("q_block")) & (F.col("lane") == F.col("q_lane"))).sortWithinPartitions("q_block", "q_lane")
     found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    return found.groupBy("query_id").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
