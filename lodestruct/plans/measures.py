@@ -195,9 +195,9 @@ def first_converged(spark, d):
 _STAGE = f"{BASE}, g AS (SELECT system_id, lag(stage) OVER w || '->' || stage AS transition, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s FROM trajectory WINDOW w AS (PARTITION BY system_id ORDER BY ts))"
 
 
-@query(f"{_STAGE} SELECT transition, count(*) AS n, round(avg(s), 4) AS mean, round(coalesce(stddev_samp(s), 0), 4) AS std, round(min(s), 6) AS min, round(max(s), 6) AS max, round(sum(s), 4) AS total FROM g WHERE transition IS NOT NULL GROUP BY ALL")
+@query(f"{_STAGE} SELECT transition, count(*) AS n, round(avg(s), 6) AS mean, round(coalesce(stddev_samp(s), 0), 4) AS std, round(min(s), 6) AS min, round(max(s), 6) AS max, round(sum(s), 6) AS total FROM g WHERE transition IS NOT NULL GROUP BY ALL")
 def stage_timing(spark, d):
-    return rounded(rounded(H.stage_timing(views.trajectory(spark, d)), "mean", "std", "total", digits=4), "min", "max")
+    return rounded(rounded(H.stage_timing(views.trajectory(spark, d)), "std", digits=4), "mean", "min", "max", "total")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
