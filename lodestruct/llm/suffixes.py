@@ -44,6 +44,7 @@ def _windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
+    h >>= np.uint64(16)  # 48 bits are enough to tell grams apart, and two bytes less travel
     least, place = h, np.arange(len(h), dtype=np.int32)
     for n in (1, 2, 4, 8, 16, GRAMS - 32):
         right = least[n:] < least[:-n]
@@ -74,7 +75,7 @@ _CHUNK_SQL = "chunk long, ids binary, keys binary, ends binary, texts binary"
 
 
 def _squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=9)
     for batch in it:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(t) for t in batch.column(3).to_pylist()], pa.binary())], names=["doc_id", "t1", "t2", "z"])
 
@@ -83,7 +84,7 @@ def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    pack, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
 
     def made() -> pa.RecordBatch:
         ids, t1, t2, texts = zip(*held)
@@ -127,10 +128,10 @@ def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- sorted runs
 
 
-def front_code(rows: np.ndarray, docs: np.ndarray, chunks: np.ndarray, places: np.ndarray) -> bytes:
+def front_code(rows: np.ndarray, docs: np.ndarray, chunks: np.ndarray, ords: np.ndarray, places: np.ndarray) -> bytes:
     """A run: keys sorted, equal ones once; of each the length it shares with the key before and the rest; then who has it."""
     order = np.lexsort((docs, np.ascontiguousarray(rows).view(f"V{KEY}").ravel().view(f"S{KEY}")))
-    rows, docs, chunks, places = rows[order], docs[order], chunks[order], places[order]
+    rows, docs, chunks, ords, places = rows[order], docs[order], chunks[order], ords[order], places[order]
     differ = np.ones((len(rows), KEY), bool)
     differ[1:] = rows[1:] != rows[:-1]
     fresh = np.flatnonzero(differ.any(axis=1))
@@ -139,8 +140,12 @@ def front_code(rows: np.ndarray, docs: np.ndarray, chunks: np.ndarray, places: n
     shared[0] = 0
     rest = rows[fresh][np.arange(KEY) >= shared[:, None]]
     count = np.diff(np.r_[fresh, len(rows)]).astype(np.int32)
-    head = np.array([len(fresh), len(rest), len(rows)], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in (head, shared, rest, count, docs, chunks, places)))
+    # documents are listed once: id, chunk, place in the chunk (ids may repeat)
+    _, chunk = np.unique(chunks, return_inverse=True)
+    _, first, doc = np.unique(chunk * (1 << 32) + ords, return_index=True, return_inverse=True)
+    head = np.array([len(fresh), len(rest), len(rows), len(first)], np.int64)
+    parts = (head, docs[first], chunks[first], ords[first], count, doc.astype(np.int32), places.astype(np.int32), shared, rest)
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in parts))
 
 
 class Run:
@@ -148,13 +153,15 @@ class Run:
 
     def __init__(self, packed: bytes) -> None:
         raw = zstandard.ZstdDecompressor().decompress(packed)
-        n, rest, total = np.frombuffer(raw, np.int64, 3)
-        at = 24
-        self.shared = raw[at : at + n]
-        self.rest = raw[at + n : at + n + rest]
-        at += n + rest
+        n, rest, total, known = np.frombuffer(raw, np.int64, 4).tolist()
+        at = 32
+        ids, of, ords = (np.frombuffer(raw, np.int64, known, at + 8 * k * known) for k in range(3))
+        at += 24 * known
         self.count = np.frombuffer(raw, np.int32, n, at)
-        self.docs, self.chunks, self.places = (np.frombuffer(raw, np.int64, total, at + 4 * n + 8 * total * k) for k in range(3))
+        doc, self.places = np.frombuffer(raw, np.int32, total, at + 4 * n), np.frombuffer(raw, np.int32, total, at + 4 * (n + total))
+        self.docs, self.chunks, self.ords = ids[doc], of[doc], ords[doc]
+        at += 4 * (n + 2 * total)
+        self.shared, self.rest = raw[at : at + n], raw[at + n : at + n + rest]
         self.first = np.r_[0, np.cumsum(self.count)]
         self.n, self.i, self.at, self.key = int(n), -1, 0, b""
 
@@ -225,11 +232,11 @@ def _runs(parts: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows, h, docs, chunks, places = (np.concatenate(c) for c in zip(*held))
+            rows, h, docs, chunks, ords, places = (np.concatenate(c) for c in zip(*held))
             part = (h % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(part[own[:1]]), pa.array([front_code(rows[own], docs[own], chunks[own], places[own])], pa.binary())], names=["part", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[own[:1]]), pa.array([front_code(rows[own], docs[own], chunks[own], ords[own], places[own])], pa.binary())], names=["part", "run"])
 
         for batch in it:
             for i in range(batch.num_rows):
@@ -249,7 +256,7 @@ def _runs(parts: int):
                     rows[:, :SPAN][reach] = 0
                     rows[:, SPAN : SPAN + LEFT][np.arange(LEFT)[None] < (LEFT - (a - lo))[:, None]] = 0
                     rows[:, -2], rows[:, -1] = a - hi, a - lo
-                    held.append((rows, h, ids[doc], np.full(len(a), number), a - np.r_[0, ends][doc]))
+                    held.append((rows, h, ids[doc], np.full(len(a), number), doc, a - np.r_[0, ends][doc]))
                     size += len(a)
                 if size >= RUN:
                     yield from flush()
@@ -271,10 +278,10 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(keys[:n]), np.uint8).reshape(-1, KEY)
         text = np.concatenate([rows[:, SPAN : SPAN + LEFT], rows[:, :SPAN]], axis=1)
         least, most = rows[:, -2], rows[:, -1]
-        docs, chunks, places = ([getattr(r, c)[r.first[i] : r.first[i + 1]] for r, i in owners[:n]] for c in ("docs", "chunks", "places"))
+        docs, chunks, ords, places = ([getattr(r, c)[r.first[i] : r.first[i + 1]] for r, i in owners[:n]] for c in ("docs", "chunks", "ords", "places"))
         count = np.array([len(d) for d in docs])
         smallest = np.array([d[0] for d in docs])
-        docs, chunks, places = np.concatenate(docs), np.concatenate(chunks), np.concatenate(places)
+        docs, chunks, ords, places = (np.concatenate(c) for c in (docs, chunks, ords, places))
         entry = np.repeat(np.arange(n), count)
         gone = np.zeros((len(entry), GRAMS + 1), bool)
         for o in range(GRAMS):
@@ -291,7 +298,7 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
         at, begin = np.nonzero(edge == 1)
         at2, stop = np.nonzero(edge == -1)
         assert (at == at2).all()
-        out.append((docs[at], chunks[at], places[at] - (stop - 1), places[at] - begin + SPAN))
+        out.append((chunks[at], ords[at], places[at] - (stop - 1), places[at] - begin + SPAN))
 
     for shared, run, i, k in merge([Run(r) for r in runs.column("run").to_pylist()]):
         if shared < GRAM:
@@ -306,7 +313,7 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
     if keys:
         compare(len(keys))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-    return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "chunk", "lo", "hi"])
+    return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["chunk", "ord", "lo", "hi"])
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +322,10 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, ids, keys, ends, data = _open(batch, i)
             gone: dict[int, list] = {}
             for x in batch.column(5)[i].as_py() or ():
-                gone.setdefault(x["doc_id"], []).append((x["lo"], x["hi"]))
+                gone.setdefault(x["ord"], []).append((x["lo"], x["hi"]))
             rows = []
-            for doc, key, start, end in zip(ids.tolist(), keys.tolist(), np.r_[0, ends[:-1]], ends):
-                text, cuts = data[start:end], np.array(gone.get(doc, []), np.int64).reshape(-1, 2)
+            for k, (doc, key, start, end) in enumerate(zip(ids.tolist(), keys.tolist(), np.r_[0, ends[:-1]], ends)):
+                text, cuts = data[start:end], np.array(gone.get(k, []), np.int64).reshape(-1, 2)
                 depth = np.zeros(len(text) + 1, np.int32)
                 np.add.at(depth, cuts[:, 0], 1)
                 np.add.at(depth, cuts[:, 1], -1)
@@ -333,7 +340,7 @@ def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the different texts that are long enough, and (doc_id, chunk, lo, hi): the bytes of each that repeat a document of smaller id."""
+    """Chunks of the different texts that are long enough, and (chunk, ord, lo, hi): the bytes of the ord-th text of a chunk that repeat a document of smaller id."""
     spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("body")).filter(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN))
     body = body.select("doc_id", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("text"), "body").alias("t2"), "body")
@@ -346,7 +353,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = shared.groupBy("chunk").agg(F.collect_list("h").alias("wanted"))  # at most the anchors of a chunk
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = chunks.join(wanted, "chunk").select("chunk", "ids", "keys", "ends", "texts", "wanted").mapInArrow(_runs(parts), "part long, run binary")
-    found = runs.groupBy("part").applyInArrow(_intervals, "doc_id long, chunk long, lo long, hi long")
+    found = runs.groupBy("part").applyInArrow(_intervals, "chunk long, ord long, lo long, hi long")
     return chunks, found
 
 
@@ -360,7 +367,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     empty result.
     """
     chunks, found = repeated_spans(docs)
-    spans = found.groupBy("chunk").agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("gone"))  # at most the anchors of a chunk
+    spans = found.groupBy("chunk").agg(F.collect_list(F.struct("ord", "lo", "hi")).alias("gone"))  # at most the anchors of a chunk
     cut = chunks.join(spans, "chunk", "left").select("chunk", "ids", "keys", "ends", "texts", "gone").mapInArrow(_digest, "r_id long, r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string")
     body = docs.select("doc_id", as_bytes(F.col("text")).alias("body"))
     rows = body.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("text"), "body").alias("t2"), F.sha2("body", 256).alias("whole"))
