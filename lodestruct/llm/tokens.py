@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import batches, materialise, table, values
+from ._common import batches, byte_letters, materialise, table, values
 
 #: Characters of a chunk, and of its overlap with each neighbour at first.
 CHUNK, OVERLAP = 1 << 15, 256
@@ -35,11 +37,55 @@ def boundaries(encoding, lo: int, hi: int, at: int) -> list[dict]:
     return [{"pos": at + offsets[i][0], "before": i} for i in range(len(words)) if lo <= offsets[i][0] <= hi and (i == 0 or words[i] != words[i - 1])]
 
 
+#: The character that stands for each byte in a byte-level vocabulary.
+LETTERS = byte_letters()
+#: Texts of these characters are split by the expression below exactly as the byte-level pre-tokenizer splits them:
+#: letters, digits and spaces are those named. All other texts go through the tokenizer whole.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+#: Pieces whose token counts a task remembers.
+CACHE = 400_000
+
+
+class Counts(dict):
+    """Tokens of pieces, asked of the tokenizer's model once; ``older`` may know them too."""
+
+    def __init__(self, model, older: dict) -> None:
+        self.model, self.older = model, older
+
+    def __missing__(self, piece: str) -> int:
+        found = self.older.get(piece)
+        if found is None:
+            found = len(self.model.tokenize("".join([LETTERS[b] for b in piece.encode()])))
+        self[piece] = found
+        return found
+
+
+class Counter:
+    """Token counts of whole texts. Pieces of plain texts are remembered if the tokenizer is byte-level without a normalizer."""
+
+    def __init__(self, path: str) -> None:
+        self.tok = tokenizer(path)
+        rules = json.loads(self.tok.to_str())
+        pre = rules["pre_tokenizer"] or {}
+        self.plain = rules["normalizer"] is None and rules["post_processor"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.known = Counts(self.tok.model, {})
+
+    def count(self, text: str) -> int:
+        if not self.plain or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return len(self.tok.encode(text, add_special_tokens=False))
+        if len(self.known) > CACHE:
+            self.known.older = {}
+            self.known = Counts(self.tok.model, self.known)
+        return sum(map(self.known.__getitem__, PIECES.findall(text)))
+
+
 def _whole(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        counter = Counter(path)
         for batch in batches(it):
-            n = [len(e) for e in tok.encode_batch_fast(values(batch.column(2)), add_special_tokens=False)]
+            n = [counter.count(t) for t in values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
