@@ -92,18 +92,19 @@ def _finish(pairs: DataFrame, cutoff: float, half: bool) -> DataFrame:
 
 def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame) -> DataFrame:
     """Each two atoms of a system meet once on its key; the images that can be near follow from their fractional distance, so no others are made."""
-    spec = grid_spec(ss.systems, cutoff).select("system_id", "cell", "pbc", "inv")
+    spec = grid_spec(ss.systems, cutoff).select("system_id", "cell", "pbc", "inv", F.array(*[w * cutoff for w in column_norms(elements(F.col("inv")))]).alias("slack"))
     i = left.select("system_id", F.col("atom_id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in POSITION])
     j = ss.atoms.select("system_id", F.col("atom_id").alias("j"), *[F.col(c).alias(f"j_{c}") for c in POSITION])
     p = i.join(j, "system_id").join(spec, "system_id")
-    inv = elements(F.col("inv"))
-    f = to_fractional([F.col(f"i_{c}") - F.col(f"j_{c}") for c in POSITION], inv)
-    for k, (a, width) in enumerate(zip("xyz", column_norms(inv))):
-        lo, hi = F.ceil(f[k] - width * cutoff).cast("int"), F.floor(f[k] + width * cutoff).cast("int")
-        inside = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-        # along an open axis a pair further apart than the cutoff between lattice planes has none either
-        still = F.when(F.abs(f[k]) < width * cutoff + 1e-12, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        p = p.withColumn(f"s{a}", F.when(F.col("pbc")[k], inside).otherwise(still))
+    f = to_fractional([F.col(f"i_{c}") - F.col(f"j_{c}") for c in POSITION], elements(F.col("inv")))
+    # named before they are used more than once, so generated code stays small enough to be compiled
+    p = p.withColumns({f"f{a}": x for a, x in zip("xyz", f)})
+    p = p.withColumns({f"lo{a}": F.ceil(F.col(f"f{a}") - F.col("slack")[k]).cast("int") for k, a in enumerate("xyz")} | {f"hi{a}": F.floor(F.col(f"f{a}") + F.col("slack")[k]).cast("int") for k, a in enumerate("xyz")})
+    none = F.array().cast("array<int>")
+    for k, a in enumerate("xyz"):
+        # along an open axis a pair further apart than the cutoff between lattice planes has no image either
+        fits = F.when(F.col("pbc")[k], F.col(f"lo{a}") <= F.col(f"hi{a}")).otherwise(F.abs(F.col(f"f{a}")) < F.col("slack")[k] + 1e-12)
+        p = p.withColumn(f"s{a}", F.when(fits, F.when(F.col("pbc")[k], F.sequence(f"lo{a}", f"hi{a}")).otherwise(F.array(F.lit(0)))).otherwise(none))
     p = p.filter((F.size("sx") > 0) & (F.size("sy") > 0) & (F.size("sz") > 0))
     for a in "xyz":
         p = p.withColumn(f"s{a}", F.explode(f"s{a}"))
