@@ -121,6 +121,34 @@ def ewald_energy(spark, d):
     return rounded(E.ewald(ss, p, ALPHA, bounds=BOUNDS), "energy")
 
 
+#: Where exp(-k^2 / 4 ALPHA^2) falls to 1e-6, as in ewald_parameters; the box of these indices is (21, 4, 3) in the fixed lattice.
+K_CUTOFF = 2 * ALPHA * math.sqrt(-math.log(1e-6))
+
+
+@query()
+def k_vectors_full(spark, d):
+    """All vectors up to K_CUTOFF; the queries above keep the box of their SQL."""
+    return rounded(E.k_vectors(views.systems(spark, d), K_CUTOFF), "kx", "ky", "kz", digits=9)
+
+
+@query()
+def structure_factor_full(spark, d):
+    ss = views.structures(spark, d)
+    return rounded(E.structure_factor(ss.atoms, E.k_vectors(ss.systems, K_CUTOFF)).select("system_id", "h", "k", "l", "re", "im"), "re", "im")
+
+
+@query()
+def ewald_recip_full(spark, d):
+    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, K_CUTOFF), "energy")
+
+
+@query()
+def ewald_energy_full(spark, d):
+    """The reciprocal sum is whole; the real sum ends at RC, as in ewald_real."""
+    ss, p = _ss(spark, d)
+    return rounded(E.ewald(ss, p, ALPHA, K_CUTOFF), "energy")
+
+
 _ROOT = math.sqrt(-2 * math.log(1e-6))
 
 
