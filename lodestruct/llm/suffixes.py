@@ -9,7 +9,10 @@ in two documents: each carries the bytes before it that its strings need.
 3. Each task sorts the suffixes at such anchors and sends front-coded runs, dealt by the anchor's hash.
 4. A loser tree merges the runs of a range. Suffixes that share the anchor's gram follow one another; in each such group
    every string of every suffix is compared, and those with a smaller doc_id elsewhere give intervals to remove.
-5. Intervals go back to the chunks, whose texts are cut.
+   A range holds what so many bytes of text give, so there are more ranges the more text there is.
+5. An anchor in more than ``HOT`` documents would be one group without a bound: its strings are hashed to 128 bits
+   instead, an aggregate finds each one's smallest doc_id, and a join tells the others.
+6. Intervals go back to the chunks, whose texts are cut.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,7 +36,13 @@ LEFT = GRAMS - 1
 #: Bytes of a sort key: the suffix, the bytes before it, the least and greatest number of bytes its strings begin before it.
 KEY = SPAN + LEFT + 2
 #: Bytes of text in a chunk, window starts handled at once, suffixes in a run, suffixes compared at once.
-CHUNK, BLOCK, RUN, GROUPS = 1 << 20, 1 << 19, 1 << 18, 1 << 15
+CHUNK, BLOCK, RUN, GROUPS = 1 << 22, 1 << 16, 1 << 18, 1 << 15
+#: Bytes of text whose suffixes make a range on average; documents from which on an anchor is dealt by its strings.
+PART, HOT = 1 << 25, 1 << 16
+#: Bits of a place in a block and of a document in a chunk; what is left of 64 is the hash.
+PLACE = 17
+#: How hard texts are compressed while they travel.
+LEVEL = 5
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -44,13 +54,11 @@ def _windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
-    h >>= np.uint64(16)  # 48 bits are enough to tell grams apart, and two bytes less travel
-    least, place = h, np.arange(len(h), dtype=np.int32)
+    h >>= np.uint64(PLACE)  # 47 bits are enough to tell grams apart; the place below them makes the leftmost one least
+    least = h << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64)
     for n in (1, 2, 4, 8, 16, GRAMS - 32):
-        right = least[n:] < least[:-n]
-        place = np.where(right, place[n:], place[:-n])
-        least = np.where(right, least[n:], least[:-n])
-    return h, place
+        least = np.minimum(least[n:], least[:-n])
+    return h, (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -58,24 +66,26 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ..
     for at in range(0, len(data) - SPAN + 1, BLOCK):
         h, place = _windows(data[at : at + BLOCK + SPAN - 1])
         inside = np.ones(len(place), bool)
-        for e in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(place) + SPAN)]:
+        for e in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(place) + SPAN)].tolist():
             inside[max(0, e - SPAN + 1 - at) : max(0, e - at)] = False
         s = np.flatnonzero(inside)
         if len(s):
             a = place[s]
             first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
             last = np.r_[first[1:], len(s)] - 1
-            yield a[first].astype(np.int64) + at, s[first] + at, s[last] + at, h[a[first]]
+            a = a[first]
+            yield a + at, s[first] + at, s[last] + at, h[a]
 
 
 # ---- chunks of texts
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("ends", pa.binary()), ("texts", pa.binary())])
-_CHUNK_SQL = "chunk long, ids binary, keys binary, ends binary, texts binary"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("ends", pa.binary()), ("texts", pa.binary())])
+_CHUNK_SQL = "chunk long, size long, ids binary, keys binary, ends binary, texts binary"
+_TEXT = ("chunk", "ids", "keys", "ends", "texts")
 
 
 def _squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=9)
+    pack = zstandard.ZstdCompressor(level=LEVEL)
     for batch in it:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(t) for t in batch.column(3).to_pylist()], pa.binary())], names=["doc_id", "t1", "t2", "z"])
 
@@ -84,12 +94,12 @@ def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    pack, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+    pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
 
     def made() -> pa.RecordBatch:
         ids, t1, t2, texts = zip(*held)
         keys = np.array([t1, t2], np.int64).T
-        return pa.RecordBatch.from_pylist([{"chunk": number, "ids": np.array(ids, np.int64).tobytes(), "keys": keys.tobytes(), "ends": np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), "texts": pack.compress(b"".join(texts))}], schema=_CHUNK)
+        return pa.RecordBatch.from_pylist([{"chunk": number, "size": size, "ids": np.array(ids, np.int64).tobytes(), "keys": keys.tobytes(), "ends": np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), "texts": pack.compress(b"".join(texts))}], schema=_CHUNK)
 
     for batch in it:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -110,19 +120,18 @@ def _open(batch: pa.RecordBatch, i: int) -> tuple:
 
 
 def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, chunk, twice): the anchors' hashes of each chunk once, and whether two of its documents have it."""
+    """(h, chunk, docs): the anchors' hashes of each chunk once, and how many of its documents have each."""
     for batch in it:
         for i in range(batch.num_rows):
-            number, ids, _, ends, data = _open(batch, i)
-            found = [(h, np.searchsorted(ends, a, "right")) for a, _, _, h in anchors(data, ends)]
+            number, _, _, ends, data = _open(batch, i)
+            found = [h << np.uint64(PLACE) | np.searchsorted(ends, a, "right").astype(np.uint64) for a, _, _, h in anchors(data, ends)]
             if found:
-                h, doc = (np.concatenate(c) for c in zip(*found))
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                pair = np.sort(np.concatenate(found))
+                pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
+                h = (pair >> np.uint64(PLACE)).astype(np.int64)
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                twice = doc[first] != doc[np.r_[first[1:], len(h)] - 1]
-                h = h[first].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), number)), pa.array(twice)], names=["h", "chunk", "twice"])
+                docs = np.diff(np.r_[first, len(h)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.full(len(first), number)), pa.array(docs)], names=["h", "chunk", "docs"])
 
 
 # ---- sorted runs
@@ -155,14 +164,13 @@ class Run:
         raw = zstandard.ZstdDecompressor().decompress(packed)
         n, rest, total, known = np.frombuffer(raw, np.int64, 4).tolist()
         at = 32
-        ids, of, ords = (np.frombuffer(raw, np.int64, known, at + 8 * k * known) for k in range(3))
+        self.ids, self.of, self.ords = (np.frombuffer(raw, np.int64, known, at + 8 * k * known) for k in range(3))
         at += 24 * known
         self.count = np.frombuffer(raw, np.int32, n, at)
-        doc, self.places = np.frombuffer(raw, np.int32, total, at + 4 * n), np.frombuffer(raw, np.int32, total, at + 4 * (n + total))
-        self.docs, self.chunks, self.ords = ids[doc], of[doc], ords[doc]
+        self.doc, self.places = np.frombuffer(raw, np.int32, total, at + 4 * n), np.frombuffer(raw, np.int32, total, at + 4 * (n + total))
         at += 4 * (n + 2 * total)
         self.shared, self.rest = raw[at : at + n], raw[at + n : at + n + rest]
-        self.first = np.r_[0, np.cumsum(self.count)]
+        self.single = (self.count == 1).tolist()
         self.n, self.i, self.at, self.key = int(n), -1, 0, b""
 
     def next(self) -> int:
@@ -177,8 +185,32 @@ class Run:
         return shared
 
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, Run, int, bytes]]:
-    """All keys in order: (length shared with the key before, run, index in it, key).
+class Owners:
+    """Who has the keys of some runs: of key ``i`` of run ``r``, the documents and the places."""
+
+    def __init__(self, runs: list[Run]) -> None:
+        self.first = [np.r_[0, np.cumsum(r.count)] for r in runs]
+        self.base = np.r_[0, np.cumsum([len(r.doc) for r in runs])]
+        shift = np.r_[0, np.cumsum([len(r.ids) for r in runs])]
+        self.doc = np.concatenate([r.doc + s for r, s in zip(runs, shift)])
+        self.places = np.concatenate([r.places for r in runs])
+        self.ids, self.of, self.ords = (np.concatenate([getattr(r, c) for r in runs]) for c in ("ids", "of", "ords"))
+
+    def of_keys(self, runs: list[int], keys: list[int]) -> tuple[np.ndarray, ...]:
+        """For each owner of the keys: number of the key in the list, row of the document, place."""
+        r, i = np.array(runs), np.array(keys)
+        begin, count = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
+        for k in np.unique(r):
+            own = r == k
+            begin[own] = self.first[k][i[own]] + self.base[k]
+            count[own] = self.first[k][i[own] + 1] - self.first[k][i[own]]
+        entry = np.repeat(np.arange(len(r)), count)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + begin[entry]
+        return entry, self.doc[at], self.places[at]
+
+
+def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, bytes]]:
+    """All keys in order: (length shared with the key before, number of the run, index in it, key).
 
     A loser tree whose nodes keep, with the run that lost there, the length it shares with the winner. Of two keys the
     one that shares more with the last winner is smaller, without a look at either; only equal lengths are compared,
@@ -217,7 +249,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, Run, int, bytes]]:
     win = build(1) if k > 1 else 0
     while shares[win] >= 0:
         run = runs[win]
-        yield shares[win], run, run.i, run.key
+        yield shares[win], win, run.i, run.key
         shares[win] = run.next()
         node = (win + k) // 2
         while node:
@@ -226,6 +258,11 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, Run, int, bytes]]:
             node //= 2
 
 
+def _numbers(lists: pa.Array, i: int) -> np.ndarray:
+    """Entry ``i`` of an array of lists of integers."""
+    return np.asarray(lists[i].values) if lists[i].is_valid else np.zeros(0, np.int64)
+
+
 def _runs(parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -241,8 +278,9 @@ def _runs(parts: int):
         for batch in it:
             for i in range(batch.num_rows):
                 number, ids, _, ends, data = _open(batch, i)
-                wanted = np.sort(np.array(batch.column(5)[i].as_py(), np.int64)).view(np.uint64)
-                wanted = np.sort(wanted)
+                wanted = np.sort(_numbers(batch.column(5), i).view(np.uint64))
+                if not len(wanted):
+                    continue
                 padded = np.r_[np.zeros(LEFT, np.uint8), data, np.zeros(SPAN, np.uint8)]
                 for a, lo, hi, h in anchors(data, ends):
                     known = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
@@ -267,22 +305,41 @@ def _runs(parts: int):
     return run
 
 
+def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, doc_id, chunk, ord, place): 128-bit hash and place of every string at the anchors that are dealt by their strings."""
+    for batch in it:
+        for i in range(batch.num_rows):
+            number, ids, _, ends, data = _open(batch, i)
+            hot, raw = np.sort(_numbers(batch.column(5), i).view(np.uint64)), data.tobytes()
+            for _, lo, hi, h in anchors(data, ends):
+                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                lo, n = lo[known], (hi - lo)[known] + 1
+                for at in range(0, len(lo), GROUPS // GRAMS):
+                    m = n[at : at + GROUPS // GRAMS]
+                    s = np.repeat(lo[at : at + GROUPS // GRAMS] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    doc = np.searchsorted(ends, s, "right")
+                    digest = [xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in s.tolist()]
+                    cols = [pa.array(digest, pa.binary()), *map(pa.array, (ids[doc], np.full(len(s), number), doc, s - np.r_[0, ends][doc]))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["s", "doc_id", "chunk", "ord", "place"])
+
+
 def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
     """Merges the runs of a range and tells which bytes of which documents go."""
     out: list[tuple[np.ndarray, ...]] = []
+    opened = [Run(r) for r in runs.column("run").to_pylist()]
+    owners = Owners(opened)
     keys: list[bytes] = []
-    owners: list[tuple[Run, int]] = []
+    of: list[int] = []
+    at_: list[int] = []
     fresh = 0  # where the group that is being read begins
 
     def compare(n: int) -> None:
         rows = np.frombuffer(b"".join(keys[:n]), np.uint8).reshape(-1, KEY)
         text = np.concatenate([rows[:, SPAN : SPAN + LEFT], rows[:, :SPAN]], axis=1)
         least, most = rows[:, -2], rows[:, -1]
-        docs, chunks, ords, places = ([getattr(r, c)[r.first[i] : r.first[i + 1]] for r, i in owners[:n]] for c in ("docs", "chunks", "ords", "places"))
-        count = np.array([len(d) for d in docs])
-        smallest = np.array([d[0] for d in docs])
-        docs, chunks, ords, places = (np.concatenate(c) for c in (docs, chunks, ords, places))
-        entry = np.repeat(np.arange(n), count)
+        entry, doc, places = owners.of_keys(of[:n], at_[:n])
+        docs = owners.ids[doc]
+        smallest = docs[np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])]  # a key's owners are sorted
         gone = np.zeros((len(entry), GRAMS + 1), bool)
         for o in range(GRAMS):
             own = np.flatnonzero((least <= o) & (o <= most))
@@ -298,77 +355,94 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
         at, begin = np.nonzero(edge == 1)
         at2, stop = np.nonzero(edge == -1)
         assert (at == at2).all()
-        out.append((chunks[at], ords[at], places[at] - (stop - 1), places[at] - begin + SPAN))
+        out.append((owners.of[doc[at]], owners.ords[doc[at]], places[at] - (stop - 1), places[at] - begin + SPAN))
 
-    for shared, run, i, k in merge([Run(r) for r in runs.column("run").to_pylist()]):
+    for shared, run, i, k in merge(opened):
         if shared < GRAM:
-            if len(keys) - fresh == 1 and owners[fresh][0].count[owners[fresh][1]] == 1:
-                del keys[fresh:], owners[fresh:]  # nobody else has this anchor
+            if len(keys) - fresh == 1 and opened[of[fresh]].single[at_[fresh]]:
+                keys.pop(), of.pop(), at_.pop()  # nobody else has this anchor
             fresh = len(keys)
             if fresh >= GROUPS:
                 compare(fresh)
-                keys, owners, fresh = [], [], 0
+                keys, of, at_, fresh = [], [], [], 0
         keys.append(k)
-        owners.append((run, i))
+        of.append(run)
+        at_.append(i)
     if keys:
         compare(len(keys))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
     return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["chunk", "ord", "lo", "hi"])
 
 
-def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KEPT = [("r_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
+
+
+def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Of each chunk, the counts of its texts and what is left of them."""
     for batch in it:
         for i in range(batch.num_rows):
             _, ids, keys, ends, data = _open(batch, i)
-            gone: dict[int, list] = {}
-            for x in batch.column(5)[i].as_py() or ():
-                gone.setdefault(x["ord"], []).append((x["lo"], x["hi"]))
-            rows = []
-            for k, (doc, key, start, end) in enumerate(zip(ids.tolist(), keys.tolist(), np.r_[0, ends[:-1]], ends)):
-                text, cuts = data[start:end], np.array(gone.get(k, []), np.int64).reshape(-1, 2)
-                depth = np.zeros(len(text) + 1, np.int32)
-                np.add.at(depth, cuts[:, 0], 1)
-                np.add.at(depth, cuts[:, 1], -1)
-                off = np.cumsum(depth[:-1]) > 0
-                rows.append({"doc_id": doc, "t1": key[0], "t2": key[1], "n_removed": int(off.sum()), "n_spans": int((np.diff(np.r_[False, off].astype(np.int8)) == 1).sum()), "kept": text[~off].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+            starts, depth = np.r_[0, ends[:-1]], np.zeros(len(data) + 1, np.int32)
+            if batch.column(5)[i].is_valid:
+                spans = batch.column(5)[i].values
+                order, lo, hi = (np.asarray(spans.field(c)) for c in ("ord", "lo", "hi"))
+                np.add.at(depth, starts[order] + lo, 1)
+                np.add.at(depth, starts[order] + hi, -1)
+            off = np.cumsum(depth[:-1]) > 0
+            begin = off.copy()
+            begin[1:] &= ~off[:-1]
+            begin[starts] = off[starts]  # a run that ends one text does not go on in the next
+            removed, spans = np.add.reduceat(off.astype(np.int64), starts), np.add.reduceat(begin.astype(np.int64), starts)
+            left, cut = data[~off].tobytes(), np.cumsum(np.diff(np.r_[0, ends]) - removed).tolist()
+            kept = [left[a:b] for a, b in zip([0, *cut[:-1]], cut)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, keys[:, 0], keys[:, 1], removed, spans)], names=[n for n, _ in _KEPT]), kept
 
 
 def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(it):
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([hashlib.sha256(k).hexdigest() for k in batch.column(5).to_pylist()])], names=["r_id", "r1", "r2", "n_removed", "n_spans", "kept_sha256"])
+    for counts, kept in _cut(it):
+        yield counts.append_column("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
+
 
+def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the different texts that are long enough, and (chunk, ord, lo, hi): the bytes of the ord-th text of a chunk that repeat a document of smaller id.
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the different texts that are long enough, and (chunk, ord, lo, hi): the bytes of the ord-th text of a chunk that repeat a document of smaller id."""
-    spark = docs.sparkSession
+    ``part``: bytes of text whose suffixes make a range; ``hot``: documents from which on an anchor is dealt by its strings.
+    """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("body")).filter(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN))
     body = body.select("doc_id", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("text"), "body").alias("t2"), "body")
     chosen = body.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
     texts = body.mapInArrow(_squeeze, "doc_id long, t1 long, t2 long, z binary").join(chosen, ["doc_id", "t1", "t2"], "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
-    chunks = materialise(texts.select("doc_id", "t1", "t2", "z").mapInArrow(_gather, _CHUNK_SQL), "chunks")
-
-    hashes = chunks.mapInArrow(_hashes, "h long, chunk long, twice boolean")
-    shared = hashes.withColumn("n", F.count("*").over(W.partitionBy("h"))).filter("n > 1 or twice")
-    wanted = shared.groupBy("chunk").agg(F.collect_list("h").alias("wanted"))  # at most the anchors of a chunk
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = chunks.join(wanted, "chunk").select("chunk", "ids", "keys", "ends", "texts", "wanted").mapInArrow(_runs(parts), "part long, run binary")
+    made = materialise(texts.select("doc_id", "t1", "t2", "z").mapInArrow(_gather, _CHUNK_SQL), "chunks")
+    parts = max(1, -(-(made.agg(F.sum("size")).first()[0] or 0) // part))
+    # the filter is what the inner join below adds by itself: with it, all joins with texts share one exchange
+    chunks = made.select(*_TEXT).filter("chunk is not null")
+
+    # a hash has one row a chunk at most, so one for every CHUNK bytes of text
+    hashes = chunks.mapInArrow(_hashes, "h long, chunk long, docs int").withColumn("n", F.sum("docs").over(W.partitionBy("h"))).filter("n > 1")
+    lists = hashes.groupBy("chunk").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("h"))).alias("wanted"), F.collect_list(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
+    lists = materialise(lists, "shared_anchors")  # at most the anchors of a chunk
+    runs = chunks.join(lists.select("chunk", "wanted"), "chunk").select(*_TEXT, "wanted").mapInArrow(_runs(parts), "part long, run binary")
     found = runs.groupBy("part").applyInArrow(_intervals, "chunk long, ord long, lo long, hi long")
+    dealt = lists.select("chunk", "hot").filter("size(hot) > 0")
+    if not dealt.isEmpty():
+        strings = materialise(chunks.join(dealt, "chunk").select(*_TEXT, "hot").mapInArrow(_strings, "s binary, doc_id long, chunk long, ord long, place long"), "strings")
+        least = materialise(strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("s", "least"), "least")
+        found = found.unionByName(strings.join(least, "s").filter("doc_id > least").select("chunk", "ord", F.col("place").alias("lo"), (F.col("place") + SPAN).alias("hi")))
     return chunks, found
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, part: int = PART, hot: int = HOT) -> DataFrame:
     """What is left of every text when each byte of a ``SPAN``-byte string that also starts in a document of smaller id is removed.
 
     Returns one row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Strings are those of the input
     and never cross documents. Null texts count as empty; texts shorter than ``SPAN`` bytes stay. A copy of a
     text under a greater id goes whole, and rows of the same id do not repeat each other. Rows without an id have no
-    order: they stay whole and remove nothing. Other columns are neither read nor returned; an empty table gives an
+    order: they stay whole and remove nothing. Ids must be integers or cast to such; others count as null. Other columns are neither read nor returned; an empty table gives an
     empty result.
     """
-    chunks, found = repeated_spans(docs)
+    chunks, found = repeated_spans(docs, part, hot)
     spans = found.groupBy("chunk").agg(F.collect_list(F.struct("ord", "lo", "hi")).alias("gone"))  # at most the anchors of a chunk
-    cut = chunks.join(spans, "chunk", "left").select("chunk", "ids", "keys", "ends", "texts", "gone").mapInArrow(_digest, "r_id long, r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string")
+    cut = chunks.join(spans, "chunk", "left").select(*_TEXT, "gone").mapInArrow(_digest, "r_id long, r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string")
     body = docs.select("doc_id", as_bytes(F.col("text")).alias("body"))
     rows = body.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("text"), "body").alias("t2"), F.sha2("body", 256).alias("whole"))
     j = rows.join(cut.filter("r1 is not null"), (rows.t1 == F.col("r1")) & (rows.t2 == F.col("r2")), "left")
