@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ._common import materialise, table
 
 #: Rows of a candidate block and of a query block. A tile holds one of each and their int32-exact products.
-ROWS, QUERIES = 2048, 1024
-#: Independent parts of the work for a query block.
-LANES = 8
-_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("scales", pa.binary()), ("norms", pa.binary()), ("errors", pa.binary())])
-_BLOCK_SQL = "block long, n int, dim int, ids binary, vectors binary, codes binary, scales binary, norms binary, errors binary"
+ROWS, QUERIES = 2048, 512
+#: Query blocks of a row of the grid and candidate blocks of a column, on average: what a cell holds, and how far it goes.
+BAND, COLUMN = 16, 512
+_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("codes", pa.binary()), ("scales", pa.binary()), ("norms", pa.binary()), ("errors", pa.binary())])
+_BLOCK_SQL = "block long, n int, dim int, rows binary, ids binary, codes binary, scales binary, norms binary, errors binary"
+_NAMES = [f.name for f in _BLOCK]
+_FOUND = pa.schema([("q_row", pa.int64()), ("query_id", pa.int64()), ("r_row", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
 
 def usable(vector: Column) -> Column:
@@ -36,123 +38,190 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(rows: int):
-    """Rows of one block each time; ``block`` numbers them within the task."""
+    """Blocks of (row, id, vector) rows of one length; they hold codes and bounds, not the vectors."""
 
-    def make(part: int, k: int, ids: list, vectors: list) -> pa.RecordBatch:
+    def make(part: int, k: int, at: list, ids: list, vectors: list) -> pa.RecordBatch:
         v = np.array(vectors, np.float64)
         codes, scale, lost = quantise(v)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (([(part << 32) + k], pa.int64()), ([len(v)], pa.int32()), ([v.shape[1]], pa.int32()), ([np.array(ids, np.int64).tobytes()], pa.binary()), ([v.astype(np.float64).tobytes()], pa.binary()), ([codes.tobytes()], pa.binary()), ([scale.tobytes()], pa.binary()), ([np.linalg.norm(v, axis=1).tobytes()], pa.binary()), ([lost.tobytes()], pa.binary()))], schema=_BLOCK)
+        arrays = (np.array(at, np.int64), np.array(ids, np.int64), codes, scale, np.linalg.norm(v, axis=1), lost)
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([len(v)], pa.int32()), pa.array([v.shape[1]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], schema=_BLOCK)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k, held = TaskContext.get().partitionId(), 0, {}
         for batch in it:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == rows:
-                    yield make(part, k, ids, vectors)
+            for row, i, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                group = held.setdefault(len(v), ([], [], []))
+                for own, x in zip(group, (row, i, v)):
+                    own.append(x)
+                if len(group[0]) == rows:
+                    yield make(part, k, *held.pop(len(v)))
                     k += 1
-                    del held[len(v)]
-        for ids, vectors in held.values():
-            yield make(part, k, ids, vectors)
+        for group in held.values():
+            yield make(part, k, *group)
             k += 1
 
     return run
 
 
-def _unpack(row: dict, side: str) -> tuple:
-    n, dim = row[f"{side}_n"], row[f"{side}_dim"]
-    get = lambda name, kind, shape: np.frombuffer(row[f"{side}_{name}"], kind).reshape(shape)
-    return get("ids", np.int64, n), get("vectors", np.float64, (n, dim)), get("codes", np.int8, (n, dim)), get("scales", np.float64, n), get("norms", np.float64, n), get("errors", np.float64, n)
+class Block:
+    """A block as it is read in a cell."""
 
+    def __init__(self, row: dict) -> None:
+        n, self.dim = row["n"], row["dim"]
+        self.rows, self.ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
+        self.scales, self.norms, self.errors = (np.frombuffer(row[c], np.float64) for c in ("scales", "norms", "errors"))
+        kind = np.float32 if 127 * 127 * self.dim < 1 << 24 else np.float64
+        self.codes = np.frombuffer(row["codes"], np.int8).reshape(n, self.dim).astype(kind)
 
-def tile(queries: tuple, rows: tuple, k: int, heaps: list[list[tuple[float, int]]]) -> None:
-    """Puts the ``k`` best (score, -id) of a tile into the queries' heaps.
+
+def bounds(queries: Block, rows: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value that the inner product of each query and row can have.
 
     The int8 product is exact in float32 (at most 127 * 127 * dim < 2**24 up to 1040 dimensions, float64 beyond). It is
     off from the true product by at most |q| * error(x) + error(q) * (|x| + error(x)), and float rounding is added to
-    that. Only pairs whose upper bound reaches both the k-th greatest lower bound of the tile and what the heap holds
-    are computed again in double, one component after the other, so equal vectors score equally.
+    that. Where these overflow nothing is known.
     """
-    qi, qv, qc, qs, qn, qe = queries
-    ri, rv, rc, rs, rn, re = rows
-    kind = np.float32 if 127 * 127 * qv.shape[1] < 1 << 24 else np.float64
-    near = (qc.astype(kind) @ rc.astype(kind).T).astype(np.float64) * qs[:, None] * rs
-    slack = qn[:, None] * re + qe[:, None] * (rn + re) + 1e-9 * qn[:, None] * rn
-    low, high = near - slack, near + slack
-    own = qi[:, None] == ri
-    low[own], high[own] = -np.inf, -np.inf
-    bar = np.partition(low, -k, axis=1)[:, -k] if len(ri) > k else np.full(len(qi), -np.inf)
-    bar = np.maximum(bar, [h[0][0] if len(h) == k else -np.inf for h in heaps])
-    for i, heap in enumerate(heaps):
-        pick = np.flatnonzero((high[i] >= bar[i]) & ~own[i])
-        for at in range(0, len(pick), 4096):
-            p = pick[at : at + 4096]
-            exact = np.add.accumulate(rv[p] * qv[i], axis=1)[:, -1]
-            for b in np.lexsort((ri[p], -exact))[:k]:
-                item = (float(exact[b]), -int(ri[p[b]]))
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-                else:
-                    break
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = (queries.codes @ rows.codes.T).astype(np.float64) * queries.scales[:, None] * rows.scales
+        slack = queries.norms[:, None] * rows.errors + queries.errors[:, None] * (rows.norms + rows.errors) + 1e-9 * queries.norms[:, None] * rows.norms
+        low, high = near - slack, near + slack
+    low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf
+    return low, high
 
 
-def _tiles(k: int):
-    """Tiles of one query block follow one another; its heaps are handed on when the next one comes."""
+class Band:
+    """A query block in a cell: the ``k`` greatest lower bounds of each query so far, and the pairs that may be among its ``k`` best."""
+
+    def __init__(self, block: Block, k: int) -> None:
+        self.block, self.k = block, k
+        self.best = np.full((len(block.ids), k), -np.inf)
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+
+    def tile(self, rows: Block) -> None:
+        low, high = bounds(self.block, rows)
+        own = self.block.ids[:, None] == rows.ids
+        low[own] = -np.inf
+        top = low if low.shape[1] <= self.k else np.partition(low, -self.k, axis=1)[:, -self.k :]
+        self.best = np.partition(np.concatenate([self.best, top], axis=1), -self.k, axis=1)[:, -self.k :]
+        q, r = np.nonzero((high >= self.best.min(axis=1)[:, None]) & ~own)
+        self.pairs.append((q, rows.rows[r], rows.ids[r], low[q, r], high[q, r]))
+
+    def survivors(self) -> pa.RecordBatch:
+        q, row, ids, low, high = (np.concatenate(c) for c in zip(*self.pairs)) if self.pairs else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+        fits = high >= self.best.min(axis=1)[q]
+        q = q[fits]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.block.rows[q], self.block.ids[q], row[fits], ids[fits], low[fits], high[fits])], schema=_FOUND)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, queries, heaps = None, None, []
 
-        def made() -> pa.RecordBatch:
-            rows = [(int(q), -r, s) for q, h in zip(queries[0], heaps) for s, r in h]
-            cols = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+def _cells(k: int):
+    """Of each cell first come the query blocks of its band, then the candidate blocks of its column, one tile after the other."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, band = None, []
         for batch in it:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                if row["q_block"] != block:
-                    if queries is not None:
-                        yield made()
-                    block, queries = row["q_block"], _unpack(row, "q")
-                    heaps = [[] for _ in queries[0]]
-                tile(queries, _unpack(row, "r"), k, heaps)
-        if queries is not None:
-            yield made()
+                if (row["band"], row["col"]) != cell:
+                    for b in band:
+                        yield b.survivors()
+                    cell, band = (row["band"], row["col"]), []
+                if row["side"] == 0:
+                    band.append(Band(Block(row), k))
+                else:
+                    block = Block(row)
+                    for b in band:
+                        if b.block.dim == block.dim:
+                            b.tile(block)
+        for b in band:
+            yield b.survivors()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
+def _scores(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products in double, one component after the other, so equal vectors score equally."""
+    for batch in it:
+        q, r = batch.column(3), batch.column(4)
+        size, score = np.diff(np.asarray(q.offsets)), np.zeros(batch.num_rows)
+        for dim in np.unique(size).tolist():
+            own = pa.array(np.flatnonzero(size == dim))
+            a, b = (np.asarray(x.take(own).flatten()).reshape(-1, dim) for x in (q, r))
+            with np.errstate(over="ignore", invalid="ignore"):
+                score[size == dim] = np.add.accumulate(a * b, axis=1)[:, -1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["q_row", "query_id", "vec_id", "score"])
+
+
+def _heaps(k: int):
+    """The ``k`` best rows of each query, whose rows follow one another; ties to the smaller id."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, query, heap = None, None, []
+
+        def made() -> list[tuple]:
+            return [(query, n, -r, s) for n, (s, r) in enumerate(sorted(heap, reverse=True), 1)]
+
+        for batch in it:
+            out = []
+            for q, i, r, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if q != at:
+                    out += made()
+                    at, query, heap = q, i, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -r))
+                elif (s, -r) > heap[0]:
+                    heapq.heapreplace(heap, (s, -r))
+            yield _ranked(out)
+        yield _ranked(made())
+
+    return run
+
+
+def _ranked(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS, query_rows: int = QUERIES, band: int = BAND, column: int = COLUMN) -> DataFrame:
     """The ``k`` rows of ``vectors`` with greatest inner product for each row of ``queries``; exact, the tiles only prune.
 
     Returns (query_id, rank, vec_id, score), ties to the smaller id; a row is never its own neighbour. Rows whose id or
     vector is null, and vectors that are zero or hold null or non-finite components, take no part. Vectors of another
     length than the query's are not its candidates. Repeated ids are different rows. An empty side gives an empty
-    result; other columns are not read. Both sides become blocks once; each pair of blocks meets in one row of an
-    equi-join on the query block and one of LANES lanes. A task goes through the tiles of a lane one by one with a heap
-    for each query, so a lane hands on at most ``k`` rows a query, however many rows there are; these are ranked last.
+    result; other columns are not read.
+
+    Blocks of codes and bounds meet in a grid: query blocks are dealt to its rows, candidate blocks to its columns, and
+    a block is sent once to each cell of its row or column. What travels is so proportional to blocks times grid side,
+    and vectors do not travel with it. A cell goes through its candidate blocks one by one and hands on the pairs whose
+    upper bound reaches the k-th greatest lower bound. After the same test over all cells, only the survivors' vectors
+    are joined; their products are computed again in double and merged by a heap for each query.
     """
-    def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
+    spark = vectors.sparkSession
+
+    def table_of(df: DataFrame, name: str) -> DataFrame:
         v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return materialise(v.filter(F.col("id").isNotNull() & usable(F.col("v"))).mapInArrow(_blocks(n), _BLOCK_SQL), name)
-
-    names = [f.name for f in _BLOCK]
-    right, left = blocks(vectors, rows, "vector_blocks"), blocks(queries, query_rows, "query_blocks")
-    lanes = F.sequence(F.lit(0), F.lit(LANES - 1))
-    q = left.select(*[F.col(c).alias(f"q_{c}") for c in names], F.explode(lanes).alias("q_lane"))
-    # every candidate block is sent to each query block of its length: the list of their numbers is what is joined
-    wanted = left.groupBy("dim").agg(F.collect_list("block").alias("wanted")).withColumnRenamed("dim", "w_dim")
-    r = right.join(wanted, right.dim == F.col("w_dim")).select(*[F.col(c).alias(f"r_{c}") for c in names], F.explode("wanted").alias("to"), F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int").alias("lane"))
-    tiles = r.join(q, (F.col("to") == F.col("q_block")) & (F.col("lane") == F.col("q_lane"))).sortWithinPartitions("q_block", "q_lane")
-    found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return materialise(v.filter(F.col("id").isNotNull() & usable(F.col("v"))).select(F.monotonically_increasing_id().alias("row"), "id", "v"), name)
+
+    right, left = table_of(vectors, "vectors"), table_of(queries, "queries")
+    r = materialise(right.mapInArrow(_blocks(rows), _BLOCK_SQL), "vector_blocks")
+    q = materialise(left.mapInArrow(_blocks(query_rows), _BLOCK_SQL), "query_blocks")
+    width = spark.sparkContext.defaultParallelism
+    bands = max(1, -(-q.count() // band))
+    columns = max(1, -(-r.count() // column), -(-width // bands))  # at least a cell for each core
+    q = q.select(F.pmod(F.xxhash64("block"), F.lit(bands)).alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("col"), F.lit(0).alias("side"), *_NAMES)
+    r = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))).alias("band"), F.pmod(F.xxhash64("block"), F.lit(columns)).alias("col"), F.lit(1).alias("side"), *_NAMES)
+    tasks = min(bands * columns, max(4 * width, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cells = q.unionByName(r).repartition(tasks, "band", "col").sortWithinPartitions("band", "col", "side")
+    found = cells.mapInArrow(_cells(k), "q_row long, query_id long, r_row long, vec_id long, low double, high double")
+
+    by = W.partitionBy("q_row")
+    bar = F.max(F.when(F.col("place") == k, F.col("low"))).over(by)  # of a query's survivors, at least k a cell
+    found = found.withColumn("place", F.row_number().over(by.orderBy(F.col("low").desc()))).withColumn("bar", bar)
+    found = found.filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("q_row", "query_id", "r_row", "vec_id")
+    pairs = found.join(left.select(F.col("row").alias("q_row"), F.col("v").alias("q_v")), "q_row").join(right.select(F.col("row").alias("r_row"), F.col("v").alias("r_v")), "r_row")
+    scored = pairs.select("q_row", "query_id", "vec_id", "q_v", "r_v").mapInArrow(_scores, "q_row long, query_id long, vec_id long, score double")
+    return scored.repartition("q_row").sortWithinPartitions("q_row").mapInArrow(_heaps(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

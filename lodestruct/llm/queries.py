@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_quality": quality.op10_quality,
+        "page_sequences": media.page_sequences,
     }
 
 
