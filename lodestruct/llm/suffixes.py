@@ -38,7 +38,7 @@ KEY = SPAN + LEFT + 2
 #: Bytes of text in a chunk, window starts handled at once, suffixes in a run, suffixes compared at once.
 CHUNK, BLOCK, RUN, GROUPS = 1 << 22, 1 << 16, 1 << 18, 1 << 15
 #: Bytes of text whose suffixes make a range on average; documents from which on an anchor is dealt by its strings.
-PART, HOT = 1 << 25, 1 << 16
+PART, HOT = 1 << 23, 1 << 16
 #: Bits of a place in a block and of a document in a chunk; what is left of 64 is the hash.
 PLACE = 17
 #: How hard texts are compressed while they travel.
