@@ -127,18 +127,44 @@ def compose_metrics(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     return each.unionByName(total)
 
 
-def evaluate(pred: DataFrame, label: DataFrame, sizes: DataFrame, batches: DataFrame, weights: dict[str, float]) -> DataFrame:
+def _components(pred: dict[str, DataFrame], label: dict[str, DataFrame], sizes: DataFrame) -> dict[str, DataFrame]:
+    """Of each component (system_id, value): energy, square error per atom; force, mean square over a system's atoms and axes; stress, mean square of the nine."""
+    out = {}
+    if "energy" in pred:
+        e = joined(pred["energy"], label["energy"], ["system_id"], ["energy"]).join(sizes.select("system_id", "num_atoms"), "system_id").filter("num_atoms > 0")
+        out["energy"] = e.select("system_id", (((F.col("p_energy") - F.col("t_energy")) / F.col("num_atoms")) ** 2).alias("value"))
+    if "force" in pred:
+        f = joined(pred["force"], label["force"], ["system_id", "atom_id"], FORCE)
+        d = [F.col(f"p_{c}") - F.col(f"t_{c}") for c in FORCE]
+        out["force"] = f.groupBy("system_id").agg((F.sum(dot(d, d)) / (3 * F.count("*"))).alias("value"))
+    if "stress" in pred:
+        s = joined(pred["stress"], label["stress"], ["system_id"], ["stress"])
+        out["stress"] = s.select("system_id", (F.aggregate(F.zip_with("p_stress", "t_stress", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda x, y: x + y) / 9).alias("value"))
+    return out
+
+
+def evaluate(pred: dict[str, DataFrame] | DataFrame, label: dict[str, DataFrame] | DataFrame, sizes: DataFrame, batches: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Validation summary: one row with the mean over batches of the weighted total and of each component, the mean over systems, and counts.
 
-    Components: energy (square error per atom) and force (square error, balanced by system). Batches
-    (system_id, batch_id) are a level of their own: a mean of batch values is not a mean over all rows.
+    ``pred`` and ``label`` name the tables of their components: energy (square error per atom), force (square error,
+    balanced by system), stress (square error); a table alone is that of energies. Those in ``weights`` take part, all
+    with weight 1 if it is empty. Batches (system_id, batch_id) are a level of their own: a mean of batch values is not a
+    mean over all rows. A system that lacks a component adds nothing to it. ``per_sample`` is the mean over systems of the sum of components, without weights.
     """
-    e = joined(pred, label, ["system_id"], ["energy"]).join(sizes.select("system_id", "num_atoms"), "system_id").filter("num_atoms > 0")
-    s = e.select("system_id", (((F.col("p_energy") - F.col("t_energy")) / F.col("num_atoms")) ** 2).alias("energy"))
-    per = s.join(batches, "system_id")
-    b = per.groupBy("batch_id").agg(F.avg("energy").alias("energy"), F.count("*").alias("n"))
-    w = float(weights.get("energy", 1.0))
-    return b.agg(F.avg(F.col("energy") * w).alias("total"), F.avg("energy").alias("energy"), (F.sum(F.col("energy") * F.col("n")) / F.sum("n")).alias("per_sample"), F.count("*").alias("n_batches"), F.sum("n").alias("n_samples"))
+    pred, label = ({"energy": x} if isinstance(x, DataFrame) else x for x in (pred, label))
+    missing = [n for n in weights if n not in pred or n not in label]
+    if missing:
+        raise KeyError(", ".join(missing))
+    parts = _components({n: pred[n] for n in (weights or pred)}, label, sizes)
+    unknown = [n for n in (weights or pred) if n not in parts]
+    if unknown:
+        raise KeyError(", ".join(unknown))
+    rows = reduce(lambda x, y: x.unionByName(y), [df.select("system_id", F.lit(n).alias("name"), "value") for n, df in parts.items()])
+    s = rows.groupBy("system_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in parts]).join(batches, "system_id")
+    plain = reduce(lambda x, y: x + y, [F.coalesce(F.col(n), F.lit(0.0)) for n in parts])
+    b = s.withColumn("_total", plain).groupBy("batch_id").agg(*[F.avg(n).alias(n) for n in parts], F.sum("_total").alias("_sum"), F.count("*").alias("n"))
+    by_batch = reduce(lambda x, y: x + y, [F.coalesce(F.col(n), F.lit(0.0)) * float(weights.get(n, 1.0)) for n in parts])
+    return b.agg(F.avg(by_batch).alias("total"), *[F.avg(n).alias(n) for n in parts], (F.sum("_sum") / F.sum("n")).alias("per_sample"), F.count("*").alias("n_batches"), F.sum("n").alias("n_samples"))
 
 
 def check_pairing(pred: DataFrame, label: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

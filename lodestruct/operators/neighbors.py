@@ -7,6 +7,7 @@ shift, but its images are. Pairs never cross systems.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cell_inverse, cell_volume, column_norms, dot, elements, minimum_image, norm, row_times, to_fractional, vec
 from ..structures import POSITION, StructureSet
 
-#: Mean number of atoms of a system from which bins pay.
+#: Number of atoms of a system beyond which bins pay.
 GRID_FROM = 64
 #: Bins of a system at most, whatever its volume.
 MAX_BINS = 1 << 20
@@ -78,7 +79,12 @@ def image_shifts(systems: DataFrame, cutoff: float) -> DataFrame:
     return out.select("system_id", "sx", "sy", "sz")
 
 
-def _finish(pairs: DataFrame, cutoff: float, half: bool) -> DataFrame:
+def _ends(carry: Sequence[str], end: str) -> list[Column]:
+    """Position and carried columns of one end of a pair, named for it."""
+    return [F.col(c).alias(f"{end}_{c}") for c in dict.fromkeys((*POSITION, *carry))]
+
+
+def _finish(pairs: DataFrame, cutoff: float, half: bool, carry: Sequence[str]) -> DataFrame:
     """From both positions, the shift and the cell: distances, the cutoff, and one of each two directions if asked."""
     lattice = row_times([F.col(s) for s in ("sx", "sy", "sz")], elements(F.col("cell")))
     d = [F.col(f"i_{c}") - F.col(f"j_{c}") - s for c, s in zip(POSITION, lattice)]
@@ -87,14 +93,14 @@ def _finish(pairs: DataFrame, cutoff: float, half: bool) -> DataFrame:
     home = (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)
     ahead = (F.col("sx") > 0) | ((F.col("sx") == 0) & ((F.col("sy") > 0) | ((F.col("sy") == 0) & (F.col("sz") > 0))))
     p = p.filter((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & ahead) if half else ~((F.col("i") == F.col("j")) & home))
-    return p.select(*PAIR, "dx", "dy", "dz", F.sqrt("r2").alias("r"))
+    return p.select(*PAIR, "dx", "dy", "dz", F.sqrt("r2").alias("r"), *[f"{end}_{c}" for c in carry for end in "ij"])
 
 
-def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame) -> DataFrame:
+def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Each two atoms of a system meet once on its key; the images that can be near follow from their fractional distance, so no others are made."""
     spec = grid_spec(ss.systems, cutoff).select("system_id", "cell", "pbc", "inv", F.array(*[w * cutoff for w in column_norms(elements(F.col("inv")))]).alias("slack"))
-    i = left.select("system_id", F.col("atom_id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in POSITION])
-    j = ss.atoms.select("system_id", F.col("atom_id").alias("j"), *[F.col(c).alias(f"j_{c}") for c in POSITION])
+    i = left.select("system_id", F.col("atom_id").alias("i"), *_ends(carry, "i"))
+    j = ss.atoms.select("system_id", F.col("atom_id").alias("j"), *_ends(carry, "j"))
     p = i.join(j, "system_id").join(spec, "system_id")
     f = to_fractional([F.col(f"i_{c}") - F.col(f"j_{c}") for c in POSITION], elements(F.col("inv")))
     # named before they are used more than once, so generated code stays small enough to be compiled
@@ -108,45 +114,56 @@ def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame) -> Data
     p = p.filter((F.size("sx") > 0) & (F.size("sy") > 0) & (F.size("sz") > 0))
     for a in "xyz":
         p = p.withColumn(f"s{a}", F.explode(f"s{a}"))
-    return _finish(p, cutoff, half)
+    return _finish(p, cutoff, half, carry)
 
 
-def _grid(ss: StructureSet, cutoff: float, half: bool, left: DataFrame) -> DataFrame:
+def _grid(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Atoms meet on (system, bin): one side, narrowed to key and position, is repeated for the bins around its own; the cell in which such a bin lies is the image."""
     spec = grid_spec(ss.systems, cutoff)
-    side = ("system_id", "atom_id", *POSITION)
-    j = bin_atoms(ss.atoms.select(*side), spec).select("system_id", F.col("atom_id").alias("j"), *[F.col(c).alias(f"j_{c}") for c in POSITION], "bx", "by", "bz", *[F.col(f"w{a}").alias(f"jw{a}") for a in "xyz"])
+    side = ("system_id", "atom_id", *dict.fromkeys((*POSITION, *carry)))
+    j = bin_atoms(ss.atoms.select(*side), spec).select("system_id", F.col("atom_id").alias("j"), *_ends(carry, "j"), "bx", "by", "bz", *[F.col(f"w{a}").alias(f"jw{a}") for a in "xyz"])
     i = bin_atoms(left.select(*side), spec)
     for k, a in enumerate("xyz"):
         i = i.withColumn("o", F.explode(F.sequence(-F.col("reach")[k], F.col("reach")[k])))
         at, n = F.col(f"b{a}") + F.col("o"), F.col("n")[k]
         i = i.withColumns({f"b{a}": F.when(F.col("pbc")[k], F.pmod(at, n)).otherwise(at), f"m{a}": F.when(F.col("pbc")[k], F.floor(at / n).cast("int") + F.col(f"w{a}")).otherwise(F.lit(0))})
-    i = i.select("system_id", F.col("atom_id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in POSITION], "cell", "bx", "by", "bz", "mx", "my", "mz")
+    i = i.select("system_id", F.col("atom_id").alias("i"), *_ends(carry, "i"), "cell", "bx", "by", "bz", "mx", "my", "mz")
     p = i.join(j, ["system_id", "bx", "by", "bz"])
-    return _finish(p.withColumns({f"s{a}": F.col(f"m{a}") - F.col(f"jw{a}") for a in "xyz"}), cutoff, half)
+    return _finish(p.withColumns({f"s{a}": F.col(f"m{a}") - F.col(f"jw{a}") for a in "xyz"}), cutoff, half, carry)
 
 
-def neighbor_pairs(ss: StructureSet, cutoff: float, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, max_bins: int = MAX_BINS) -> DataFrame:
+def neighbor_pairs(ss: StructureSet, cutoff: float, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs within ``cutoff``: (system_id, i, j, sx, sy, sz) and, with geometry, dx, dy, dz, r.
 
-    method "naive" joins all atoms of a system, "grid" bins them; by default the mean size of a system decides.
+    method "naive" joins all atoms of a system, "grid" bins them; by default each system's own size decides, so a large
+    one among many small ones is binned and the small ones are not.
     ``targets`` (system_id, atom_id) restricts i. ``strict`` raises where an active pair has distance 0. ``half``
-    keeps one direction: i < j, or a positive shift for an atom and its own image.
+    keeps one direction: i < j, or a positive shift for an atom and its own image. Columns of atoms named in ``carry``
+    come along as i_<name> and j_<name>, which spares a join for them later.
     """
     if cutoff <= 0:
         raise ValueError("cutoff must be positive")
     if not pbc:
         ss = ss.with_(systems=ss.systems.withColumn("pbc", F.array(*[F.lit(False)] * 3)))
-    if method is None:
-        row = ss.atoms.agg(F.count("*"), F.approx_count_distinct("system_id")).first()
-        method = "grid" if row[0] > GRID_FROM * max(1, row[1]) else "naive"
-    if method not in ("naive", "grid"):
+    if method not in (None, "naive", "grid"):
         raise ValueError(f"no such method: {method}")
-    left = ss.atoms if targets is None else ss.atoms.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")
-    pairs = _naive(ss, cutoff, half, left) if method == "naive" else _grid(ss.with_(systems=ss.systems), cutoff, half, left)
+    ways = {"naive": _naive, "grid": _grid}
+    of = {method: ss.atoms}
+    if method is None:
+        # a narrow count tells whether there are systems of either kind; only then are both joins planned
+        least, most = ss.atoms.groupBy("system_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
+        of = {"naive": ss.atoms} if (most or 0) <= GRID_FROM else {"grid": ss.atoms}
+        if (least or 0) <= GRID_FROM < (most or 0):
+            sized = ss.atoms.withColumn("_size", F.count("*").over(W.partitionBy("system_id")))
+            of = {"naive": sized.filter(F.col("_size") <= GRID_FROM).drop("_size"), "grid": sized.filter(F.col("_size") > GRID_FROM).drop("_size")}
+
+    def aimed(side: DataFrame) -> DataFrame:
+        return side if targets is None else side.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")
+
+    pairs = reduce(lambda x, y: x.unionByName(y), [ways[m](ss.with_(atoms=side), cutoff, half, aimed(side), carry) for m, side in of.items()])
     if strict:
         pairs = pairs.withColumn("r", F.when(F.col("r") == 0, F.raise_error(F.lit("two atoms of a pair coincide"))).otherwise(F.col("r")))
-    return pairs if with_geometry else pairs.select(*PAIR)
+    return pairs if with_geometry else pairs.drop(*GEOMETRY)
 
 
 def neighbor_pairs_dual(ss: StructureSet, rc1: float, rc2: float, **options) -> DataFrame:
@@ -158,7 +175,8 @@ def neighbor_pairs_dual(ss: StructureSet, rc1: float, rc2: float, **options) ->
 
 def mirror(pairs: DataFrame) -> DataFrame:
     """A half list with the other direction of each pair added."""
-    flip = {"i": F.col("j"), "j": F.col("i"), **{c: -F.col(c) for c in ("sx", "sy", "sz", "dx", "dy", "dz") if c in pairs.columns}}
+    other = {c: f"{'j' if c[0] == 'i' else 'i'}{c[1:]}" for c in pairs.columns if c in "ij" or c[:2] in ("i_", "j_")}
+    flip = {**{c: F.col(o) for c, o in other.items()}, **{c: -F.col(c) for c in ("sx", "sy", "sz", "dx", "dy", "dz") if c in pairs.columns}}
     return pairs.unionByName(pairs.select(*[flip.get(c, F.col(c)).alias(c) for c in pairs.columns]))
 
 

@@ -21,8 +21,9 @@ SQRT_PI = math.sqrt(math.pi)
 
 
 def with_atoms(pairs: DataFrame, atoms: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairs with the attributes of both atoms, as i_<name> and j_<name>."""
-    for end in ("i", "j"):
+    """Pairs with the attributes of both atoms, as i_<name> and j_<name>; those that came along with the pairs are not joined again."""
+    columns = [c for c in columns if not {f"i_{c}", f"j_{c}"} <= set(pairs.columns)]
+    for end in ("i", "j") if columns else ():
         side = atoms.select("system_id", F.col("atom_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
         pairs = pairs.join(side, ["system_id", end])
     return pairs
@@ -95,15 +96,20 @@ def ewald_real(pairs: DataFrame, atoms: DataFrame, alpha: float, out: str = "ene
     return coulomb(pairs, atoms, alpha, out, half)
 
 
-def dsf(pairs: DataFrame, atoms: DataFrame, alpha: float, cutoff: float, half: bool = False, charge: str = "q") -> DataFrame:
-    """(system_id, energy) of the damped shifted force sum with its self term; systems without pairs have the self term alone."""
+def dsf(pairs: DataFrame, atoms: DataFrame, alpha: float, cutoff: float, half: bool = False, charge: str = "q", out: str = "energy") -> DataFrame:
+    """The damped shifted force sum. (system_id, energy) has the self term, which systems without pairs have alone; out "forces" and "virial" have none."""
     r = F.col("r")
     erfc_c = math.erfc(alpha * cutoff)
     slope = erfc_c / cutoff**2 + 2 * alpha / SQRT_PI * math.exp(-((alpha * cutoff) ** 2)) / cutoff
     p = with_atoms(pairs.filter("r > 0"), atoms, [charge])
-    e = F.col(f"i_{charge}") * F.col(f"j_{charge}") * (erfc(f"{alpha!r} * r") / r - erfc_c / cutoff + slope * (r - cutoff))
+    qq, damp = F.col(f"i_{charge}") * F.col(f"j_{charge}"), erfc(f"{alpha!r} * r")
+    e = qq * (damp / r - erfc_c / cutoff + slope * (r - cutoff))
+    k = qq * (damp / (r * r) + (2 * alpha / SQRT_PI) * F.exp(-((alpha * r) ** 2)) / r - slope) / r
+    found = _potential(p, e, k, out, half)
+    if out != "energy":
+        return found
     self_ = atoms.groupBy("system_id").agg((F.sum(F.col(charge) * F.col(charge)) * -(erfc_c / (2 * cutoff) + alpha / SQRT_PI)).alias("energy"))
-    return combine([pair_aggregate(p, {"energy": e}, "system", half), self_])
+    return combine([found, self_])
 
 
 def combine(parts: Sequence[DataFrame], keys: Sequence[str] = ("system_id",), rename: dict[str, str] | None = None) -> DataFrame:
@@ -151,11 +157,25 @@ def structure_factor(atoms: DataFrame, kvecs: DataFrame, charge: str = "q") -> D
     return j.groupBy("system_id", "h", "k", "l", "kx", "ky", "kz").agg(F.sum(F.col(charge) * F.cos(phase)).alias("re"), F.sum(F.col(charge) * F.sin(phase)).alias("im"))
 
 
-def ewald_recip(ss: StructureSet, alpha: float, k_cutoff: float | None = None, bounds: Sequence[int] | None = None) -> DataFrame:
-    s = structure_factor(ss.atoms, k_vectors(ss.systems, k_cutoff, bounds)).join(ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v")), "system_id")
-    k2 = dot(vec(("kx", "ky", "kz")), vec(("kx", "ky", "kz")))
+def ewald_recip(ss: StructureSet, alpha: float, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, out: str = "energy", charge: str = "q") -> DataFrame:
+    """Reciprocal sum: (system_id, energy), "forces" (system_id, atom_id, fx, fy, fz) or "virial" (system_id, virial of nine)."""
+    k = vec(("kx", "ky", "kz"))
+    s = structure_factor(ss.atoms, k_vectors(ss.systems, k_cutoff, bounds), charge).join(ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v")), "system_id")
+    k2 = dot(k, k)
     green = 4 * math.pi / F.col("v") * F.exp(-k2 / (4 * alpha * alpha)) / k2  # half space: each vector stands for two
-    return s.groupBy("system_id").agg(F.sum(green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("energy"))
+    e = green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    if out == "energy":
+        return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
+    if out == "virial":
+        stretch = 2 * (1 / k2 + 1 / (4 * alpha * alpha))
+        parts = [F.sum(e * ((1.0 if a == b else 0.0) - stretch * k[a] * k[b])).alias(f"w{3 * a + b}") for a in range(3) for b in range(3)]
+        return s.groupBy("system_id").agg(*parts).select("system_id", F.array(*[f"w{n}" for n in range(9)]).alias("virial"))
+    if out != "forces":
+        raise ValueError("out must be energy, forces or virial")
+    j = ss.atoms.select("system_id", "atom_id", *POSITION, charge).join(s.select("system_id", "kx", "ky", "kz", (2 * green * F.col("re")).alias("a"), (2 * green * F.col("im")).alias("b")), "system_id")
+    j = j.withColumn("phase", F.col("kx") * F.col("x") + F.col("ky") * F.col("y") + F.col("kz") * F.col("z_pos"))
+    j = j.withColumn("g", F.col(charge) * (F.col("a") * F.sin("phase") - F.col("b") * F.cos("phase")))
+    return j.groupBy("system_id", "atom_id").agg(*[F.sum(F.col("g") * x).alias(c) for x, c in zip(k, ("fx", "fy", "fz"))])
 
 
 def ewald_self(ss: StructureSet, alpha: float, charge: str = "q") -> DataFrame:
@@ -190,7 +210,8 @@ def slab_correction(ss: StructureSet, charge: str = "q") -> DataFrame:
 def mesh_points(ss: StructureSet, dims: Sequence[int], order: int, columns: Sequence[str] = ()) -> DataFrame:
     """Atoms times the order^3 grid points they reach: gx, gy, gz, weight, and the weight's slope along each fractional axis (sa, sb, sc)."""
     s = ss.systems.select("system_id", cell_inverse(F.col("cell")).alias("inv"))
-    a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns).join(s, "system_id")
+    # dealt by system before each atom becomes order^3 rows: what is summed per system and point then needs no other exchange
+    a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns).repartition("system_id").join(s, "system_id")
     f = to_fractional(vec(POSITION), elements(F.col("inv")))
     a = a.withColumns({f"u{k}": f[k] * dims[k] for k in range(3)})
     for k in range(3):

@@ -17,6 +17,10 @@ from ..functions.order import running_sum
 from ..structures import StructureSet
 
 
+#: Cells of the unit interval, by which draws find their dataset.
+CELLS = 1024
+
+
 def shuffle_key(seed: int, epoch: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(i).cast("string") for i in ids]))
 
@@ -78,20 +82,24 @@ def weighted_sample(mixed: DataFrame, weights: dict[int, float] | None, n: int,
     lengths = _lengths(mixed, weights)
     spark = mixed.sparkSession
     if shuffle and replacement:
-        ends = lengths.filter("weight > 0").withColumn("hi", F.sum("weight").over(W.orderBy("dataset_id")) / F.sum("weight").over(W.partitionBy())).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("dataset_id")), F.lit(0.0)))
+        by = W.orderBy("dataset_id")  # a row for each dataset
+        ends = lengths.filter("weight > 0").withColumn("hi", F.sum("weight").over(by) / F.sum("weight").over(W.partitionBy())).withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0.0)))
+        # draws meet only the datasets that reach into their cell of the unit interval
+        ends = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
         u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), F.lit(salt), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-        draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("u", u("dataset"))
-        picked = draws.join(F.broadcast(ends), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))  # a row for each dataset
+        draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("u", u("dataset")).withColumn("cell", F.floor(F.col("u") * CELLS))
+        picked = draws.join(ends, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
         return picked.select("draw", "dataset_id", F.floor(u("row") * F.col("n")).cast("long").alias("local_index"))
     quota = allocate(lengths.select("dataset_id", "weight"), n).join(lengths.select("dataset_id", "n"), "dataset_id")
     if not replacement and not quota.filter("quota > n").isEmpty():
         raise ValueError("a dataset is too short to be drawn without replacement")
-    turns = quota.filter("quota > 0").select("dataset_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("k"))
-    order = [shuffle_key(seed, epoch, "dataset_id", "local_index")] if shuffle else []
-    ranked = mixed.select("dataset_id", "local_index").withColumn("pos", F.row_number().over(W.partitionBy("dataset_id").orderBy(*order, "local_index")) - 1)
+    base = F.coalesce(F.sum("quota").over(W.orderBy("dataset_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = quota.withColumn("base", base).filter("quota > 0").select("dataset_id", "n", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("k"))
+    rows = mixed.select("dataset_id", "local_index")
+    ranked = hash_rank(rows, shuffle_key(seed, epoch, "dataset_id", "local_index"), "pos", ("dataset_id",), ("local_index",)) if shuffle else rows.withColumn("pos", F.col("local_index"))
     rows = turns.withColumn("pos", F.col("k") % F.col("n")).join(ranked, ["dataset_id", "pos"])
-    last = [shuffle_key(seed, epoch, "dataset_id", "k")] if shuffle else []
-    return rows.withColumn("draw", F.row_number().over(W.orderBy(*last, "dataset_id", "k")) - 1).select("draw", "dataset_id", "local_index")
+    rows = hash_rank(rows, shuffle_key(seed, epoch, "dataset_id", "k"), "draw", (), ("dataset_id", "k")) if shuffle else rows.withColumn("draw", F.col("base") + F.col("k"))
+    return rows.select("draw", "dataset_id", "local_index")
 
 
 def batch_quotas(lengths: dict[int, int], batch_size: int, samples_per_dataset: dict[int, float] | str = "balanced") -> dict[int, int]:
@@ -122,22 +130,29 @@ def mixed_batches(mixed: DataFrame, batch_size: int, samples_per_dataset: dict[i
         raise ValueError("an empty dataset takes part")
     full = {k: lengths[k] // q for k, q in quota.items() if q}
     batches = {"min_size": min(full.values()), "max_size": max(-(-lengths[k] // q) for k, q in quota.items() if q), "dataset_size": sum(lengths.values()) // batch_size}[policy]
-    table = F.broadcast(mixed.sparkSession.createDataFrame([(k, q, -(-batches * q // lengths[k])) for k, q in quota.items() if q], "dataset_id int, quota int, turns int"))
-    r = mixed.select("dataset_id", "local_index").withColumn("_r", F.row_number().over(W.partitionBy("dataset_id").orderBy(shuffle_key(seed, epoch, "dataset_id", "local_index"), "local_index")) - 1)
-    r = r.withColumn("_n", F.count("*").over(W.partitionBy("dataset_id"))).join(table, "dataset_id").filter("turns > 0").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    table = F.broadcast(mixed.sparkSession.createDataFrame([(k, q, -(-batches * q // lengths[k]), lengths[k]) for k, q in quota.items() if q], "dataset_id int, quota int, turns int, _n long"))  # a row for each dataset
+    r = hash_rank(mixed.select("dataset_id", "local_index"), shuffle_key(seed, epoch, "dataset_id", "local_index"), "_r", ("dataset_id",), ("local_index",))
+    r = r.join(table, "dataset_id").filter("turns > 0").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     r = r.withColumn("batch_id", F.floor((F.col("_t") * F.col("_n") + F.col("_r")) / F.col("quota")))
     return r.filter(F.col("batch_id") < batches).select("batch_id", "dataset_id", "local_index")
 
 
+def hash_rank(df: DataFrame, by: Column, name: str, groups: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with each row's place, 0, 1, 2, ..., in the order of an MD5 text, within its group.
+
+    The first bits cut the order into even ranges; rows are ranked inside a range and ranges by their counts, so no task sees a whole group.
+    """
+    keyed = df.withColumn("_h", by).withColumn("_c", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long").bitwiseAND(F.lit(((1 << 14) - 1) << 34)))
+    n = keyed.groupBy(*groups, "_c").agg(F.count("*").alias("_n"))
+    base = n.select(*groups, "_c", F.coalesce(F.sum("_n").over(W.partitionBy(*groups).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.row_number().over(W.partitionBy(*groups, "_c").orderBy("_h", *ties)) - 1
+    placed = keyed.withColumn("_o", own).join(base, [*groups, "_c"])
+    return placed.select(*df.columns, (F.col("_b") + F.col("_o")).alias(name))
+
+
 def shuffle(df: DataFrame, seed: int, epoch: int, key: str = "system_id") -> DataFrame:
-    """``df`` with its place in the epoch's order: a range-partitioned sort, then counts of partitions, no global window."""
-    keyed = df.withColumn("_h", F.conv(F.substring(shuffle_key(seed, epoch, key), 1, 12), 16, 10).cast("long"))
-    # the first 48 bits cut the order into even ranges; ties inside go by the whole hash and the key
-    cut = F.floor(F.col("_h") / float(1 << 34))
-    n = keyed.groupBy(cut.alias("_c")).agg(F.count("*").alias("_n"))
-    base = n.select("_c", F.coalesce(F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = F.row_number().over(W.partitionBy("_c").orderBy(shuffle_key(seed, epoch, key), key)) - 1
-    return keyed.withColumn("_c", cut).withColumn("_o", own).join(base, "_c").withColumn("position", F.col("_b") + F.col("_o")).select(*df.columns, "position")
+    """``df`` with its place in the epoch's order."""
+    return hash_rank(df, shuffle_key(seed, epoch, key), "position", (), (key,))
 
 
 def shard(df: DataFrame, readers: int, drop_last: bool = False, position: str = "position") -> DataFrame:

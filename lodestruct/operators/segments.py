@@ -27,46 +27,86 @@ def per_system(df: DataFrame, exprs: dict[str, Column], key: str = "system_id",
     return out if empty is None else out.withColumns({n: F.coalesce(n, F.lit(empty)) for n in exprs})
 
 
+# What the functions below aggregate, by name; several of them go into one pass with ``per_system``.
+
+
+def sums(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"sum_{c}": F.sum(c) for c in columns}
+
+
+def component_sum(columns: Sequence[str]) -> dict[str, Column]:
+    return {"component_sum": F.sum(sum(vec(columns[1:]), F.col(columns[0])))}
+
+
+def dots(a: Sequence[str], b: Sequence[str]) -> dict[str, Column]:
+    """Sums of a.b (twice, as dot and xy), a.a and b.b."""
+    x, y = vec(a), vec(b)
+    return {"dot": F.sum(dot(x, y)), "xy": F.sum(dot(x, y)), "xx": F.sum(dot(x, x)), "yy": F.sum(dot(y, y))}
+
+
+def max_norm(columns: Sequence[str]) -> dict[str, Column]:
+    return {"max_norm": F.max(norm(vec(columns)))}
+
+
+def extremes(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"max_{c}": F.max(c) for c in columns} | {f"min_{c}": F.min(c) for c in columns}
+
+
+def means(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"mean_{c}": F.avg(c) for c in columns}
+
+
+def rms_norm(columns: Sequence[str]) -> dict[str, Column]:
+    return {"rms_norm": F.sqrt(F.avg(dot(vec(columns), vec(columns))))}
+
+
+def counts() -> dict[str, Column]:
+    return {"n": F.count("*")}
+
+
+def _only(found: dict[str, Column], *names: str) -> dict[str, Column]:
+    return {n: found[n] for n in names}
+
+
 def seg_sum(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {f"sum_{c}": F.sum(c) for c in columns}, key, of)
+    return per_system(df, sums(columns), key, of)
 
 
 def seg_component_sum(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {"component_sum": F.sum(sum(vec(columns[1:]), F.col(columns[0])))}, key, of)
+    return per_system(df, component_sum(columns), key, of)
 
 
 def seg_dot(df, a: Sequence[str], b: Sequence[str], key="system_id", of=None):
-    return per_system(df, {"dot": F.sum(dot(vec(a), vec(b)))}, key, of)
+    return per_system(df, _only(dots(a, b), "dot"), key, of)
 
 
 def seg_inner_products(df, a: Sequence[str], b: Sequence[str], key="system_id", of=None):
     """Sums of a.b, a.a and b.b."""
-    x, y = vec(a), vec(b)
-    return per_system(df, {"xy": F.sum(dot(x, y)), "xx": F.sum(dot(x, x)), "yy": F.sum(dot(y, y))}, key, of)
+    return per_system(df, _only(dots(a, b), "xy", "xx", "yy"), key, of)
 
 
 def seg_max_norm(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {"max_norm": F.max(norm(vec(columns)))}, key, of)
+    return per_system(df, max_norm(columns), key, of)
 
 
 def seg_max(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {f"max_{c}": F.max(c) for c in columns}, key, of, empty=None)
+    return per_system(df, _only(extremes(columns), *[f"max_{c}" for c in columns]), key, of, empty=None)
 
 
 def seg_min(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {f"min_{c}": F.min(c) for c in columns}, key, of, empty=None)
+    return per_system(df, _only(extremes(columns), *[f"min_{c}" for c in columns]), key, of, empty=None)
 
 
 def seg_mean(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {f"mean_{c}": F.avg(c) for c in columns}, key, of)
+    return per_system(df, means(columns), key, of)
 
 
 def seg_rms_norm(df, columns: Sequence[str], key="system_id", of=None):
-    return per_system(df, {"rms_norm": F.sqrt(F.avg(dot(vec(columns), vec(columns))))}, key, of)
+    return per_system(df, rms_norm(columns), key, of)
 
 
 def seg_count(df, key="system_id", of=None):
-    return per_system(df, {"n": F.count("*")}, key, of)
+    return per_system(df, counts(), key, of)
 
 
 def seg_broadcast(df: DataFrame, values: DataFrame, columns: Sequence[str], key: str = "system_id") -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.vectors import one_hot as one_hot_column
 from ..functions.vectors import voigt_to_matrix
 from ..operators import neighbors as N
 from ..operators import sampling as G
+from ..operators import segments as S
 from ..operators import structures as O
 from ..sources import sinks, store, views
 from ..structures import FORCE, POSITION, VELOCITY, StructureSet
@@ -55,11 +56,12 @@ def trim(spark, d):
     return O.trim(ss, ss.systems.filter("dataset = '1-URGENT'")).atoms.groupBy("system_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""{BASE}, w AS (SELECT c_custkey AS ordinal, (c_custkey * 7919) % 1000 AS system_id FROM customer)
+@query(f"""{BASE}, w AS (SELECT c_custkey AS ordinal, (c_custkey * 7919) % (SELECT max(o_orderkey) + 1 FROM orders) AS system_id FROM customer)
 SELECT ordinal, energy, count(atom_id) AS n FROM w JOIN systems USING (system_id) LEFT JOIN atoms USING (system_id) GROUP BY ALL""")
 def take(spark, d):
     ss = views.structures(spark, d)
-    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("ordinal"), (F.col("c_custkey") * 7919 % 1000).alias("system_id"))
+    top = ss.systems.agg(F.max("system_id") + 1).first()[0]
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("ordinal"), (F.col("c_custkey") * 7919 % top).alias("system_id"))
     got = O.take(ss, wanted)
     n = got.atoms.groupBy("system_id").agg(F.count("*").alias("n"))
     return got.systems.join(n, "system_id", "left").select(F.col("system_id").alias("ordinal"), "energy", F.coalesce("n", F.lit(0)).alias("n"))
@@ -141,10 +143,14 @@ def one_hot(spark, d):
     return a.select("system_id", "atom_id", F.coalesce("z_index", F.lit(-1)).alias("z_index"), F.array_join(one_hot_column(F.col("z") - 1, 8).cast("array<string>"), "").alias("hot"))
 
 
-@query(f"{BASE} SELECT system_id, '1,6,5,6,2,4,5,4,3' AS stress FROM systems")
+@query(f"""{BASE}, s AS (SELECT s.system_id, coalesce(sum(fx * x), 0)::BIGINT AS a, coalesce(sum(fy * y * 100), 0)::BIGINT AS b, coalesce(sum(fz * z_pos * 100), 0)::BIGINT AS c, count(atom_id) AS n FROM systems s LEFT JOIN atoms USING (system_id) GROUP BY ALL)
+SELECT system_id, a || ',' || n || ',' || (n + 1) || ',' || n || ',' || b || ',' || (n + 2) || ',' || (n + 1) || ',' || (n + 2) || ',' || c AS stress FROM s""")
 def voigt(spark, d):
-    m = voigt_to_matrix(F.array(*[F.lit(k) for k in range(1, 7)]))
-    return views.systems(spark, d).select("system_id", F.array_join(m.cast("array<string>"), ",").alias("stress"))
+    """A stress of six made from each system's atoms, as three by three."""
+    ss = views.structures(spark, d)
+    x = S.per_system(ss.atoms, {"a": F.sum(F.col("fx") * F.col("x")), "b": F.sum(F.col("fy") * F.col("y") * 100), "c": F.sum(F.col("fz") * F.col("z_pos") * 100), "n": F.count("*")}, of=ss.systems)
+    six = F.array(*[F.round(F.col(c)).cast("long") for c in "abc"], F.col("n") + 2, F.col("n") + 1, F.col("n"))
+    return x.select("system_id", F.array_join(voigt_to_matrix(six).cast("array<string>"), ",").alias("stress"))
 
 
 _FP = "l AS (SELECT s.system_id, coalesce(string_agg(printf('%d,%.6f,%.6f,%.6f', z, x, y, z_pos), ';' ORDER BY z, x, y, z_pos), '') AS t FROM systems s LEFT JOIN atoms USING (system_id) GROUP BY ALL)"
@@ -201,16 +207,19 @@ def admit_capacity(spark, d):
     return G.admit(O.sizes(views.structures(spark, d)), {"num_atoms": 20000}).select("system_id", "num_atoms")
 
 
-@query(f"""{BASE}, k AS (SELECT system_id, row_number() OVER (ORDER BY 0 + system_id) - 1 AS id FROM systems WHERE dataset IN ('1-URGENT', '2-HIGH') AND system_id % 3 <> 0 AND dataset = '1-URGENT'),
-m AS (SELECT count(*) AS n FROM k), j AS (SELECT system_id, row_number() OVER (ORDER BY system_id) - 1 AS id FROM systems WHERE dataset = '2-HIGH'),
-u AS (SELECT system_id, id FROM k UNION ALL SELECT system_id, id + n FROM j, m)
-SELECT id AS system_id, energy, count(atom_id) AS n FROM u JOIN systems USING (system_id) LEFT JOIN atoms USING (system_id) GROUP BY ALL""")
+_PARTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"""{BASE}, k AS (SELECT system_id, dataset, row_number() OVER (ORDER BY dataset <> '1-URGENT', dataset, system_id) - 1 AS id FROM systems WHERE dataset <> '1-URGENT' OR system_id % 3 <> 0)
+SELECT id AS system_id, energy, count(atom_id) AS n FROM k JOIN systems USING (system_id) LEFT JOIN atoms USING (system_id) GROUP BY ALL""")
 def store_round_trip(spark, d):
-    """Write one part, delete a third of it, append another part, compact, read."""
+    """Write one part, delete a third of it, append the four others, compact, read."""
     ss, path = views.structures(spark, d), folder(spark, "store")
-    store.write_structures(O.select_systems(ss, ss.systems.filter("dataset = '1-URGENT'")), path)
+    part = lambda n: O.select_systems(ss, ss.systems.filter(F.col("dataset") == n))
+    store.write_structures(part(_PARTS[0]), path)
     store.delete_structures(spark, path, ss.systems.filter("dataset = '1-URGENT' and system_id % 3 = 0"))
-    store.append_structures(O.select_systems(ss, ss.systems.filter("dataset = '2-HIGH'")), path)
+    for n in _PARTS[1:]:
+        store.append_structures(part(n), path)
     store.compact(spark, path)
     got = store.read_structures(spark, path)
     n = got.atoms.groupBy("system_id").agg(F.count("*").alias("n"))
@@ -235,18 +244,53 @@ def normalise_records(spark, d):
     return ss.systems.select("system_id", "energy").join(n, "system_id")
 
 
-@query(f"{BASE} SELECT system_id, step, energy FROM trajectory WHERE step % 5 = 0")
+@query(f"{BASE} SELECT system_id, step, energy FROM trajectory")
 def log_csv(spark, d):
     path = folder(spark, "log")
-    sinks.write_log_csv(views.trajectory(spark, d).filter("step % 5 = 0").select("system_id", "step", "energy"), path)
+    sinks.write_log_csv(views.trajectory(spark, d).select("system_id", "step", "energy"), path)
     return spark.read.option("header", True).schema("system_id long, step long, energy double").csv(path)
 
 
-@query(f"{BASE} SELECT system_id, energy FROM systems WHERE dataset IN ('1-URGENT', '5-LOW')")
+@query(f"{BASE} SELECT system_id, energy FROM systems")
 def sink_drain(spark, d):
-    """Two batches, one of them written twice, then drained."""
+    """A batch for each part, all of them written twice at full capacity, then drained."""
     s, path = views.systems(spark, d).select("system_id", "energy", "dataset"), folder(spark, "sink")
-    sink = sinks.Sink(spark, path)
-    for k, part in ((0, "1-URGENT"), (1, "5-LOW"), (1, "5-LOW")):
+    sink = sinks.Sink(spark, path, capacity=s.count())
+    for k, part in [*enumerate(_PARTS), *enumerate(_PARTS)]:
         sink.write(s.filter(F.col("dataset") == part).select("system_id", "energy"), k)
     return sink.drain(folder(spark, "drained"))
+
+
+@query(f"{BASE}, {_NUM} SELECT dataset, count(*) AS n, sum(num_atoms)::BIGINT AS num_atoms FROM n JOIN systems USING (system_id) GROUP BY ALL")
+def sink_bounded(spark, d):
+    """All systems into a sink that has just room for them."""
+    ss = views.structures(spark, d)
+    sized = O.sizes(ss).join(ss.systems.select("system_id", "dataset"), "system_id")
+    limit = sized.agg(F.count("*"), F.max("num_atoms")).first()
+    sink = sinks.BoundedSink(spark, folder(spark, "bounded"), limit[0], limit[1], max_edges=0)
+    for part in _PARTS:
+        sink.write(sized.filter(F.col("dataset") == part))
+    return sink.read().groupBy("dataset").agg(F.count("*").alias("n"), F.sum("num_atoms").alias("num_atoms"))
+
+
+@query(f"{BASE}, {_NUM} SELECT system_id, num_atoms, energy FROM n JOIN systems USING (system_id)")
+def persisted(spark, d):
+    """Served from what the executors keep."""
+    ss = views.structures(spark, d).persist()
+    n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("n"))
+    return ss.systems.join(n, "system_id", "left").select("system_id", F.coalesce("n", F.lit(0)).alias("num_atoms"), "energy")
+
+
+@query(f"{BASE} SELECT 'systems' AS level, 0::BIGINT AS n, (SELECT count(*) FROM systems) AS of_n UNION ALL SELECT 'atoms', 0, (SELECT count(*) FROM atoms)")
+def empty_like(spark, d):
+    """The same columns without rows, beside the rows that there were."""
+    ss = views.structures(spark, d)
+    none = O.empty_like(ss)
+    rows = [none.levels()[k].select(F.lit(k).alias("level"), F.lit(1).alias("n"), F.lit(0).alias("of")).unionByName(df.select(F.lit(k).alias("level"), F.lit(0).alias("n"), F.lit(1).alias("of"))) for k, df in ss.levels().items()]
+    return rows[0].unionByName(rows[1]).groupBy("level").agg(F.sum("n").alias("n"), F.sum("of").alias("of_n"))
+
+
+@query(f"{BASE}, {_NUM} SELECT system_id, num_atoms, 0::BIGINT AS num_edges FROM n")
+def drop_edges(spark, d):
+    ss = views.structures(spark, d)
+    return O.sizes(O.drop_edges(ss.with_(edges=N.neighbor_pairs(ss, 3.7))))

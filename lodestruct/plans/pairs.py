@@ -19,9 +19,9 @@ _LJ = "4 * 0.1e0 * ((3.0e0 / r) ** 12 - (3.0e0 / r) ** 6)"
 _K = "24 * 0.1e0 * (2 * (3.0e0 / r) ** 12 - (3.0e0 / r) ** 6) / (r * r)"
 
 
-def _ss(spark, d):
+def _ss(spark, d, *carry):
     ss = views.structures(spark, d)
-    return ss, N.neighbor_pairs(ss, RC)
+    return ss, N.neighbor_pairs(ss, RC, carry=carry)
 
 
 @query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, round(sum({_LJ}) / 2, 4) AS energy FROM pairs WHERE r > 0 GROUP BY ALL")
@@ -56,14 +56,14 @@ def lj_switched(spark, d):
 @query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, i AS atom_id, round(sum(i_z * j_z / (r + 1)) / 2, 4) AS e FROM pairs GROUP BY ALL")
 def pair_aggregate(spark, d):
     """A formula of one's own, per atom."""
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "z")
     p = E.with_atoms(p, ss.atoms, ["z"])
     return rounded(E.pair_aggregate(p, {"e": F.col("i_z") * F.col("j_z") / (F.col("r") + 1)}, "atom"), "e", digits=4)
 
 
 @query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, round(sum(i_q * j_q / r) / 2, 6) AS energy FROM pairs WHERE r > 0 GROUP BY ALL")
 def coulomb_energy(spark, d):
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     return rounded(E.coulomb(p, ss.atoms), "energy")
 
 
@@ -72,7 +72,7 @@ _REAL = f"i_q * j_q * {erfc_sql(f'{ALPHA!r} * r')} / r"
 
 @query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, round(sum({_REAL}) / 2, 6) AS energy FROM pairs WHERE r > 0 GROUP BY ALL")
 def ewald_real(spark, d):
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     return rounded(E.ewald_real(p, ss.atoms, ALPHA), "energy")
 
 
@@ -85,10 +85,36 @@ _SL = _EC / RC**2 + 2 * ALPHA / math.sqrt(math.pi) * math.exp(-((ALPHA * RC) **
   UNION ALL SELECT system_id, q * q * -({_EC / (2 * RC)!r} + {ALPHA / math.sqrt(math.pi)!r}) FROM atoms)
 SELECT system_id, round(sum(e), 5) AS energy FROM e GROUP BY ALL""")
 def dsf_energy(spark, d):
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     return rounded(E.dsf(p, ss.atoms, ALPHA, RC), "energy", digits=5)
 
 
+_DK = f"i_q * j_q * ({erfc_sql(f'{ALPHA!r} * r')} / (r * r) + {2 * ALPHA / math.sqrt(math.pi)!r} * exp(-{ALPHA * ALPHA!r} * r * r) / r - {_SL!r}) / r"
+
+
+@query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, i AS atom_id, round(sum({_DK} * dx), 6) AS fx, round(sum({_DK} * dy), 6) AS fy, round(sum({_DK} * dz), 6) AS fz FROM pairs WHERE r > 0 GROUP BY ALL")
+def dsf_forces(spark, d):
+    ss, p = _ss(spark, d, "q")
+    return rounded(E.dsf(p, ss.atoms, ALPHA, RC, out="forces"), "fx", "fy", "fz")
+
+
+@query(f"{BASE}, {pairs_sql(RC)} SELECT system_id, round(sum({_DK} * dx * dx) / 2, 5) AS wxx, round(sum({_DK} * dx * dz) / 2, 5) AS wxz FROM pairs WHERE r > 0 GROUP BY ALL")
+def dsf_virial(spark, d):
+    ss, p = _ss(spark, d, "q")
+    return E.dsf(p, ss.atoms, ALPHA, RC, out="virial").select("system_id", r(F.col("virial")[0], 5).alias("wxx"), r(F.col("virial")[2], 5).alias("wxz"))
+
+
+_CK = "i_q * j_q / (r * r * r)"
+
+
+@query(f"{BASE}, {pairs_sql(RC)}, f AS (SELECT system_id, i AS atom_id, round(sum({_CK} * dx), 6) AS fx, round(sum({_CK} * dy), 6) AS fy FROM pairs WHERE r > 0 GROUP BY ALL), w AS (SELECT system_id, round(sum({_CK} * dy * dy) / 2, 5) AS wyy FROM pairs WHERE r > 0 GROUP BY ALL) SELECT * FROM f JOIN w USING (system_id)")
+def coulomb_forces(spark, d):
+    """With the virial of each system beside its atoms' forces."""
+    ss, p = _ss(spark, d, "q")
+    w = E.coulomb(p, ss.atoms, out="virial").select("system_id", r(F.col("virial")[4], 5).alias("wyy"))
+    return rounded(E.coulomb(p, ss.atoms, out="forces").select("system_id", "atom_id", "fx", "fy"), "fx", "fy").join(w, "system_id")
+
+
 _KV = f"""kv AS (SELECT h, k, l, 2 * pi() * h / {A} AS kx, 2 * pi() * k / {B} AS ky, 2 * pi() * l / {C} AS kz FROM (SELECT unnest(range(0, 4)) AS h), (SELECT unnest(range(-1, 2)) AS k), (SELECT unnest(range(-1, 2)) AS l)
   WHERE h > 0 OR (h = 0 AND (k > 0 OR (k = 0 AND l > 0)))),
 sf AS (SELECT system_id, h, k, l, kx * kx + ky * ky + kz * kz AS k2, sum(q * cos(kx * x + ky * y + kz * z_pos)) AS re, sum(q * sin(kx * x + ky * y + kz * z_pos)) AS im FROM atoms, kv GROUP BY ALL)"""
@@ -117,10 +143,28 @@ def ewald_recip(spark, d):
   UNION ALL SELECT system_id, -{ALPHA / math.sqrt(math.pi)!r} * sum(q * q) - {math.pi / (2 * ALPHA**2 * V)!r} * sum(q) * sum(q) FROM atoms GROUP BY ALL)
 SELECT system_id, round(sum(e), 6) AS energy FROM e GROUP BY ALL""")
 def ewald_energy(spark, d):
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     return rounded(E.ewald(ss, p, ALPHA, bounds=BOUNDS), "energy")
 
 
+_GR = f"4 * pi() / {V} * exp(-k2 / {4 * ALPHA * ALPHA!r}) / k2"
+
+
+@query(f"""{BASE}, {_KV} SELECT a.system_id, atom_id, {", ".join(f"round(sum(2 * {_GR} * q * (re * sin(p) - im * cos(p)) * k{c}), 6) AS f{c}" for c in "xyz")}
+FROM (SELECT system_id, atom_id, q, h, k, l, kx, ky, kz, kx * x + ky * y + kz * z_pos AS p FROM atoms, kv) a JOIN sf USING (system_id, h, k, l) GROUP BY ALL""")
+def ewald_recip_forces(spark, d):
+    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, bounds=BOUNDS, out="forces"), "fx", "fy", "fz")
+
+
+_EK, _ST = f"{_GR} * (re * re + im * im)", f"2 * (1 / k2 + {1 / (4 * ALPHA * ALPHA)!r})"
+
+
+@query(f"{BASE}, {_KV} SELECT system_id, round(sum({_EK} * (1 - {_ST} * kx * kx)), 6) AS wxx, round(sum({_EK} * -{_ST} * ky * kz), 6) AS wyz FROM sf JOIN kv USING (h, k, l) GROUP BY ALL")
+def ewald_recip_virial(spark, d):
+    w = E.ewald_recip(views.structures(spark, d), ALPHA, bounds=BOUNDS, out="virial")
+    return w.select("system_id", r(F.col("virial")[0]).alias("wxx"), r(F.col("virial")[5]).alias("wyz"))
+
+
 #: Where exp(-k^2 / 4 ALPHA^2) falls to 1e-6, as in ewald_parameters; the box of these indices is (21, 4, 3) in the fixed lattice.
 K_CUTOFF = 2 * ALPHA * math.sqrt(-math.log(1e-6))
 
@@ -145,7 +189,7 @@ def ewald_recip_full(spark, d):
 @query()
 def ewald_energy_full(spark, d):
     """The reciprocal sum is whole; the real sum ends at RC, as in ewald_real."""
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     return rounded(E.ewald(ss, p, ALPHA, K_CUTOFF), "energy")
 
 
@@ -174,13 +218,13 @@ def _m4(u: str) -> str:
 _MESH = f"""u AS (SELECT system_id, atom_id, q, x / {A} * {DIMS[0]} AS ux, y / {B} * {DIMS[1]} AS uy, z_pos / {C} * {DIMS[2]} AS uz FROM atoms),
 g AS (SELECT system_id, atom_id, q, (((floor(ux)::INT - ox) % {DIMS[0]} + {DIMS[0]}) % {DIMS[0]})::INT AS gx, (((floor(uy)::INT - oy) % {DIMS[1]} + {DIMS[1]}) % {DIMS[1]})::INT AS gy, (((floor(uz)::INT - oz) % {DIMS[2]} + {DIMS[2]}) % {DIMS[2]})::INT AS gz,
   {_m4('(ux - floor(ux) + ox)')} * {_m4('(uy - floor(uy) + oy)')} * {_m4('(uz - floor(uz) + oz)')} AS w FROM u, (SELECT unnest(range(0, 4)) AS ox), (SELECT unnest(range(0, 4)) AS oy), (SELECT unnest(range(0, 4)) AS oz)),
-mesh AS (SELECT system_id, gx, gy, gz, sum(w * q) AS q FROM g GROUP BY ALL)"""
+mesh AS (SELECT system_id, gx, gy, gz, sum(w * q) AS q, max(w) AS top FROM g GROUP BY ALL)"""
 
 
-@query(f"{BASE}, {_MESH} SELECT system_id, gx, gy, gz, round(q, 5) AS q FROM mesh WHERE abs(q) > 1e-4")
+@query(f"{BASE}, {_MESH} SELECT system_id, gx, gy, gz, round(q, 5) AS q FROM mesh WHERE top > 0")
 def mesh_spread(spark, d):
-    m = E.spread(views.structures(spark, d), DIMS)
-    return rounded(m.filter("abs(q) > 1e-4"), "q", digits=5)
+    """Every point that an atom reaches."""
+    return rounded(E.spread(views.structures(spark, d), DIMS), "q", digits=5)
 
 
 @query(f"{BASE}, {_MESH} SELECT g.system_id, atom_id, round(sum(w * coalesce(mesh.q, 0)), 5) AS q FROM g LEFT JOIN mesh USING (system_id, gx, gy, gz) GROUP BY ALL")
@@ -189,6 +233,35 @@ def mesh_gather(spark, d):
     return rounded(E.gather(E.spread(ss, DIMS), ss, DIMS), "q", digits=5)
 
 
+def _m(u: str, order: int) -> str:
+    """B-spline of an order from truncated powers, 0 outside."""
+    powers = " ".join(f"{'+' if k % 2 == 0 else '-'} {math.comb(order, k)} * greatest({u} - {k}, 0) ** {order - 1}" for k in range(order + 1))
+    return f"(CASE WHEN {u} > 0 AND {u} < {order} THEN (0 {powers}) / {math.factorial(order - 1)} ELSE 0 END)"
+
+
+def _slope(u: str, order: int) -> str:
+    return f"({_m(u, order - 1)} - {_m(f'({u} - 1)', order - 1)})"
+
+
+_D3 = (10, 4, 6)
+_T = [f"(u{c} - floor(u{c}) + o{c})" for c in "xyz"]
+_GRAD = f"""u AS (SELECT system_id, atom_id, q, mass, x / {A} * {_D3[0]} AS ux, y / {B} * {_D3[1]} AS uy, z_pos / {C} * {_D3[2]} AS uz FROM atoms),
+g AS (SELECT system_id, atom_id, q, mass, {", ".join(f"(((floor(u{c})::INT - o{c}) % {n} + {n}) % {n})::INT AS g{c}" for c, n in zip("xyz", _D3))},
+  {_m(_T[0], 3)} * {_m(_T[1], 3)} * {_m(_T[2], 3)} AS w, {_slope(_T[0], 3)} * {_D3[0] / A!r} * {_m(_T[1], 3)} * {_m(_T[2], 3)} AS sx, {_m(_T[0], 3)} * {_slope(_T[1], 3)} * {_D3[1] / B!r} * {_m(_T[2], 3)} AS sy,
+  {_m(_T[0], 3)} * {_m(_T[1], 3)} * {_slope(_T[2], 3)} * {_D3[2] / C!r} AS sz FROM u, (SELECT unnest(range(0, 3)) AS ox), (SELECT unnest(range(0, 3)) AS oy), (SELECT unnest(range(0, 3)) AS oz)),
+mesh AS (SELECT system_id, gx, gy, gz, sum(w * q) AS q, sum(w * mass) AS mass FROM g GROUP BY ALL)"""
+
+
+@query(f"""{BASE}, {_GRAD} SELECT g.system_id, atom_id, round(sum(w * mesh.q), 5) AS q, round(sum(w * mesh.mass), 5) AS mass, {", ".join(f"round(sum(s{c} * mesh.q), 5) AS dq_d{c}" for c in "xyz")}, round(sum(sy * mesh.mass), 5) AS dmass_dy
+FROM g JOIN mesh USING (system_id, gx, gy, gz) GROUP BY ALL""")
+def mesh_gather_gradient(spark, d):
+    """Two channels, third order, another grid: values and slopes in one pass."""
+    ss, channels = views.structures(spark, d), ("q", "mass")
+    g = E.gather(E.spread(ss, _D3, 3, channels), ss, _D3, 3, channels, gradient=True)
+    names = ("q", "mass", "dq_dx", "dq_dy", "dq_dz", "dmass_dy")
+    return rounded(g.select("system_id", "atom_id", *names), *names, digits=5)
+
+
 def _elements(spark):
     """Made-up but fixed parameters of eight elements."""
     return spark.range(1, 9).selectExpr("CAST(id AS INT) AS z", "1.5D + 0.25D * id AS rcov", "2.0D + 0.1D * id AS r4r2")
@@ -219,6 +292,6 @@ def dispersion_d3(spark, d):
 @query(f"""{BASE}, {pairs_sql(RC)} SELECT s.system_id, round(coalesce(sum({_LJ} + i_q * j_q / r) / 2, 0) + energy, 6) AS energy FROM systems s LEFT JOIN (SELECT * FROM pairs WHERE r > 0) USING (system_id) GROUP BY s.system_id, energy""")
 def combined_energy(spark, d):
     """Contributions of three sources added by key, one of them renamed."""
-    ss, p = _ss(spark, d)
+    ss, p = _ss(spark, d, "q")
     label = ss.systems.select("system_id", F.col("energy").alias("e0"))
     return rounded(E.combine([E.lj(p, 0.1, 3.0), E.coulomb(p, ss.atoms), label], rename={"e0": "energy"}), "energy")

@@ -25,11 +25,12 @@ def mix_datasets(spark, d):
     return _mixed(spark, d).select("system_id", "dataset_id", "local_index", "global_index")
 
 
-@query(f"{_MIX}, w AS (SELECT c_custkey AS ordinal, c_custkey * 31 % 1000 AS g FROM customer) SELECT ordinal, dataset_id, local_index FROM w JOIN mixed ON global_index = CASE WHEN ordinal % 2 = 0 THEN g ELSE (SELECT count(*) FROM orders) - 1 - g END")
+@query(f"{_MIX}, w AS (SELECT c_custkey AS ordinal, c_custkey * 31 % (SELECT count(*) FROM orders) AS g FROM customer) SELECT ordinal, dataset_id, local_index FROM w JOIN mixed ON global_index = CASE WHEN ordinal % 2 = 0 THEN g ELSE (SELECT count(*) FROM orders) - 1 - g END")
 def mix_locate(spark, d):
-    g = F.col("c_custkey") * 31 % 1000
+    mixed = _mixed(spark, d)
+    g = F.col("c_custkey") * 31 % mixed.count()
     wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("ordinal"), F.when(F.col("c_custkey") % 2 == 0, g).otherwise(-1 - g).alias("global_index"))
-    return G.locate(_mixed(spark, d), wanted)
+    return G.locate(mixed, wanted)
 
 
 @query("""SELECT dataset_id, (f + (rank <= 1000 - sum(f) OVER ())::INT)::BIGINT AS quota FROM (SELECT *, row_number() OVER (ORDER BY s - f DESC, dataset_id) AS rank FROM (

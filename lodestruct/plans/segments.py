@@ -19,14 +19,21 @@ _LEFT = "FROM systems s LEFT JOIN atoms USING (system_id) GROUP BY s.system_id"
 def seg_stats(spark, d):
     ss = views.structures(spark, d)
     a, s = ss.atoms, ss.systems
-    parts = [
-        S.seg_sum(a, ["fx"], of=s), S.seg_component_sum(a, POSITION, of=s), S.seg_dot(a, FORCE, VELOCITY, of=s), S.seg_inner_products(a, FORCE, VELOCITY, of=s).drop("xy"),
-        S.seg_max_norm(a, FORCE, of=s), S.seg_max(a, ["x"], of=s), S.seg_min(a, ["x"], of=s), S.seg_mean(a, ["fx"], of=s), S.seg_rms_norm(a, VELOCITY, of=s), S.seg_count(a, of=s),
-    ]
+    zero = S.per_system(a, S.sums(["fx"]) | S.component_sum(POSITION) | S.dots(FORCE, VELOCITY) | S.max_norm(FORCE) | S.means(["fx"]) | S.rms_norm(VELOCITY) | S.counts() | S.extremes(["x"]), of=s, empty=None)
+    out = zero.drop("xy").na.fill(0, [c for c in zero.columns if c not in ("xy", "max_x", "min_x")])
+    return rounded(rounded(out, "sum_fx", "component_sum", "dot", "yy", "max_norm", "mean_fx", "rms_norm", digits=9), "xx", digits=3)
+
+
+@query(f"""{BASE} SELECT s.system_id, round(coalesce(sum(fx), 0), 9) AS sum_fx, round(coalesce(sum(fx * vx + fy * vy + fz * vz), 0), 9) AS xy, round(coalesce(sum(x + y + z_pos), 0), 9) AS component_sum, max(y) AS max_y, min(y) AS min_y, round(coalesce(avg(y), 0), 9) AS mean_y {_LEFT}""")
+def seg_each(spark, d):
+    """The same aggregates by their own functions, joined."""
+    ss = views.structures(spark, d)
+    a, s = ss.atoms, ss.systems
+    parts = [S.seg_sum(a, ["fx"], of=s), S.seg_inner_products(a, FORCE, VELOCITY, of=s).select("system_id", "xy"), S.seg_component_sum(a, POSITION, of=s), S.seg_max(a, ["y"], of=s), S.seg_min(a, ["y"], of=s), S.seg_mean(a, ["y"], of=s)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "system_id")
-    return rounded(rounded(out, "sum_fx", "component_sum", "dot", "yy", "max_norm", "mean_fx", "rms_norm", digits=9), "xx", digits=3)
+    return rounded(out, "sum_fx", "xy", "component_sum", "mean_y", digits=9)
 
 
 _COM = ", m AS (SELECT system_id, sum(mass * vx) / sum(mass) AS cx, sum(mass * vy) / sum(mass) AS cy, sum(mass * vz) / sum(mass) AS cz FROM atoms GROUP BY system_id)"

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import admit
 
 
 class Sink:
-    """A Parquet table that batches are appended to. A batch id makes writing again harmless: each has a directory of its own, replaced whole."""
+    """A Parquet table that batches are appended to.
+
+    A batch id makes writing again harmless: each has a directory of its own, replaced whole, and what it replaces does
+    not count against the capacity. A write that does not fit is an error and changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str, capacity: int | None = None) -> None:
         self.spark, self.path, self.capacity = spark, path, capacity
@@ -21,9 +24,12 @@ class Sink:
     def write(self, df: DataFrame, batch_id: int | None = None) -> None:
         fs, p = self._fs()
         if batch_id is None:
-            batch_id = len(fs.listStatus(p)) if fs.exists(p) else 0
-        if self.capacity is not None and len(self) + df.count() > self.capacity:
-            raise OverflowError(f"the sink holds {self.capacity} rows")
+            names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+            batch_id = 1 + max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1)
+        if self.capacity is not None:
+            others = self.read().filter(F.col("batch") != batch_id).count() if len(self) else 0
+            if others + df.count() > self.capacity:
+                raise OverflowError(f"the sink holds {self.capacity} rows")
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def read(self) -> DataFrame:
@@ -48,16 +54,26 @@ class Sink:
 
 
 class BoundedSink(Sink):
-    """Takes rows in order while atoms and systems fit; more systems than fit at all, or one system too large, is an error."""
+    """Room for ``max_systems`` systems of at most ``max_atoms`` atoms and ``max_edges`` edges each.
+
+    Rows have num_atoms and, if edges are limited, num_edges. A system over a limit, or more systems than fit, is an
+    error; no system is left out.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, max_systems: int, max_atoms: int) -> None:
+    def __init__(self, spark: SparkSession, path: str, max_systems: int, max_atoms: int, max_edges: int | None = None) -> None:
         super().__init__(spark, path, max_systems)
-        self.max_atoms = max_atoms
+        self.limits = {"num_atoms": max_atoms} | ({} if max_edges is None else {"num_edges": max_edges})
 
     def write(self, df: DataFrame, batch_id: int | None = None) -> None:
-        if not df.filter(F.col("num_atoms") > self.max_atoms).isEmpty():
-            raise OverflowError(f"a system has more than {self.max_atoms} atoms")
-        super().write(admit(df, {"num_atoms": self.max_atoms}), batch_id)
+        for column, limit in self.limits.items():
+            if not df.filter(F.col(column) > limit).isEmpty():
+                raise OverflowError(f"a system has {column} over {limit}")
+        super().write(df, batch_id)
+
+    def room(self) -> dict[str, int]:
+        """Systems that still fit, and the atoms and edges that they can have in all."""
+        free = self.capacity - len(self)
+        return {"systems": free} | {c: free * n for c, n in self.limits.items()}
 
 
 def write_log_csv(df: DataFrame, path: str, mode: str = "append") -> None:

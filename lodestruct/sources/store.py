@@ -1,11 +1,15 @@
 """Structure datasets on storage: one Parquet directory per level, one for deletions.
 
-A dataset at ``path`` has versions ``v0``, ``v1``, ... and a pointer to the current one, so that a rewrite never harms
-a reader; the pointer is replaced last. All file access goes through Spark and Hadoop, so any store they know will do.
+A dataset at ``path`` is the list of its versions, ``versions/0``, ``versions/1``, ...; each names the parts (three levels
+each) and the deletions that it is made of. Every change writes new files and then a new version, which appears whole by
+renaming, so a reader sees one version or the next, never part of either. Two writers of the same version: the second
+one fails. All file access goes through Spark and Hadoop, so any store they know will do.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +31,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _version(spark: SparkSession, path: str) -> int:
-    return int(spark.read.text(f"{path}/current").first()[0])
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _fs(spark, f"{path}/versions")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
 
 
-def _point(spark: SparkSession, path: str, version: int) -> None:
-    spark.range(1).select(F.lit(str(version)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/current")
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, list[str]]]:
+    """Number and content of the current version."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return found[-1], json.loads(spark.read.text(f"{path}/versions/{found[-1]}", wholetext=True).first()[0])
 
 
-def _root(spark: SparkSession, path: str) -> str:
-    return f"{path}/v{_version(spark, path)}"
+def _publish(spark: SparkSession, path: str, version: int, parts: list[str], deleted: list[str]) -> None:
+    fs, final = _fs(spark, f"{path}/versions/{version}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/_{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"parts": parts, "deleted": deleted}).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise FileExistsError(f"version {version} of {path} was written by another")
+
+
+def _new(kind: str) -> str:
+    return f"{kind}/{uuid.uuid4().hex}"
 
 
 def _marked(df: DataFrame, level: str) -> DataFrame:
@@ -55,27 +74,26 @@ def _write_levels(ss: StructureSet, root: str, mode: str, options: dict) -> None
 def write_structures(ss: StructureSet, path: str, mode: str = "error", **options: str) -> None:
     """A new dataset. ``options`` are those of the Parquet writer (compression, block size and the like); mode "overwrite" makes a new version."""
     spark = ss.systems.sparkSession
-    version = 0
-    if _exists(spark, f"{path}/current"):
-        if mode != "overwrite":
-            raise FileExistsError(path)
-        version = _version(spark, path) + 1
-    _write_levels(ss, f"{path}/v{version}", "error", options)
-    _point(spark, path, version)
+    found, part = _versions(spark, path), _new("parts")
+    if found and mode != "overwrite":
+        raise FileExistsError(path)
+    _write_levels(ss, f"{path}/{part}", "error", options)
+    _publish(spark, path, found[-1] + 1 if found else 0, [part], [])
 
 
 def read_structures(spark: SparkSession, path: str, fields: Sequence[str] | None = None, index: bool = False) -> StructureSet:
     """The live systems of a dataset; ``fields`` restricts the columns besides keys, ``index`` numbers systems 0, 1, 2, ..."""
-    root = _root(spark, path)
-    levels = {k: spark.read.parquet(f"{root}/{k}") for k in LEVELS if _exists(spark, f"{root}/{k}")}
+    _, made = _manifest(spark, path)
+    roots = {k: [r for r in (f"{path}/{p}/{k}" for p in made["parts"]) if _exists(spark, r)] for k in LEVELS}
+    levels = {k: spark.read.option("mergeSchema", len(r) > 1).parquet(*r) for k, r in roots.items() if r}
     if fields is not None:
         unknown = set(fields) - {c for df in levels.values() for c in df.columns}
         if unknown:
             raise KeyError(", ".join(sorted(unknown)))
         levels = {k: df.select([c for c in df.columns if c in KEYS[k] or c in fields]) for k, df in levels.items()}
     ss = StructureSet(**levels)
-    if _exists(spark, f"{root}/deleted"):
-        gone = spark.read.parquet(f"{root}/deleted")
+    if made["deleted"]:
+        gone = spark.read.parquet(*[f"{path}/{d}" for d in made["deleted"]])
         ss = ss.map(lambda df: df.join(gone, "system_id", "left_anti"))
     return rekey(ss) if index else ss
 
@@ -87,23 +105,28 @@ def field_levels(spark: SparkSession, path: str) -> dict[str, str]:
 
 def append_structures(ss: StructureSet, path: str) -> None:
     """Systems after those of a dataset, numbered on from its greatest id; edge ends stay local to their system."""
-    spark = ss.systems.sparkSession
-    root = _root(spark, path)
-    top = spark.read.parquet(f"{root}/systems").agg(F.coalesce(F.max("system_id") + 1, F.lit(0))).first()[0]
+    spark, part = ss.systems.sparkSession, _new("parts")
+    version, made = _manifest(spark, path)
+    old = spark.read.parquet(*[f"{path}/{p}/systems" for p in made["parts"]])
+    top = old.agg(F.coalesce(F.max("system_id") + 1, F.lit(0))).first()[0]
     moved = rekey(ss).map(lambda df: df.withColumn("system_id", F.col("system_id") + F.lit(top)))
-    _write_levels(moved, root, "append", {})
+    _write_levels(moved, f"{path}/{part}", "error", {})
+    _publish(spark, path, version + 1, [*made["parts"], part], made["deleted"])
 
 
 def delete_structures(spark: SparkSession, path: str, ids: DataFrame) -> None:
     """Marks systems as deleted; their rows stay until compaction."""
-    ids.select(F.col("system_id").cast("long").alias("system_id")).distinct().write.mode("append").parquet(f"{_root(spark, path)}/deleted")
+    version, made = _manifest(spark, path)
+    gone = _new("deleted")
+    ids.select(F.col("system_id").cast("long").alias("system_id")).distinct().write.parquet(f"{path}/{gone}")
+    _publish(spark, path, version + 1, made["parts"], [*made["deleted"], gone])
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Rewrites the live systems, numbered anew, as the next version; all deleted leaves an empty dataset."""
-    version = _version(spark, path)
-    _write_levels(read_structures(spark, path, index=True), f"{path}/v{version + 1}", "error", {})
-    _point(spark, path, version + 1)
+    """Rewrites the live systems, numbered anew, as the next version; all deleted leaves an empty dataset. Files of older versions stay for their readers."""
+    (version, _), part = _manifest(spark, path), _new("parts")
+    _write_levels(read_structures(spark, path, index=True), f"{path}/{part}", "error", {})
+    _publish(spark, path, version + 1, [part], [])
 
 
 def add_custom(spark: SparkSession, path: str, key: str, df: DataFrame, level: str) -> None:
@@ -115,9 +138,9 @@ def add_custom(spark: SparkSession, path: str, key: str, df: DataFrame, level: s
     new = df.select(*keys, key)
     if not (own.join(new, keys, "left_anti").isEmpty() and new.join(own, keys, "left_anti").isEmpty()) or new.count() != own.count():
         raise ValueError(f"rows of {key} do not match those of {level}")
-    version = _version(spark, path)
-    _write_levels(ss.with_(**{level: own.join(new, keys)}), f"{path}/v{version + 1}", "error", {})
-    _point(spark, path, version + 1)
+    (version, _), part = _manifest(spark, path), _new("parts")
+    _write_levels(ss.with_(**{level: own.join(new, keys)}), f"{path}/{part}", "error", {})
+    _publish(spark, path, version + 1, [part], [])
 
 
 def check_store(spark: SparkSession, path: str) -> DataFrame:

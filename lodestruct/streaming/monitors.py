@@ -1,78 +1,84 @@
-"""Monitors as streaming queries. A system's records come in order of step; state is kept per system."""
+"""Monitors as streaming queries over records with an event time.
+
+Records may arrive late and in any order. They wait in their system's state until the watermark has passed them, and are
+then taken in order of time, so the results are those of the batch operators; records later than the delay are dropped
+by Spark. A system that is silent for ``ttl_ms`` of event time is forgotten, which bounds the state.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitors import converged, micros, observables
+from ..operators.monitors import converged, observables
 from ..operators.sampling import refill
 from ..sources.sinks import Sink
 
-
-def _timeout(state: GroupState, ttl_ms: int | None) -> None:
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
+#: One step of a monitor: what it knows of a system (None at first) and the next record (time in microseconds, values) give the new knowledge and an output row or None.
+Step = Callable[[list | None, list], tuple[list, tuple | None]]
+DAY_MS = 24 * 3600 * 1000
 
 
-def energy_drift_stream(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(system_id, step, drift) of a stream of (system_id, step, energy): distance from the first record, whose energy is the state.
+def in_order(stream: DataFrame, values: Sequence[str], step: Step, schema: str, delay: str, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
+    """Rows (system_id, ...) of ``schema`` that ``step`` gives for each system's records (system_id, ts, values) in order of ts, then of values."""
+    names = ["system_id", *[c.strip().split()[0] for c in schema.split(",")][1:]]
 
-    Systems that are silent for ``ttl_ms`` are forgotten, which bounds the state.
-    """
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting += f[["us", *values]].values.tolist()
+        waiting.sort()
+        ready = sum(w[0] <= mark * 1000 for w in waiting)
+        out = []
+        for record in waiting[:ready]:
+            known, row = step(known, record)
+            if row is not None:
+                out.append((key[0], *row))
+        last, waiting = (waiting[ready - 1][0] // 1000 if ready else mark), waiting[ready:]
+        if state.hasTimedOut and not ready and not waiting:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("step")
-        first = state.get[0] if state.exists else float(rows["energy"].iloc[0])
-        state.update((first,))
-        _timeout(state, ttl_ms)
-        yield pd.DataFrame({"system_id": key[0], "step": rows["step"], "drift": (rows["energy"] - first).abs()})
+        state.update((json.dumps((known, waiting)),))
+        # wakes up when its next record is due, or when it has been silent for too long
+        state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 if waiting else last + ttl_ms))
+        yield pd.DataFrame(out, columns=names)
 
-    kind = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.select("system_id", "step", F.col("energy").cast("double").alias("energy")).groupBy("system_id").applyInPandasWithState(run, "system_id long, step long, drift double", "first double", "append", kind)
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("system_id", "ts", F.unix_micros("ts").alias("us"), *values)
+    return timed.groupBy("system_id").applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_converged_stream(stream: DataFrame, reached: Column, ttl_ms: int | None = None) -> DataFrame:
-    """(system_id, step, energy) of the first record of each system where ``reached`` holds; a flag per system is the state."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("step")
-        if not state.exists:
-            state.update((True,))
-            yield rows.iloc[:1][["system_id", "step", "energy"]]
-        _timeout(state, ttl_ms)
+def energy_drift_stream(stream: DataFrame, delay: str, **how) -> DataFrame:
+    """(system_id, step, drift) of a stream of (system_id, ts, step, energy): distance from the energy of the system's first record."""
+    def step(known: list | None, record: list) -> tuple[list, tuple]:
+        _, at, energy = record
+        known = known or [energy]
+        return known, (int(at), abs(energy - known[0]))
 
-    kind = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.filter(reached).select("system_id", "step", F.col("energy").cast("double").alias("energy")).groupBy("system_id").applyInPandasWithState(run, "system_id long, step long, energy double", "seen boolean", "append", kind)
+    return in_order(stream.withColumn("energy", F.col("energy").cast("double")), ["step", "energy"], step, "system_id long, step long, drift double", delay, **how)
 
 
-def stage_timing_stream(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(system_id, transition, seconds) of each step from one stage to the next; the last stage and time are the state."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("us")
-        stage, us = state.get if state.exists else (None, None)
-        out = []
-        for s, t in zip(rows["stage"], rows["us"]):
-            if stage is not None:
-                out.append((key[0], f"{stage}->{s}", (t - us) / 1e6))
-            stage, us = s, int(t)
-        state.update((stage, us))
-        _timeout(state, ttl_ms)
-        yield pd.DataFrame(out, columns=["system_id", "transition", "seconds"])
+def first_converged_stream(stream: DataFrame, reached: Column, delay: str, **how) -> DataFrame:
+    """(system_id, step, energy) of the first record of each system where ``reached`` holds."""
+    def step(known: list | None, record: list) -> tuple[list, tuple | None]:
+        return [True], None if known else (int(record[1]), record[2])
+
+    return in_order(stream.filter(reached).withColumn("energy", F.col("energy").cast("double")), ["step", "energy"], step, "system_id long, step long, energy double", delay, **how)
+
+
+def stage_timing_stream(stream: DataFrame, delay: str, **how) -> DataFrame:
+    """(system_id, transition, seconds) of each step from one stage to the next."""
+    def step(known: list | None, record: list) -> tuple[list, tuple | None]:
+        us, stage = record
+        return [stage, us], (f"{known[0]}->{stage}", (us - known[1]) / 1e6) if known else None
 
-    kind = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.select("system_id", "stage", micros(F.col("ts")).alias("us")).groupBy("system_id").applyInPandasWithState(run, "system_id long, transition string, seconds double", "stage string, us long", "append", kind)
+    return in_order(stream, ["stage"], step, "system_id long, transition string, seconds double", delay, **how)
 
 
 def log_stream(systems: DataFrame, path: str, checkpoint: str, every: int = 1):
@@ -100,4 +106,4 @@ def inflight(stream: DataFrame, pool: DataFrame, graduated: Sink, admitted: Sink
     return stream.writeStream.foreachBatch(step)
 
 
-__all__ = ["energy_drift_stream", "first_converged_stream", "inflight", "log_stream", "observables", "sink_batches", "stage_timing_stream"]
+__all__ = ["energy_drift_stream", "first_converged_stream", "in_order", "inflight", "log_stream", "observables", "sink_batches", "stage_timing_stream"]

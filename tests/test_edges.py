@@ -202,3 +202,105 @@ def test_half_and_full_lists_agree(spark):
 
 def test_best_grid():
     assert P.best_grid(8, (1.0, 1.0, 1.0)) == (2, 2, 2) and P.best_grid(4, (100.0, 1.0, 1.0)) == (4, 1, 1)
+
+
+def test_each_system_by_its_own_size(spark):
+    """A large system among small ones: both ways at once, the same pairs as by brute force, charges carried along."""
+    import random
+
+    rnd = random.Random(4)
+    cells = {1: [9, 0, 0, 1, 8, 0, 0, 0, 7], **{k: CUBE for k in range(2, 12)}}
+    places = {1: [tuple(rnd.uniform(-2, 10) for _ in range(3)) for _ in range(N.GRID_FROM + 40)], **{k: [tuple(rnd.uniform(0, 4) for _ in range(3)) for _ in range(k % 4)] for k in range(2, 12)}}
+    ss = make(spark, cells, [(k, i, *p) for k, ps in places.items() for i, p in enumerate(ps)])
+    ss = ss.with_(atoms=ss.atoms.withColumn("q", F.col("atom_id") * 0.5))
+    got = {}
+    for r in N.neighbor_pairs(ss, 2.2, carry=["q"]).collect():
+        got.setdefault(r["system_id"], set()).add((r["i"], r["j"], r["sx"], r["sy"], r["sz"]))
+        assert (r["i_q"], r["j_q"]) == (r["i"] * 0.5, r["j"] * 0.5)
+    for k, ps in places.items():
+        assert got.get(k, set()) == brute(cells[k], ps, 2.2, 2)
+    half = N.neighbor_pairs(ss, 2.2, half=True, carry=["q"])
+    assert half.count() * 2 == N.mirror(half).count() == sum(map(len, got.values()))
+    assert N.mirror(half).filter("i_q <> i * 0.5 or j_q <> j * 0.5").count() == 0
+    assert N.order_pairs(N.neighbor_pairs(ss, 2.2)).limit(1).collect()[0]["system_id"] == 1
+
+
+def test_bounded_sink_loses_nothing(spark):
+    sized = lambda *rows: spark.createDataFrame(list(rows), "system_id long, num_atoms long, num_edges long")
+    sink = sinks.BoundedSink(spark, folder(spark, "bounded"), 3, 8, 10)
+    sink.write(sized((1, 3, 1), (2, 6, 9)), 0)
+    sink.write(sized((1, 3, 1), (2, 6, 9)), 0)  # again
+    assert sorted(r["system_id"] for r in sink.read().collect()) == [1, 2] and not sink.is_full()
+    sink.write(sized((3, 8, 10)))
+    assert sink.is_full() and sink.room() == {"systems": 0, "num_atoms": 0, "num_edges": 0}
+    for bad in (sized((4, 1, 1)), sized((4, 9, 1)), sized((4, 1, 11))):
+        with pytest.raises(OverflowError):
+            sink.write(bad)
+    assert len(sink) == 3
+    plain = sinks.Sink(spark, folder(spark, "plain"), capacity=3)
+    plain.write(sized((1, 1, 1), (2, 1, 1)), 0)
+    plain.write(sized((1, 1, 1), (2, 1, 1)), 0)
+    plain.write(sized((3, 1, 1)), 7)
+    with pytest.raises(OverflowError):
+        plain.write(sized((4, 1, 1)))
+    assert len(plain) == 3
+
+
+def test_store_versions_appear_whole(spark):
+    """A reader of an older version is not disturbed, and a version that exists is not written again."""
+    ss, path = make(spark, {1: CUBE, 2: CUBE}, [(1, 0, 0, 0, 0), (2, 0, 1, 1, 1)]), folder(spark, "versions")
+    store.write_structures(ss, path)
+    old = store.read_structures(spark, path)
+    store.append_structures(ss, path)
+    store.delete_structures(spark, path, spark.createDataFrame([(1,)], "system_id long"))
+    store.compact(spark, path)
+    assert old.systems.count() == 2 and store.read_structures(spark, path).systems.count() == 3
+    assert store._versions(spark, path) == [0, 1, 2, 3]
+    with pytest.raises(FileExistsError):
+        store._publish(spark, path, 3, [], [])
+    with pytest.raises(FileExistsError):
+        store.write_structures(ss, path)
+
+
+def test_reciprocal_forces_are_slopes_of_the_energy(spark):
+    cell, atoms = [5, 0, 0, 0.5, 6, 0, 0, 0, 4], [(0.3, 0.2, 0.1, 1.0), (2.1, 3.0, 1.7, -2.0), (4.0, 1.0, 3.1, 0.7)]
+    step, sets = 1e-4, {}
+    for k, d in enumerate((0, step, -step)):
+        sets[k + 1] = [(x + (d if i == 0 else 0), y, z, q) for i, (x, y, z, q) in enumerate(atoms)]
+    s = spark.createDataFrame([(k, [float(c) for c in cell], [True] * 3) for k in sets], "system_id long, cell array<double>, pbc array<boolean>")
+    a = spark.createDataFrame([(k, i, *map(float, p)) for k, ps in sets.items() for i, p in enumerate(ps)], "system_id long, atom_id long, x double, y double, z_pos double, q double")
+    ss = StructureSet(s, a)
+    e = {r["system_id"]: r["energy"] for r in E.ewald_recip(ss, 0.4, k_cutoff=4.0).collect()}
+    f = E.ewald_recip(ss, 0.4, k_cutoff=4.0, out="forces").filter("system_id = 1 and atom_id = 0").collect()[0]
+    assert f["fx"] == pytest.approx(-(e[2] - e[3]) / (2 * step), rel=1e-5)
+    grown = {k: 1 + d for k, d in ((1, 0), (2, step), (3, -step))}
+    s = spark.createDataFrame([(k, [c * g for c in map(float, cell)], [True] * 3) for k, g in grown.items()], "system_id long, cell array<double>, pbc array<boolean>")
+    a = spark.createDataFrame([(k, i, x * g, y * g, z * g, q) for k, g in grown.items() for i, (x, y, z, q) in enumerate(atoms)], "system_id long, atom_id long, x double, y double, z_pos double, q double")
+    e = {r["system_id"]: r["energy"] for r in E.ewald_recip(StructureSet(s, a), 0.4, bounds=(4, 4, 4)).collect()}
+    w = E.ewald_recip(StructureSet(s, a), 0.4, bounds=(4, 4, 4), out="virial").filter("system_id = 1").collect()[0]["virial"]
+    assert w[0] + w[4] + w[8] == pytest.approx(-(e[2] - e[3]) / (2 * step), rel=1e-5)
+
+
+def test_packing_into_batches_by_hand(spark):
+    """Round after round over the bins, the first system of each that fits, until a round adds none."""
+    rows = [(k, (k * 7) % 13 + 1, (k * 5) % 9, k % 2) for k in range(60)]
+    sizes = G.size_bins(spark.createDataFrame(rows, "system_id long, num_atoms long, num_edges long, shard long"), 100, width=4)
+    got = sorted(tuple(r) for r in G.pack_initial(sizes, (30, 25, 5)).collect())
+    want = []
+    for shard in (0, 1):
+        left = sorted((a // 4, k, a, e) for k, a, e, s in rows if s == shard)
+        batch = 0
+        while left:
+            taken = []
+            while True:
+                n = len(taken)
+                for b in sorted({x[0] for x in left}):
+                    fit = next((x for x in left if x[0] == b and sum(y[2] for y in taken) + x[2] <= 30 and sum(y[3] for y in taken) + x[3] <= 25 and len(taken) < 5), None)
+                    if fit:
+                        left.remove(fit)
+                        taken.append(fit)
+                if len(taken) == n:
+                    break
+            want += [(shard, batch, x[1], i) for i, x in enumerate(taken)]
+            batch += 1
+    assert got == sorted(want)
