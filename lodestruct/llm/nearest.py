@@ -195,15 +195,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     a block is sent once to each cell of its row or column. What travels is so proportional to blocks times grid side,
     and vectors do not travel with it. A cell goes through its candidate blocks one by one and hands on the pairs whose
     upper bound reaches the k-th greatest lower bound. After the same test over all cells, only the survivors' vectors
-    are joined; their products are computed again in double and merged by a heap for each query.
+    are joined; their products are computed again in double and merged by a heap for each query. Of equal vectors (by a
+    hash of 128 bits) only those that can be among the best take part, which loses nothing: ties go to the smaller id.
     """
     spark = vectors.sparkSession
 
-    def table_of(df: DataFrame, name: str) -> DataFrame:
+    def usable_rows(df: DataFrame) -> DataFrame:
         v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return materialise(v.filter(F.col("id").isNotNull() & usable(F.col("v"))).select(F.monotonically_increasing_id().alias("row"), "id", "v"), name)
+        return v.filter(F.col("id").isNotNull() & usable(F.col("v")))
 
-    right, left = table_of(vectors, "vectors"), table_of(queries, "queries")
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        return materialise(df.select(F.monotonically_increasing_id().alias("row"), "id", "v"), name)
+
+    # of equal vectors only the first k + 1 ids, and of a repeated id k rows, can be among the k best of any query
+    every = usable_rows(vectors).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("v"), "v")})
+    each = every.groupBy("h1", "h2", "id").agg(F.first("v").alias("v"), F.count("*").alias("c"))
+    each = each.withColumn("place", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("place") <= k + 1)
+    each = each.select("id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("c"), F.lit(k)))))
+    right, left = numbered(each, "vectors"), numbered(usable_rows(queries), "queries")
     r = materialise(right.mapInArrow(_blocks(rows), _BLOCK_SQL), "vector_blocks")
     q = materialise(left.mapInArrow(_blocks(query_rows), _BLOCK_SQL), "query_blocks")
     width = spark.sparkContext.defaultParallelism

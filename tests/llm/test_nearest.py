@@ -37,3 +37,18 @@ def test_fewer_candidates_than_asked(spark):
     assert got == [(0, 1, 20, 4.0), (0, 2, 3, 3.0), (20, 1, 0, 4.0), (20, 2, 3, 3.0)]
     alone = v.filter("vec_id = 0")
     assert nearest.nearest(alone, alone).count() == 0 and nearest.nearest(v, v.limit(0)).count() == 0
+
+
+def test_many_equal_vectors(spark):
+    """A third of all rows has one vector, one id repeats often: ties go to the smaller ids, whoever asks."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [3.0, 3.0, 3.0]) for k in range(0, 200, 2)] + [(20, [3.0, 3.0, 3.0])] * 30 + [(k, [float(x) for x in rng.normal(size=3)]) for k in range(1, 200, 2)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(v, v.filter("vec_id in (0, 20, 41, 180)").dropDuplicates(["vec_id"]), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in {i: x for i, x in rows}.items():
+        if q in got:
+            want = sorted((-float(np.cumsum(np.array(x) * y)[-1]), i) for i, y in rows if i != q)[:5]
+            assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+    assert [i for _, i, _ in sorted(got[0])] == [2, 4, 6, 8, 10] and [i for _, i, _ in sorted(got[180])][:1] == [0]
