@@ -15,13 +15,16 @@ SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 20_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels to fit on: per class the ``per_class`` labelled rows of least id hash, never a held-out one.
 
-    The bound makes the label side small enough to broadcast and the texts small enough for the driver.
+    An id with several labels has the greatest of them, and an id with several texts the one of least hash, so the rows
+    that reach the driver are at most twice ``per_class`` and the same in every run. The bound makes the label side
+    small enough to broadcast and the texts small enough for the driver.
     """
-    known = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(label), "doc_id")
     picked = known.filter("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(per_class))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    rows = sorted((r[0], r[2], r[1]) for r in texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect())
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = sorted((r[0], r[2], r[1]) for r in found.select("doc_id", "text", "y").collect())
     return [r[2] for r in rows], np.array([r[1] for r in rows], np.float64)
 
 

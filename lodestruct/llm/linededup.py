@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, LOWER, UPPER, ascii_lower, table
+from ._common import ASCII_SPACE, LOWER, UPPER, ascii_lower, materialise, table
 
 
 def line_key(line: Column) -> Column:
@@ -23,8 +23,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, c
     empty text is one empty line. Keys shorter than ``min_chars`` code points never count. Rows of equal doc_id are
     one document when documents are counted, as are all rows without an id. Other columns are not read. An empty table gives an empty result.
 
-    The count needs two aggregates (distinct key and document, then documents per key), so a line in a third of all
-    documents meets in no task. Only hashes travel there; each text travels once, to its flags.
+    The count needs two aggregates (distinct key and document, then documents per key), which a line in a third of all
+    documents passes spread over all tasks. The common lines' hashes are then a table: a small one is broadcast, within
+    Spark's own limit, and for a large one the skew join splits the partition of a line that many documents have. Only
+    hashes travel there; each text travels once, to its flags.
     """
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     body = docs.select("doc_id", lines.alias("lines"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), F.col("text")).alias("t2"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
@@ -38,6 +40,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, c
         spread.filter("h1 is not null").select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
     )
+    common = materialise(common, "common_lines")
     hits = spread.join(common, ["h1", "h2"]).select("doc_id", "t1", "t2", "pos")
     flags = hits.groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("drop"))
     flags = flags.select(F.col("doc_id").alias("f_id"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.size("drop").alias("n_dropped"), F.array_sort("drop").alias("drop"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,60 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batches, byte_letters, materialise, table, values
+from ._common import batches, materialise, table, values
+from ._pieces import Memo, Splitter, letters, tokenizer
 
 LENGTH, END = 4096, 2
 #: Hashed size of a document vector, dimensions and bits of a dimension of the curve's cube.
 HASHED, DIMS, BITS = 1024, 3, 10
-#: Pieces of text whose ids a task remembers.
-CACHE = 400_000
-#: Texts of these characters are split by the expression below exactly as the tokenizer splits them: no character
-#: changes under NFC, lower case is one to one, and letters, digits and spaces are those named. All other texts, and
-#: those that could hold a special token, go through the tokenizer whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-LETTERS = byte_letters()
-
-
-class _Pieces(dict):
-    """Ids of pieces as little-endian 32-bit numbers, asked of the tokenizer's model once; ``older`` may know them too."""
-
-    def __init__(self, model, older: dict) -> None:
-        self.model, self.older = model, older
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            letters = piece if piece.isascii() else "".join([LETTERS[b] for b in piece.encode()])
-            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        self[piece] = found
-        return found
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; pieces are remembered for the last and the last but one CACHE of them."""
+    """Ids of texts as little-endian 32-bit numbers; those of plain texts are joined from remembered pieces."""
 
     def __init__(self, path: str) -> None:
-        self.tok = _tokenizer(path)
-        self.known = _Pieces(self.tok.model, {})
+        self.tok = tokenizer(path)
+        self.split, model = Splitter(self.tok), self.tok.model
+        self.known = Memo(lambda piece: np.array([t.id for t in model.tokenize(letters(piece))], "<u4").tobytes())
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
+        pieces = self.split.pieces(text)
+        if pieces is None:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > CACHE:
-            self.known.older = {}
-            self.known = _Pieces(self.tok.model, self.known)
-        return b"".join(map(self.known.__getitem__, PIECES.findall(text.lower())))
+        self.known = self.known.turned()
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -112,13 +77,13 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(cells.astype(np.int64))
 
 
-def _encode(path: str):
+def _encode(path: str, end_id: int, kind: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches(it):
             ids = [np.frombuffer(encoder.ids(t) + end, "<u4") for t in values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(ids)), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())], names=["doc_id", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(ids)), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())], names=["doc_id", "key", "ids"])
 
     return run
 
@@ -126,7 +91,7 @@ def _encode(path: str):
 _PIECES = [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
-def _pack(length: int):
+def _pack(length: int, stored: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -136,7 +101,7 @@ def _pack(length: int):
         for batch in batches(it, 1024):
             kind, done = batch.column(0).type, []
             for doc, packed in zip(batch.column(0).to_pylist(), values(batch.column(1))):
-                ids, at = np.frombuffer(packed, "<u2").astype("<u4"), 0
+                ids, at = np.frombuffer(packed, stored).astype("<u4"), 0
                 while at < len(ids):
                     n = min(length - used, len(ids) - at)
                     tail.append((doc, at, n, ids[at : at + n].tobytes(), len(ids), first + number, used))
@@ -171,23 +136,26 @@ def _halve(pieces: list[tuple], used: int, number: int) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """Token pieces of all documents, packed into sequences of ``length`` tokens.
 
     Returns (doc_id, start, length, ids, doc_tokens, sequence_id, offset): ``ids`` are the piece's token ids as
-    little-endian 32-bit numbers, each document ending with id 2. Documents are range-partitioned and sorted by the
+    little-endian 32-bit numbers as the tokenizer file at ``path`` gives them, each document ending with id ``end``. Documents are range-partitioned and sorted by the
     Hilbert key of their hashed token vector (ties by id, then by ids, so a group of copies may span ranges), and each
     range is cut into full sequences; its last one is cut into lengths that are powers of two, so nothing is padded.
     Null texts count as empty (the end id alone). Repeated rows and ids are packed each. Other columns are neither read
-    nor returned; an empty table gives an empty result. The vocabulary must have fewer than 65,536 ids.
+    nor returned; an empty table gives an empty result. Ids travel in 16 bits where the vocabulary allows it, else in 32.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
+    if not 0 <= end < 1 << 32:
+        raise ValueError("end must be an unsigned 32-bit number")
+    kind = "<u2" if max(end, tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, max(tokenizer(path).get_vocab().values(), default=0)) < 1 << 16 else "<u4"
     ids = docs.schema["doc_id"].dataType.simpleString()
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = materialise(body.mapInArrow(_encode(path), f"doc_id {ids}, key long, ids binary"), "token_ids")
+    coded = materialise(body.mapInArrow(_encode(path, end, kind), f"doc_id {ids}, key long, ids binary"), "token_ids")
     coded = coded.withColumn("tie", F.xxhash64("ids"))
     along = coded.repartitionByRange("key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie").select("doc_id", "ids")
-    return along.mapInArrow(_pack(length), f"doc_id {ids}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return along.mapInArrow(_pack(length, kind), f"doc_id {ids}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

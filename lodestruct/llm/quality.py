@@ -146,7 +146,11 @@ def _accept(model: Model, text: str):
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that quality_scores accepts; scored and filtered in one pass without a shuffle."""
+    """The rows of ``docs``, with all their columns, that quality_scores accepts; scored and filtered in one pass without a shuffle.
+
+    Nulls, empty texts and missing labels are treated as there; without labels every row is accepted, as 0.5 is at least
+    ACCEPT. Repeated rows are each kept or each dropped, and an empty table gives an empty result.
+    """
     texts, y = labelled_sample(docs, labels, label)
     return docs.mapInArrow(_accept(fit([t.encode() for t in texts], y), "text"), docs.schema)
 

@@ -82,10 +82,11 @@ def near_links(fps: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame
     """Links (a, b) that connect exactly the fingerprints within ``max_bits`` bits (1 or 2), as components go.
 
     Cut into max_bits + 2 segments, two close fingerprints agree in two whole segments; those pairs are the buckets.
-    Buckets of up to ``bucket`` different fingerprints give pairs, pruned by the ring condition and then checked in full.
-    A larger bucket would give pairs by the square of its size: there each fingerprint is sent to the points one flip
-    of a bit that varies in the bucket away, and those that meet at a point are linked. Two fingerprints meet iff they
-    differ in at most two bits, so no link between components is lost and the work stays linear.
+    Buckets of up to ``bucket`` different fingerprints give all pairs as candidates. A larger bucket would give pairs by
+    the square of its size: there each fingerprint is sent to the points one flip of a bit that varies in the bucket
+    away, and the candidates are the least fingerprint at a point with each other one there. Two fingerprints meet iff
+    they differ in at most two bits, so no link between components is lost and the work stays linear. All candidates are
+    pruned by the ring condition and then checked in full.
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits must be 1 or 2")
@@ -99,7 +100,6 @@ def near_links(fps: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame
 
     small = met.filter(F.col("n") <= bucket).groupBy("slot", "bits").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     pairs = small.select(F.explode(F.expr("flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> named_struct('a', y, 'b', x))))")).alias("p")).select("p.a", "p.b")
-    exact = pairs.filter(ring_chain(F.col("a"), F.col("b"), max_bits, segments)).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
     flips = F.expr("concat(array(0L), transform(filter(sequence(0, 63), i -> (shiftrightunsigned(any ^ all, i) & 1L) = 1L), i -> shiftleft(1L, i)))")
     if max_bits == 2:
@@ -109,7 +109,8 @@ def near_links(fps: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame
         points = met.filter(F.col("n") > bucket).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseAND(F.bitwise_not("flip")).alias("point"), "flip").distinct()
         meet = points.groupBy("point", "flip").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
     stars = meet.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a > b").select("a", "b")
-    return exact.unionByName(stars).distinct()
+    ring = ring_chain(F.col("a"), F.col("b"), max_bits, segments)
+    return pairs.unionByName(stars).distinct().filter(ring).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -125,7 +126,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = materialise(groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "groups")
     best = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = groups.join(best, "root").select("fp", "component_id")
+    # as a table, so that the skew join can split a fingerprint that many documents have
+    classes = materialise(groups.join(best, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

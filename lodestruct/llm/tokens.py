@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import os
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -14,21 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import batches, byte_letters, materialise, table, values
+from ._common import batches, materialise, table, values
+from ._pieces import Memo, Splitter, letters, tokenizer
 
 #: Characters of a chunk, and of its overlap with each neighbour at first.
 CHUNK, OVERLAP = 1 << 15, 256
 #: A boundary counts as proven only this many characters before the end of the chunk that lies left of it: the
 #: pre-tokenizer looks two characters ahead, and special tokens must be seen whole.
 AHEAD = 32
-
-
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Characters of long texts that a task encodes, and the greatest number of such tasks; beyond it tasks grow.
+TASK, TASKS = 1 << 22, 1 << 15
 
 
 def boundaries(encoding, lo: int, hi: int, at: int) -> list[dict]:
@@ -37,48 +28,20 @@ def boundaries(encoding, lo: int, hi: int, at: int) -> list[dict]:
     return [{"pos": at + offsets[i][0], "before": i} for i in range(len(words)) if lo <= offsets[i][0] <= hi and (i == 0 or words[i] != words[i - 1])]
 
 
-#: The character that stands for each byte in a byte-level vocabulary.
-LETTERS = byte_letters()
-#: Texts of these characters are split by the expression below exactly as the byte-level pre-tokenizer splits them:
-#: letters, digits and spaces are those named. All other texts go through the tokenizer whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
-#: Pieces whose token counts a task remembers.
-CACHE = 400_000
-
-
-class Counts(dict):
-    """Tokens of pieces, asked of the tokenizer's model once; ``older`` may know them too."""
-
-    def __init__(self, model, older: dict) -> None:
-        self.model, self.older = model, older
-
-    def __missing__(self, piece: str) -> int:
-        found = self.older.get(piece)
-        if found is None:
-            found = len(self.model.tokenize("".join([LETTERS[b] for b in piece.encode()])))
-        self[piece] = found
-        return found
-
-
 class Counter:
-    """Token counts of whole texts. Pieces of plain texts are remembered if the tokenizer is byte-level without a normalizer."""
+    """Token counts of whole texts; those of plain texts are sums over remembered pieces."""
 
     def __init__(self, path: str) -> None:
         self.tok = tokenizer(path)
-        rules = json.loads(self.tok.to_str())
-        pre = rules["pre_tokenizer"] or {}
-        self.plain = rules["normalizer"] is None and rules["post_processor"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        self.special = [t["content"] for t in rules["added_tokens"]]
-        self.known = Counts(self.tok.model, {})
+        self.split, model = Splitter(self.tok), self.tok.model
+        self.known = Memo(lambda piece: len(model.tokenize(letters(piece))))
 
     def count(self, text: str) -> int:
-        if not self.plain or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        pieces = self.split.pieces(text)
+        if pieces is None:
             return len(self.tok.encode(text, add_special_tokens=False))
-        if len(self.known) > CACHE:
-            self.known.older = {}
-            self.known = Counts(self.tok.model, self.known)
-        return sum(map(self.known.__getitem__, PIECES.findall(text)))
+        self.known = self.known.turned()
+        return sum(map(self.known.__getitem__, pieces))
 
 
 def _whole(path: str):
@@ -151,10 +114,12 @@ def token_counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, o
     schema = f"doc_id {ids}, n_bytes long, n_tokens long"
     short = body.filter(F.char_length("text") <= chunk).mapInArrow(_whole(path), schema)
     # long texts go to the shared folder once, with a number for each row
-    long = materialise(body.filter(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long_texts")
+    long = materialise(body.filter(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id()).withColumn("chars", F.char_length("text").cast("long")), "long_texts")
+    # encoding costs by the character, so tasks are dealt by characters, not by the few bytes that a shuffle sees
+    tasks = min(TASKS, max(1, -(-(long.agg(F.sum("chars")).first()[0] or 0) // TASK)))
     pending, out = long, short
     while True:
-        cut = pending.select("row", "text").mapInArrow(_cut(chunk, overlap), "row long, k long, seam long, at long, last boolean, piece string").repartition("row", "k")
+        cut = pending.select("row", "text").mapInArrow(_cut(chunk, overlap), "row long, k long, seam long, at long, last boolean, piece string").repartition(tasks, "row", "k")
         found = materialise(splice(cut.mapInArrow(_encode(path, chunk, overlap), "row long, k long, last boolean, n long, left array<struct<pos:long,before:long>>, right array<struct<pos:long,before:long>>")), "token_counts")
         done = found.filter("n_tokens is not null")
         out = out.unionByName(long.select("row", "doc_id", "n_bytes").join(done, "row").select("doc_id", "n_bytes", "n_tokens"))

@@ -124,8 +124,31 @@ def test_fast_pieces_equal_the_library():
         assert encoder.ids(t) == np.array(encoder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_and_counter_follow_the_file(name):
+    encoder, counter = packing.Encoder(public_tokenizers.path(name)), tokens.Counter(public_tokenizers.path(name))
+    for t in ["Hello World 2024", "a  b", " x\n\n y ", "<|ENDOFTEXT|> a", "it's 'LL", "ÀÉ straße", *[t or "" for _, t in TEXTS]]:
+        want = encoder.tok.encode(t, add_special_tokens=False).ids
+        assert encoder.ids(t) == np.array(want, "<u4").tobytes() and counter.count(t) == len(want)
+
+
+@pytest.mark.parametrize("name, end", [("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 70_000)])
+def test_packing_other_files_and_large_ids(docs, name, end):
+    """Whole documents rebuilt from their pieces, with an id that does not fit into 16 bits."""
+    tok = packing.tokenizer(public_tokenizers.path(name))
+    got, built = packing.pack(docs, public_tokenizers.path(name), length=64, end=end).collect(), {}
+    for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["start"])):
+        if r["doc_id"] is not None and r["doc_id"] != 15:
+            assert r["start"] * 4 == len(built.get(r["doc_id"], b"")) and r["length"] * 4 == len(r["ids"])
+            built[r["doc_id"]] = built.get(r["doc_id"], b"") + bytes(r["ids"])
+    for i in built:
+        assert built[i] == np.array([*tok.encode(text(i), add_special_tokens=False).ids, end], "<u4").tobytes()
+    with pytest.raises(ValueError):
+        packing.pack(docs, end=-1)
+
+
 def test_packing(docs):
-    tok = packing._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    tok = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.pack(docs, length=64).collect()
     want = sorted(b"".join(np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _ in [0]) for _, t in TEXTS)
     pieces, sequences = {}, {}
@@ -188,22 +211,6 @@ def test_targets_share_the_excess(spark):
     assert got == {"a": 3.0, "b": 30.0, "c": 78.0, None: 0.0}
 
 
-def test_media(docs, tmp_path):
-    stored = media.store_payloads(docs)
-    found = media.resolve(media.sequences(stored, "doc_id"), media.describe(stored)).filter("kind = 'media'").collect()
-    assert len(found) == len(TEXTS)
-    for r in found:
-        if r["id"] is not None and r["id"] != 15:
-            p = media.pad(text(r["id"]).encode())
-            assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-16:]) and len(p) % 192 == 0 and len(p) > 0
-    p = bytes(range(256)) * 3
-    assert media.decode_image(media.encode_image(p)) == p
-    broken = bytearray(media.encode_image(p))
-    broken[60] ^= 1
-    with pytest.raises(ValueError):
-        media.decode_image(bytes(broken))
-
-
 def test_interleaving_keeps_order_and_captions():
     html = "<body>Hello <b>bold</b><script>no()</script><figure><img src='a'><img src=b alt='own'><figcaption>Both <i>of</i> them</figcaption></figure>after<img alt=x><p>end"
     items = media.interleave_html(html)
