@@ -151,11 +151,12 @@ def neighbor_pairs(ss: StructureSet, cutoff: float, pbc: bool = True, half: bool
     of = {method: ss.atoms}
     if method is None:
         # a narrow count tells whether there are systems of either kind; only then are both joins planned
-        least, most = ss.atoms.groupBy("system_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
+        n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
+        least, most = n.agg(F.min("_size"), F.max("_size")).first()
         of = {"naive": ss.atoms} if (most or 0) <= GRID_FROM else {"grid": ss.atoms}
         if (least or 0) <= GRID_FROM < (most or 0):
-            sized = ss.atoms.withColumn("_size", F.count("*").over(W.partitionBy("system_id")))
-            of = {"naive": sized.filter(F.col("_size") <= GRID_FROM).drop("_size"), "grid": sized.filter(F.col("_size") > GRID_FROM).drop("_size")}
+            # a join, not a window: the counts are summed before they are dealt, and a large system's atoms can be split
+            of = {m: ss.atoms.join(n.filter(some), "system_id", "left_semi") for m, some in (("naive", F.col("_size") <= GRID_FROM), ("grid", F.col("_size") > GRID_FROM))}
 
     def aimed(side: DataFrame) -> DataFrame:
         return side if targets is None else side.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")

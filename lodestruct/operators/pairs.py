@@ -253,39 +253,62 @@ def gather(mesh: DataFrame, ss: StructureSet, dims: Sequence[int], order: int =
 # ---- dispersion
 
 
+def _bonded(radii: Column, k1: float) -> Column:
+    """Part of a neighbour at distance r that counts, given the sum of both covalent radii."""
+    return 1 / (1 + F.exp(-k1 * (radii / F.col("r") - 1)))
+
+
 def coordination(pairs: DataFrame, atoms: DataFrame, rcov: DataFrame, k1: float = 16.0) -> DataFrame:
     """(system_id, atom_id, cn) of all atoms over a full list; ``rcov`` (z, rcov) has a row per element and is broadcast."""
     table = F.broadcast(rcov.select("z", "rcov"))
     p = with_atoms(pairs.filter("r > 0"), atoms.select("system_id", "atom_id", "z").join(table, "z"), ["rcov"])
-    count = 1 / (1 + F.exp(-k1 * ((F.col("i_rcov") + F.col("j_rcov")) / F.col("r") - 1)))
-    cn = p.groupBy("system_id", F.col("i").alias("atom_id")).agg(F.sum(count).alias("cn"))
+    cn = p.groupBy("system_id", F.col("i").alias("atom_id")).agg(F.sum(_bonded(F.col("i_rcov") + F.col("j_rcov"), k1)).alias("cn"))
     return atoms.select("system_id", "atom_id").join(cn, ["system_id", "atom_id"], "left").na.fill(0.0, ["cn"])
 
 
-def dispersion_d3(pairs: DataFrame, atoms: DataFrame, elements_: DataFrame, grid: DataFrame, a1: float = 0.4, a2: float = 4.5, s6: float = 1.0, s8: float = 1.0, k1: float = 16.0, k3: float = 4.0, switch: tuple[float, float] | None = None) -> DataFrame:
+def dispersion_d3(pairs: DataFrame, atoms: DataFrame, elements_: DataFrame, grid: DataFrame, a1: float = 0.4, a2: float = 4.5, s6: float = 1.0, s8: float = 1.0, k1: float = 16.0, k3: float = 4.0, switch: tuple[float, float] | None = None, out: str = "energy") -> DataFrame:
     """(system_id, energy): -1/2 sum S (s6 C6 / (r^6 + f^6) + s8 C8 / (r^8 + f^8)), f = a1 sqrt(C8/C6) + a2, over a full list.
 
     ``elements_`` (z, rcov, r4r2) and ``grid`` (zi, zj, cni, cnj, c6) are parameter tables over elements, 25 grid rows a
     pair at most, and are broadcast. C6 is the mean over the grid weighted by exp(-k3 ((cn_i - cni)^2 + (cn_j - cnj)^2)).
+    out "forces" and "virial" follow the energy's slope over the distance and over both coordination numbers, which depend
+    on distances in turn; "atom_energy" halves each pair.
     """
     cn = coordination(pairs, atoms, elements_, k1)
-    own = atoms.select("system_id", "atom_id", "z").join(cn, ["system_id", "atom_id"]).join(F.broadcast(elements_.select("z", "r4r2")), "z")
+    own = atoms.select("system_id", "atom_id", "z").join(cn, ["system_id", "atom_id"]).join(F.broadcast(elements_.select("z", "rcov", "r4r2")), "z")
     points = grid.groupBy("zi", "zj").agg(F.collect_list(F.struct("cni", "cnj", "c6")).alias("points"))
-    p = with_atoms(pairs.filter("r > 0"), own, ["z", "cn", "r4r2"]).join(F.broadcast(points), (F.col("i_z") == F.col("zi")) & (F.col("j_z") == F.col("zj")))
-    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("c"))
+    p = with_atoms(pairs.filter("r > 0"), own, ["z", "cn", "rcov", "r4r2"]).join(F.broadcast(points), (F.col("i_z") == F.col("zi")) & (F.col("j_z") == F.col("zj")))
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "c", "dw", "dc")])
 
     def add(acc: Column, g: Column) -> Column:
-        w = F.exp(-k3 * ((F.col("i_cn") - g["cni"]) ** 2 + (F.col("j_cn") - g["cnj"]) ** 2))
-        return F.struct((acc["w"] + w).alias("w"), (acc["c"] + w * g["c6"]).alias("c"))
+        off = F.col("i_cn") - g["cni"]
+        w = F.exp(-k3 * (off**2 + (F.col("j_cn") - g["cnj"]) ** 2))
+        dw = -2 * k3 * off * w
+        return F.struct((acc["w"] + w).alias("w"), (acc["c"] + w * g["c6"]).alias("c"), (acc["dw"] + dw).alias("dw"), (acc["dc"] + dw * g["c6"]).alias("dc"))
 
-    p = p.withColumn("c6", F.aggregate("points", start, add, lambda a: F.coalesce(F.try_divide(a["c"], a["w"]), F.lit(0.0))))
-    r, c6 = F.col("r"), F.col("c6")
+    def mean(a: Column) -> Column:
+        c6 = F.coalesce(F.try_divide(a["c"], a["w"]), F.lit(0.0))
+        return F.struct(c6.alias("c6"), F.coalesce(F.try_divide(a["dc"] - c6 * a["dw"], a["w"]), F.lit(0.0)).alias("slope"))
+
+    p = p.withColumn("at", F.aggregate("points", start, add, mean)).drop("points").withColumns({"c6": F.col("at.c6"), "c6_slope": F.col("at.slope")})
+    r = F.col("r")
     ratio = 3 * F.col("i_r4r2") * F.col("j_r4r2")
     f = a1 * F.sqrt(ratio) + a2
-    e = s6 * c6 / (r**6 + f**6) + s8 * c6 * ratio / (r**8 + f**8)
+    p = p.withColumns({"n6": r**6 + f**6, "n8": r**8 + f**8, "ratio": ratio})
+    shape = s6 / F.col("n6") + s8 * F.col("ratio") / F.col("n8")
+    slope = -6 * s6 * r**5 / F.col("n6") ** 2 - 8 * s8 * F.col("ratio") * r**7 / F.col("n8") ** 2
     if switch:
-        e = e * switch_c2("r", *switch)
-    return p.groupBy("system_id").agg((F.sum(e) * -0.5).alias("energy"))
+        w = switch_c2("r", *switch)
+        shape, slope = shape * w, slope * w + shape * switch_c2_slope(r, *switch)
+    energy = -F.col("c6") * shape
+    if out in ("energy", "atom_energy"):
+        return _potential(p, energy, F.lit(0.0), out, False)
+    by_cn = p.groupBy("system_id", F.col("i").alias("atom_id")).agg(F.sum(-F.col("c6_slope") * shape).alias("by_cn"))
+    p = with_atoms(p, by_cn, ["by_cn"])
+    radii = F.col("i_rcov") + F.col("j_rcov")
+    p = p.withColumn("part", _bonded(radii, k1))
+    closer = -F.col("part") * (1 - F.col("part")) * k1 * radii / (r * r)
+    return _potential(p, energy, (F.col("c6") * slope - (F.col("i_by_cn") + F.col("j_by_cn")) * closer) / r, out, False)
 
 
 def stress(systems: DataFrame, virial_: DataFrame) -> DataFrame:

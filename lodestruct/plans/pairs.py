@@ -289,6 +289,36 @@ def dispersion_d3(spark, d):
     return rounded(E.dispersion_d3(p, ss.atoms, _elements(spark), grid), "energy")
 
 
+_N6, _N8 = (f"(r ** {n} + (0.4e0 * sqrt(t) + 4.5e0) ** {n})" for n in (6, 8))
+_SHAPE, _BENT = f"(1 / {_N6} + t / {_N8})", f"(-6 * r ** 5 / {_N6} ** 2 - 8 * t * r ** 7 / {_N8} ** 2)"
+_PART = "(1 / (1 + exp(-16.0e0 * (radii / r - 1))))"
+_D3_SLOPES = f"""{_CN}, a AS (SELECT system_id, atom_id, coalesce(cn, 0) AS cn FROM atoms LEFT JOIN cn USING (system_id, atom_id)),
+v AS (SELECT unnest([0.0e0, 1.5e0]) AS ci), w AS (
+  SELECT p.system_id, p.i, p.j, sx, sy, sz, dx, dy, dz, r, 3 * (2.0e0 + 0.1e0 * i_z) * (2.0e0 + 0.1e0 * j_z) AS t, 3.0e0 + 0.25e0 * (i_z + j_z) AS radii,
+    (i_z + j_z) * (2.0e0 + v.ci + u.ci) AS c, a.cn - v.ci AS off, exp(-4.0e0 * ((a.cn - v.ci) ** 2 + (b.cn - u.ci) ** 2)) AS w
+  FROM pairs p JOIN a ON a.system_id = p.system_id AND a.atom_id = i JOIN a b ON b.system_id = p.system_id AND b.atom_id = j, v, v u WHERE r > 0),
+m AS (SELECT system_id, i, j, sx, sy, sz, dx, dy, dz, r, t, radii, sum(w * c) / nullif(sum(w), 0) AS c6, sum(w) AS w, sum(-8.0e0 * off * w) AS dw, sum(-8.0e0 * off * w * c) AS dc FROM w GROUP BY ALL),
+e AS (SELECT system_id, i, sum(coalesce((c6 * dw - dc) / nullif(w, 0), 0) * {_SHAPE}) AS by_cn FROM m GROUP BY ALL),
+f AS (SELECT m.*, (coalesce(c6, 0) * {_BENT} + (e.by_cn + o.by_cn) * {_PART} * (1 - {_PART}) * 16 * radii / (r * r)) / r AS k
+  FROM m JOIN e ON e.system_id = m.system_id AND e.i = m.i JOIN e o ON o.system_id = m.system_id AND o.i = m.j)"""
+
+
+@query(f"{BASE}, {pairs_sql(RC)}, {_D3_SLOPES} SELECT system_id, i AS atom_id, round(sum(k * dx), 6) AS fx, round(sum(k * dy), 6) AS fy, round(sum(k * dz), 6) AS fz FROM f GROUP BY ALL")
+def dispersion_forces(spark, d):
+    """Through distances and coordination numbers."""
+    ss, p = _ss(spark, d)
+    grid = spark.createDataFrame(_GRID, "zi int, zj int, cni double, cnj double, c6 double")
+    return rounded(E.dispersion_d3(p, ss.atoms, _elements(spark), grid, out="forces"), "fx", "fy", "fz")
+
+
+@query(f"{BASE}, {pairs_sql(RC)}, {_D3_SLOPES} SELECT system_id, round(sum(k * dx * dx) / 2, 5) AS wxx, round(sum(k * dy * dz) / 2, 5) AS wyz FROM f GROUP BY ALL")
+def dispersion_virial(spark, d):
+    ss, p = _ss(spark, d)
+    grid = spark.createDataFrame(_GRID, "zi int, zj int, cni double, cnj double, c6 double")
+    w = E.dispersion_d3(p, ss.atoms, _elements(spark), grid, out="virial")
+    return w.select("system_id", r(F.col("virial")[0], 5).alias("wxx"), r(F.col("virial")[5], 5).alias("wyz"))
+
+
 @query(f"""{BASE}, {pairs_sql(RC)} SELECT s.system_id, round(coalesce(sum({_LJ} + i_q * j_q / r) / 2, 0) + energy, 6) AS energy FROM systems s LEFT JOIN (SELECT * FROM pairs WHERE r > 0) USING (system_id) GROUP BY s.system_id, energy""")
 def combined_energy(spark, d):
     """Contributions of three sources added by key, one of them renamed."""

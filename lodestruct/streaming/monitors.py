@@ -100,7 +100,8 @@ def inflight(stream: DataFrame, pool: DataFrame, graduated: Sink, admitted: Sink
         used = running.groupBy("shard").agg(F.sum("num_atoms").alias("num_atoms"), F.sum("num_edges").alias("num_edges"), F.count("*").alias("n"))
         free = pool.join(df.select("system_id").distinct(), "system_id", "left_anti")
         if len(admitted):
-            free = free.join(admitted.read().select("system_id"), "system_id", "left_anti")
+            # a batch that is run again chooses as it did before, so what it wrote itself does not count
+            free = free.join(admitted.read().filter(F.col("batch") != batch_id).select("system_id"), "system_id", "left_anti")
         admitted.write(refill(free, used, budget), batch_id)
 
     return stream.writeStream.foreachBatch(step)

@@ -1,6 +1,7 @@
 """Cases that the tables do not hold."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -304,3 +305,53 @@ def test_packing_into_batches_by_hand(spark):
             want += [(shard, batch, x[1], i) for i, x in enumerate(taken)]
             batch += 1
     assert got == sorted(want)
+
+
+def test_dispersion_forces_are_slopes_of_the_energy(spark):
+    """Forces and the trace of the virial against energies of moved atoms and grown cells, images and the switch included."""
+    cell, atoms, step = [6, 0, 0, 0.5, 7, 0, 0, 0, 8], [(0.3, 0.2, 0.1, 1), (2.1, 1.4, 1.7, 2), (4.0, 5.0, 3.1, 1), (1.0, 3.2, 0.4, 2)], 1e-4
+    moved = {k: [(x + (d if i == 1 else 0), y, z, e) for i, (x, y, z, e) in enumerate(atoms)] for k, d in ((1, 0), (2, step), (3, -step))}
+    grown = {k: 1 + d for k, d in ((4, step), (5, -step))}
+    moved |= {k: [(x * g, y * g, z * g, e) for x, y, z, e in atoms] for k, g in grown.items()}
+    s = spark.createDataFrame([(k, [c * grown.get(k, 1.0) for c in map(float, cell)], [True] * 3) for k in moved], "system_id long, cell array<double>, pbc array<boolean>")
+    a = spark.createDataFrame([(k, i, *map(float, p[:3]), p[3]) for k, ps in moved.items() for i, p in enumerate(ps)], "system_id long, atom_id long, x double, y double, z_pos double, z int")
+    elements = spark.createDataFrame([(1, 0.8, 2.0), (2, 1.1, 2.6)], "z int, rcov double, r4r2 double")
+    grid = spark.createDataFrame([(i, j, ci, cj, (i + j) * (5.0 + 3 * ci + 3 * cj)) for i in (1, 2) for j in (1, 2) for ci in (0.0, 1.0, 2.0) for cj in (0.0, 1.0, 2.0)], "zi int, zj int, cni double, cnj double, c6 double")
+    p = N.neighbor_pairs(StructureSet(s, a), 5.5)
+    d3 = lambda out: E.dispersion_d3(p, a, elements, grid, a2=2.0, switch=(3.0, 5.4), out=out)
+    e = {r["system_id"]: r["energy"] for r in d3("energy").collect()}
+    f = {r["atom_id"]: r for r in d3("forces").filter("system_id = 1").collect()}
+    assert abs(f[1]["fx"]) > 1e-3 and f[1]["fx"] == pytest.approx(-(e[2] - e[3]) / (2 * step), rel=1e-5)
+    assert sum(r["fy"] for r in f.values()) == pytest.approx(0, abs=1e-12)
+    w = d3("virial").filter("system_id = 1").collect()[0]["virial"]
+    assert w[0] + w[4] + w[8] == pytest.approx(-(e[4] - e[5]) / (2 * step), rel=1e-5)
+    per_atom = {r["system_id"]: r["e"] for r in d3("atom_energy").groupBy("system_id").agg(F.sum("energy").alias("e")).collect()}
+    assert per_atom == pytest.approx(e)
+
+
+def test_inflight_replaces_what_has_converged(spark):
+    """Two micro-batches: converged systems leave, others of the pool take their room, none is admitted twice, a repeated batch changes nothing."""
+    from lodestruct.streaming import monitors as SM
+
+    frame = lambda rows: spark.createDataFrame(rows, "system_id long, shard long, fmax double")
+    sizes = spark.createDataFrame([(k, 4, 0) for k in range(1, 13)], "system_id long, num_atoms long, num_edges long")
+    pool = G.size_bins(sizes.filter("system_id > 3").withColumn("shard", F.col("system_id") % 2), 100)
+    graduated, admitted = (sinks.Sink(spark, folder(spark, n)) for n in ("graduated", "admitted"))
+    source, marks = folder(spark, "inflight"), folder(spark, "marks")
+    frame([(1, 0, 0.5), (2, 0, 0.01), (3, 1, 0.02)]).coalesce(1).write.parquet(source)
+    schema = "system_id long, shard long, fmax double"
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = SM.inflight(stream, pool, graduated, admitted, {"fmax": (F.col("fmax"), "max", 0.05)}, (12, 10, 3), sizes).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r[0] for r in graduated.read().select("system_id").collect()), sorted((r["shard"], r["system_id"]) for r in admitted.read().collect())
+
+    # shard 0 keeps one system and has room for two, shard 1 is empty and has room for three
+    assert go() == ([2, 3], [(0, 4), (0, 6), (1, 5), (1, 7), (1, 9)])
+    frame([(1, 0, 0.04), (4, 0, 0.3), (6, 0, 0.2), (5, 1, 0.01), (7, 1, 0.6), (9, 1, 0.7)]).coalesce(1).write.mode("append").parquet(source)
+    after = ([1, 2, 3, 5], [(0, 4), (0, 6), (0, 8), (1, 5), (1, 7), (1, 9), (1, 11)])
+    assert go() == after
+    for name in ("1", ".1.crc"):  # as if the driver had been lost before the second batch was marked as done
+        os.remove(os.path.join(marks.removeprefix("file:"), "commits", name))
+    assert go() == after
