@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, media, mixing, nearest, packing, quality, simhash, suffixes, tokens, toxicity
+from . import automaton, linededup, media, mixing, nearest, packing, quality, simhash, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_quality": quality.op10_quality,
+        "op13_bpe_automaton": automaton.op13_bpe_automaton,
         "page_sequences": media.page_sequences,
     }
 
