@@ -97,33 +97,39 @@ class Automaton:
     def encode(self, word: str) -> list[int]:
         """Tokens of one pre-split word in the vocabulary's letters.
 
-        Every prefix of the word has one path; the path to a position is the one arc, among the tokens that end there,
-        whose state allows it.
+        Every prefix of the word has one path, so a place is reached by one arc only and in one state. The longest token
+        that the state allows is tried first; a place from which no arc leads on is left for good, so the time is linear.
         """
-        if not word:
-            return []
-        if self.suffix:
+        if self.suffix and word:
             word += MARK
-        n, spelled, after, arc = len(word), self.spelled, self.after, self.arc
-        state, came = [-1] * (n + 1), [None] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            s = state[i]
-            if s < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                t = spelled.get(word[i:j])
-                if t is None:
+        n, spelled, table, after = len(word), self.spelled, self.table, self.after
+        out, ends, tries = [], [], []
+        i, state, ways = 0, 0, None
+        while i < n:
+            if ways is None:
+                ways = []
+                for j in range(i + 1, n + 1):
+                    t = spelled.get(word[i:j])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        ways.append((t, j))
+            while ways:
+                t, j = ways.pop()
+                found = table.get(state << 32 | t)
+                if self.arc(state, t) if found is None else found:
+                    out.append(t)
+                    ends.append(i)
+                    tries.append(ways)
+                    i, state, ways = j, after[t], None
                     break
-                if t >= 0 and state[j] < 0 and arc(s, t):
-                    state[j], came[j] = after[t], (i, t)
-        if came[n] is None:
-            raise ValueError("a letter that is not in the vocabulary")
-        out, at = [], n
-        while at:
-            at, t = came[at]
-            out.append(t)
-        return out[::-1]
+            else:
+                if not out:
+                    raise ValueError("a letter that is not in the vocabulary")
+                out.pop()
+                i, ways = ends.pop(), tries.pop()
+                state = after[out[-1]] if out else 0
+        return out
 
 
 class Coder:
