@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, linededup, media, mixing, nearest, packing, quality, ranking, simhash, suffixes, tokens, toxicity
+from . import automaton, linededup, media, mixing, nearest, packing, quality, ranking, simhash, spelling, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_ranked_search": ranking.op12_ranked_search,
         "op13_bpe_automaton": automaton.op13_bpe_automaton,
         "page_sequences": media.page_sequences,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nearest": nearest.ORACLE, "op6_line_dedup": linededup.ORACLE, "op12_ranked_search": ranking.ORACLE}
+    return {"op5_nearest": nearest.ORACLE, "op6_line_dedup": linededup.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_ranked_search": ranking.ORACLE}
