@@ -40,7 +40,7 @@ class Automaton:
         size = max(vocabulary.values(), default=-1) + 1
         self.after, self.cleared, self.copied = [0] * size, [{}], [(-1, -1)]
         self.left, self.made, self.table = [-1] * size, [-1] * size, {}
-        entered, self.lost = {0: size}, set()
+        entered, self.lost, self.lineage = {0: size}, set(), None
         for k, (one, two) in enumerate(merges):
             a, b, c = vocabulary[one], vocabulary[two], vocabulary[one + two]
             if a in self.lost or b in self.lost or not self._open(self.after[a], b):
@@ -58,6 +58,7 @@ class Automaton:
                 entered[old] -= 1
                 entered[self.after[a]] = 1
             self.cleared[self.after[a]][b] = k
+        self.lineage = {}  # of states, from here on fixed
         #: Every prefix of a token's spelling, with the token that ends there or -1.
         self.spelled: dict[str, int] = {}
         for text, t in vocabulary.items():
@@ -70,18 +71,26 @@ class Automaton:
     def marked(self, text: str) -> str:
         return text[: -len(self.suffix)] + MARK if self.suffix and text.endswith(self.suffix) else text
 
-    def _open(self, state: int, token: int) -> bool:
-        until = len(self.left) + 1
+    def _rows(self, state: int) -> list[tuple[dict[int, int], int]]:
+        """The arcs that a state has lost: its own, and those of the states it was copied from, up to the merge that copied it."""
+        out, until = [], len(self.left) + 1
         while state >= 0:
-            cleared = self.cleared[state]
-            if cleared:
-                t, alive = token, until
-                while t >= 0:
-                    k = cleared.get(t)
-                    if k is not None and k <= alive and k <= until:
-                        return False
-                    t, alive = self.left[t], self.made[t]
+            if self.cleared[state]:
+                out.append((self.cleared[state], until))
             state, until = self.copied[state][0], min(until, self.copied[state][1])
+        return out
+
+    def _open(self, state: int, token: int) -> bool:
+        rows = self._rows(state) if self.lineage is None else self.lineage.get(state)
+        if rows is None:
+            rows = self.lineage[state] = self._rows(state)
+        alive = len(self.left) + 1
+        while token >= 0:
+            for cleared, until in rows:
+                k = cleared.get(token)
+                if k is not None and k <= alive and k <= until:
+                    return False
+            token, alive = self.left[token], self.made[token]
         return True
 
     def arc(self, state: int, token: int) -> bool:
