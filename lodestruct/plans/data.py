@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order import dense_index
 from ..functions.vectors import one_hot as one_hot_column
 from ..functions.vectors import voigt_to_matrix
 from ..operators import neighbors as N
 from ..operators import sampling as G
 from ..operators import segments as S
 from ..operators import structures as O
-from ..sources import sinks, store, views
+from ..sources import datasource, sinks, store, views
 from ..structures import FORCE, POSITION, VELOCITY, StructureSet
 from .common import BASE, A, B, C, folder, pairs_sql, r, rounded
 from .registry import query
@@ -234,6 +235,28 @@ def store_add_custom(spark, d):
     return rounded(store.read_structures(spark, path, fields=["energy", "twice"]).systems.select("system_id", "energy", "twice"), "twice")
 
 
+@query(f"{BASE} SELECT s.o AS ordinal, a.atom_id, a.z, a.x FROM (SELECT system_id, row_number() OVER (ORDER BY system_id DESC) - 1 AS o FROM systems WHERE energy >= 300000) s JOIN atoms a USING (system_id)")
+def store_take(spark, d):
+    """Systems of high energy, in falling order of id, from a dataset that many files hold: only those that can have them are read."""
+    ss, path = views.structures(spark, d), folder(spark, "store")
+    store.write_structures(ss, path)
+    wanted = ss.systems.filter("energy >= 300000").select("system_id", (-F.col("system_id")).alias("back"))
+    got = store.take(spark, path, dense_index(wanted, "back", "ordinal").select("ordinal", "system_id"), fields=["z", "x"])
+    return got.atoms.select(F.col("system_id").alias("ordinal"), "atom_id", "z", "x")
+
+
+@query(f"{BASE} SELECT a.system_id, a.atom_id, a.z, a.x, round(a.x / 2, 6) AS half FROM atoms a JOIN systems s USING (system_id) WHERE a.system_id >= 100 AND dataset <> '5-LOW'")
+def store_source(spark, d):
+    """Written and read through the data source: a level's rows, a late column, deletions, a filter on ids that chooses files."""
+    datasource.register(spark)
+    ss, path = views.structures(spark, d), folder(spark, "source")
+    ss.systems.write.format("structures").mode("append").option("level", "systems").save(path)
+    ss.atoms.select("system_id", "atom_id", "z", "x").write.format("structures").mode("append").save(path)
+    store.delete_structures(spark, path, ss.systems.filter("dataset = '5-LOW'"))
+    store.add_custom(spark, path, "half", store.read_structures(spark, path, fields=["x"]).atoms.withColumn("half", F.col("x") / 2), "atoms")
+    return rounded(spark.read.format("structures").option("columns", "system_id,atom_id,z,x,half").load(path).filter("system_id >= 100"), "half")
+
+
 @query(f"{BASE} SELECT system_id, energy, count(*) AS n, round(sum(x), 6) AS sx FROM atoms JOIN systems USING (system_id) GROUP BY ALL")
 def normalise_records(spark, d):
     """Nested records of other names, as a parser would give them."""
