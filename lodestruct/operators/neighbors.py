@@ -25,6 +25,15 @@ GEOMETRY = ("dx", "dy", "dz", "r")
 PAIR = ("system_id", "i", "j", "sx", "sy", "sz")
 
 
+def _length(cutoff: float | str) -> Column:
+    """A cutoff that is a number, or a column of systems."""
+    return F.col(cutoff) if isinstance(cutoff, str) else F.lit(float(cutoff))
+
+
+def _own(cutoff: float | str) -> list[str]:
+    return [cutoff] if isinstance(cutoff, str) else []
+
+
 def synthesize_cell(ss: StructureSet, cutoff: float) -> StructureSet:
     """Systems without a cell (null) get the box around their atoms, widened by the cutoff and open along all axes."""
     box = ss.atoms.groupBy("system_id").agg(*[F.max(c).alias(f"_hi{k}") for k, c in enumerate(POSITION)], *[F.min(c).alias(f"_lo{k}") for k, c in enumerate(POSITION)])
@@ -35,20 +44,20 @@ def synthesize_cell(ss: StructureSet, cutoff: float) -> StructureSet:
     return ss.with_(systems=s.select(ss.systems.columns))
 
 
-def grid_spec(systems: DataFrame, cutoff: float, max_bins: int = MAX_BINS) -> DataFrame:
-    """Bins along each axis and how many of them a search must reach: (system_id, cell, pbc, inv, n, reach).
+def grid_spec(systems: DataFrame, cutoff: float | str, max_bins: int = MAX_BINS) -> DataFrame:
+    """Bins along each axis and how many of them a search must reach: (system_id, cell, pbc, inv, n, reach), and the cutoff if it is a column.
 
     Bins are at least a cutoff wide between lattice planes; all three counts are halved together until their product is at most
     ``max_bins``. One row per system, closed form.
     """
-    s = systems.select("system_id", "cell", F.coalesce("pbc", F.array(*[F.lit(False)] * 3)).alias("pbc"), cell_inverse(F.col("cell")).alias("inv"))
-    slant = column_norms(elements(F.col("inv")))
-    n = [F.greatest(F.lit(1.0), F.floor(1 / (w * cutoff)).cast("double")) for w in slant]
+    s = systems.select("system_id", "cell", F.coalesce("pbc", F.array(*[F.lit(False)] * 3)).alias("pbc"), cell_inverse(F.col("cell")).alias("inv"), *_own(cutoff))
+    slant, cut = column_norms(elements(F.col("inv"))), _length(cutoff)
+    n = [F.greatest(F.lit(1.0), F.floor(1 / (w * cut)).cast("double")) for w in slant]
     # enough halvings of every count to bring the product under the limit
     halvings = F.greatest(F.lit(0.0), F.ceil((F.log2(n[0] * n[1] * n[2]) - math.log2(max_bins)) / 3).cast("double"))
     n = [F.greatest(F.lit(1), F.floor(c / F.pow(F.lit(2.0), halvings)).cast("int")) for c in n]
     s = s.withColumn("n", F.array(*n))
-    return s.withColumn("reach", F.array(*[F.ceil(w * cutoff * F.col("n")[k]).cast("int") for k, w in enumerate(column_norms(elements(F.col("inv"))))]))
+    return s.withColumn("reach", F.array(*[F.ceil(w * cut * F.col("n")[k]).cast("int") for k, w in enumerate(column_norms(elements(F.col("inv"))))]))
 
 
 def bin_atoms(atoms: DataFrame, spec: DataFrame) -> DataFrame:
@@ -84,21 +93,21 @@ def _ends(carry: Sequence[str], end: str) -> list[Column]:
     return [F.col(c).alias(f"{end}_{c}") for c in dict.fromkeys((*POSITION, *carry))]
 
 
-def _finish(pairs: DataFrame, cutoff: float, half: bool, carry: Sequence[str]) -> DataFrame:
+def _finish(pairs: DataFrame, cutoff: float | str, half: bool, carry: Sequence[str]) -> DataFrame:
     """From both positions, the shift and the cell: distances, the cutoff, and one of each two directions if asked."""
     lattice = row_times([F.col(s) for s in ("sx", "sy", "sz")], elements(F.col("cell")))
     d = [F.col(f"i_{c}") - F.col(f"j_{c}") - s for c, s in zip(POSITION, lattice)]
     p = pairs.withColumns(dict(zip(("dx", "dy", "dz"), d)))
-    p = p.withColumn("r2", dot(vec(("dx", "dy", "dz")), vec(("dx", "dy", "dz")))).filter(F.col("r2") < cutoff * cutoff)
+    p = p.withColumn("r2", dot(vec(("dx", "dy", "dz")), vec(("dx", "dy", "dz")))).filter(F.col("r2") < _length(cutoff) * _length(cutoff))
     home = (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)
     ahead = (F.col("sx") > 0) | ((F.col("sx") == 0) & ((F.col("sy") > 0) | ((F.col("sy") == 0) & (F.col("sz") > 0))))
     p = p.filter((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & ahead) if half else ~((F.col("i") == F.col("j")) & home))
     return p.select(*PAIR, "dx", "dy", "dz", F.sqrt("r2").alias("r"), *[f"{end}_{c}" for c in carry for end in "ij"])
 
 
-def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
+def _naive(ss: StructureSet, cutoff: float | str, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Each two atoms of a system meet once on its key; the images that can be near follow from their fractional distance, so no others are made."""
-    spec = grid_spec(ss.systems, cutoff).select("system_id", "cell", "pbc", "inv", F.array(*[w * cutoff for w in column_norms(elements(F.col("inv")))]).alias("slack"))
+    spec = grid_spec(ss.systems, cutoff).select("system_id", "cell", "pbc", "inv", *_own(cutoff), F.array(*[w * _length(cutoff) for w in column_norms(elements(F.col("inv")))]).alias("slack"))
     i = left.select("system_id", F.col("atom_id").alias("i"), *_ends(carry, "i"))
     j = ss.atoms.select("system_id", F.col("atom_id").alias("j"), *_ends(carry, "j"))
     p = i.join(j, "system_id").join(spec, "system_id")
@@ -117,7 +126,7 @@ def _naive(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry:
     return _finish(p, cutoff, half, carry)
 
 
-def _grid(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
+def _grid(ss: StructureSet, cutoff: float | str, half: bool, left: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Atoms meet on (system, bin): one side, narrowed to key and position, is repeated for the bins around its own; the cell in which such a bin lies is the image."""
     spec = grid_spec(ss.systems, cutoff)
     side = ("system_id", "atom_id", *dict.fromkeys((*POSITION, *carry)))
@@ -127,21 +136,24 @@ def _grid(ss: StructureSet, cutoff: float, half: bool, left: DataFrame, carry: S
         i = i.withColumn("o", F.explode(F.sequence(-F.col("reach")[k], F.col("reach")[k])))
         at, n = F.col(f"b{a}") + F.col("o"), F.col("n")[k]
         i = i.withColumns({f"b{a}": F.when(F.col("pbc")[k], F.pmod(at, n)).otherwise(at), f"m{a}": F.when(F.col("pbc")[k], F.floor(at / n).cast("int") + F.col(f"w{a}")).otherwise(F.lit(0))})
-    i = i.select("system_id", F.col("atom_id").alias("i"), *_ends(carry, "i"), "cell", "bx", "by", "bz", "mx", "my", "mz")
+    i = i.select("system_id", F.col("atom_id").alias("i"), *_ends(carry, "i"), "cell", *_own(cutoff), "bx", "by", "bz", "mx", "my", "mz")
     p = i.join(j, ["system_id", "bx", "by", "bz"])
     return _finish(p.withColumns({f"s{a}": F.col(f"m{a}") - F.col(f"jw{a}") for a in "xyz"}), cutoff, half, carry)
 
 
-def neighbor_pairs(ss: StructureSet, cutoff: float, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def neighbor_pairs(ss: StructureSet, cutoff: float | str, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs within ``cutoff``: (system_id, i, j, sx, sy, sz) and, with geometry, dx, dy, dz, r.
 
     method "naive" joins all atoms of a system, "grid" bins them; by default each system's own size decides, so a large
     one among many small ones is binned and the small ones are not.
     ``targets`` (system_id, atom_id) restricts i. ``strict`` raises where an active pair has distance 0. ``half``
     keeps one direction: i < j, or a positive shift for an atom and its own image. Columns of atoms named in ``carry``
-    come along as i_<name> and j_<name>, which spares a join for them later.
+    come along as i_<name> and j_<name>, which spares a join for them later. A cutoff that is a string names a column of
+    systems: each system has its own; one that is null or not positive has no pairs.
     """
-    if cutoff <= 0:
+    if isinstance(cutoff, str):
+        ss = ss.with_(systems=ss.systems.filter(F.col(cutoff) > 0))
+    elif cutoff <= 0:
         raise ValueError("cutoff must be positive")
     if not pbc:
         ss = ss.with_(systems=ss.systems.withColumn("pbc", F.array(*[F.lit(False)] * 3)))

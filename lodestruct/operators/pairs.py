@@ -82,18 +82,23 @@ def lj(pairs: DataFrame, eps: float = 1.0, sigma: float = 1.0, out: str = "energ
     return _potential(pairs, e, k, out, half)
 
 
-def coulomb(pairs: DataFrame, atoms: DataFrame, alpha: float = 0.0, out: str = "energy", half: bool = False, charge: str = "q") -> DataFrame:
-    """q_i q_j erfc(alpha r) / r; alpha 0: no damping."""
+def coulomb(pairs: DataFrame, atoms: DataFrame, alpha: float | str = 0.0, out: str = "energy", half: bool = False, charge: str = "q") -> DataFrame:
+    """q_i q_j erfc(alpha r) / r; alpha 0: no damping, a string: a column of the pairs."""
     p = with_atoms(pairs.filter("r > 0"), atoms, [charge])
     r, qq = F.col("r"), F.col(f"i_{charge}") * F.col(f"j_{charge}")
-    damp = erfc(f"{alpha!r} * r") if alpha else F.lit(1.0)
+    damp = erfc(f"{alpha} * r") if alpha else F.lit(1.0)
+    alpha = F.col(alpha) if isinstance(alpha, str) else alpha
     e = qq * damp / r
-    k = qq * (damp / r + (2 * alpha / SQRT_PI) * F.exp(-((alpha * r) ** 2))) / (r * r)
+    k = qq * (damp / r + (2 * alpha / SQRT_PI) * F.exp(-(alpha * r * alpha * r))) / (r * r)
     return _potential(p, e, k, out, half)
 
 
-def ewald_real(pairs: DataFrame, atoms: DataFrame, alpha: float, out: str = "energy", half: bool = False) -> DataFrame:
-    return coulomb(pairs, atoms, alpha, out, half)
+def ewald_real(pairs: DataFrame, atoms: DataFrame, alpha: float | DataFrame, out: str = "energy", half: bool = False, charge: str = "q") -> DataFrame:
+    """The real-space sum over pairs with one alpha, or with each system's own alpha up to its own cutoff, from ``ewald_parameters``."""
+    if isinstance(alpha, DataFrame):
+        pairs = pairs.join(alpha.select("system_id", "alpha", "r_cutoff"), "system_id").filter("r < r_cutoff")
+        alpha = "alpha"
+    return coulomb(pairs, atoms, alpha, out, half, charge)
 
 
 def dsf(pairs: DataFrame, atoms: DataFrame, alpha: float, cutoff: float, half: bool = False, charge: str = "q", out: str = "energy") -> DataFrame:
@@ -123,26 +128,33 @@ def combine(parts: Sequence[DataFrame], keys: Sequence[str] = ("system_id",), re
 # ---- Ewald summation
 
 
-def ewald_parameters(ss: StructureSet, eps: float = 1e-6) -> DataFrame:
-    """(system_id, eta, alpha, r_cutoff, k_cutoff) from the volume and the number of atoms."""
+def ewald_parameters(ss: StructureSet, eps: float = 1e-6, alpha: float | str | None = None) -> DataFrame:
+    """(system_id, eta, alpha, r_cutoff, k_cutoff): where both sums have fallen to ``eps``.
+
+    eta follows from the volume and the number of atoms, or from ``alpha`` (a number, or a column of systems; null: from the
+    volume). Systems without atoms have no row.
+    """
     n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("n"))
-    s = ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v")).join(n, "system_id")
-    eta = F.pow(F.col("v") * F.col("v") / F.col("n"), F.lit(1 / 6)) / math.sqrt(2 * math.pi)
+    given = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha).cast("double")
+    s = ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v"), given.alias("given")).join(n, "system_id")
+    eta = F.coalesce(1 / (math.sqrt(2) * F.col("given")), F.pow(F.col("v") * F.col("v") / F.col("n"), F.lit(1 / 6)) / math.sqrt(2 * math.pi))
     root = math.sqrt(-2 * math.log(eps))
     return s.withColumn("eta", eta).select("system_id", "eta", (1 / (math.sqrt(2) * F.col("eta"))).alias("alpha"), (root * F.col("eta")).alias("r_cutoff"), (root / F.col("eta")).alias("k_cutoff"))
 
 
-def k_vectors(systems: DataFrame, k_cutoff: float | None = None, bounds: Sequence[int] | None = None) -> DataFrame:
+def k_vectors(systems: DataFrame, k_cutoff: float | str | None = None, bounds: Sequence[int] | None = None) -> DataFrame:
     """(system_id, h, k, l, kx, ky, kz): half of the reciprocal vectors in a box of Miller indices, without zero.
 
-    The box holds all vectors up to ``k_cutoff``, or is given by ``bounds``; it is not cut to a sphere.
+    The box holds all vectors up to ``k_cutoff``, a number or a column of systems, or is given by ``bounds``; it is not cut
+    to a sphere.
     """
     if (k_cutoff is None) == (bounds is None):
         raise ValueError("give either k_cutoff or bounds")
-    s = systems.select("system_id", F.col("cell"), cell_inverse(F.col("cell")).alias("inv"))
+    cut = F.col(k_cutoff) if isinstance(k_cutoff, str) else F.lit(k_cutoff)
+    s = systems.select("system_id", F.col("cell"), cut.alias("cut"), cell_inverse(F.col("cell")).alias("inv"))
     rows = column_norms([F.col("cell")[3 * (k % 3) + k // 3] for k in range(9)])  # lengths of the lattice vectors
     for k, name in enumerate("hkl"):
-        top = F.lit(bounds[k]) if bounds else F.floor(k_cutoff * rows[k] / (2 * math.pi)).cast("int")
+        top = F.lit(bounds[k]) if bounds else F.floor(F.col("cut") * rows[k] / (2 * math.pi)).cast("int")
         s = s.withColumn(name, F.explode(F.sequence(F.lit(0) if name == "h" else -top, top)))
     s = s.filter("h > 0 or (h = 0 and (k > 0 or (k = 0 and l > 0)))")
     inv = elements(F.col("inv"))
@@ -157,17 +169,33 @@ def structure_factor(atoms: DataFrame, kvecs: DataFrame, charge: str = "q") -> D
     return j.groupBy("system_id", "h", "k", "l", "kx", "ky", "kz").agg(F.sum(F.col(charge) * F.cos(phase)).alias("re"), F.sum(F.col(charge) * F.sin(phase)).alias("im"))
 
 
-def ewald_recip(ss: StructureSet, alpha: float, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, out: str = "energy", charge: str = "q") -> DataFrame:
-    """Reciprocal sum: (system_id, energy), "forces" (system_id, atom_id, fx, fy, fz) or "virial" (system_id, virial of nine)."""
-    k = vec(("kx", "ky", "kz"))
-    s = structure_factor(ss.atoms, k_vectors(ss.systems, k_cutoff, bounds), charge).join(ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v")), "system_id")
-    k2 = dot(k, k)
-    green = 4 * math.pi / F.col("v") * F.exp(-k2 / (4 * alpha * alpha)) / k2  # half space: each vector stands for two
+def _parameters(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | None = None) -> StructureSet:
+    """Systems with columns alpha and k_cutoff: the same for all, or those of a table of parameters."""
+    if isinstance(alpha, DataFrame):
+        own = alpha.select("system_id", F.col("alpha").alias("_alpha"), F.col("k_cutoff").alias("_k_cutoff"))
+        s = ss.systems.select("system_id", "cell").join(own, "system_id")
+        return ss.with_(systems=s.withColumnsRenamed({"_alpha": "alpha", "_k_cutoff": "k_cutoff"}))
+    return ss.with_(systems=ss.systems.select("system_id", "cell", F.lit(float(alpha)).alias("alpha"), F.lit(k_cutoff).cast("double").alias("k_cutoff")))
+
+
+def ewald_recip(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, out: str = "energy", charge: str = "q") -> DataFrame:
+    """Reciprocal sum: (system_id, energy), "forces" (system_id, atom_id, fx, fy, fz) or "virial" (system_id, virial of nine).
+
+    ``alpha`` is a number, with ``k_cutoff`` or ``bounds`` for all, or a table of ``ewald_parameters``: each system then
+    has its own alpha and box of vectors.
+    """
+    if not isinstance(alpha, DataFrame) and (k_cutoff is None) == (bounds is None):
+        raise ValueError("give either k_cutoff or bounds")
+    k, ss = vec(("kx", "ky", "kz")), _parameters(ss, alpha, k_cutoff)
+    vectors = k_vectors(ss.systems, bounds=bounds) if bounds else k_vectors(ss.systems, "k_cutoff")
+    s = structure_factor(ss.atoms, vectors, charge).join(ss.systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id")
+    k2, spread_ = dot(k, k), 1 / (4 * F.col("alpha") * F.col("alpha"))
+    green = 4 * math.pi / F.col("v") * F.exp(-k2 * spread_) / k2  # half space: each vector stands for two
     e = green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     if out == "energy":
         return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
     if out == "virial":
-        stretch = 2 * (1 / k2 + 1 / (4 * alpha * alpha))
+        stretch = 2 * (1 / k2 + spread_)
         parts = [F.sum(e * ((1.0 if a == b else 0.0) - stretch * k[a] * k[b])).alias(f"w{3 * a + b}") for a in range(3) for b in range(3)]
         return s.groupBy("system_id").agg(*parts).select("system_id", F.array(*[f"w{n}" for n in range(9)]).alias("virial"))
     if out != "forces":
@@ -178,16 +206,27 @@ def ewald_recip(ss: StructureSet, alpha: float, k_cutoff: float | None = None, b
     return j.groupBy("system_id", "atom_id").agg(*[F.sum(F.col("g") * x).alias(c) for x, c in zip(k, ("fx", "fy", "fz"))])
 
 
-def ewald_self(ss: StructureSet, alpha: float, charge: str = "q") -> DataFrame:
+def ewald_self(ss: StructureSet, alpha: float | DataFrame, charge: str = "q") -> DataFrame:
     """Minus the self and the background term."""
     q = ss.atoms.groupBy("system_id").agg(F.sum(F.col(charge) * F.col(charge)).alias("q2"), F.sum(charge).alias("q"))
-    q = q.join(ss.systems.select("system_id", cell_volume(F.col("cell")).alias("v")), "system_id")
-    return q.select("system_id", (-alpha / SQRT_PI * F.col("q2") - math.pi / (2 * alpha**2) * F.col("q") * F.col("q") / F.col("v")).alias("energy"))
+    q, a = q.join(_parameters(ss, alpha).systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id"), F.col("alpha")
+    return q.select("system_id", (-a / SQRT_PI * F.col("q2") - math.pi / (2 * a * a) * F.col("q") * F.col("q") / F.col("v")).alias("energy"))
 
 
-def ewald(ss: StructureSet, pairs: DataFrame, alpha: float, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, half: bool = False) -> DataFrame:
-    """Real plus reciprocal minus self and background energy of each system with atoms."""
-    return combine([ewald_real(pairs, ss.atoms, alpha, half=half), ewald_recip(ss, alpha, k_cutoff, bounds), ewald_self(ss, alpha)])
+def ewald(ss: StructureSet, pairs: DataFrame | None, alpha: float | DataFrame, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, half: bool = False, charge: str = "q") -> DataFrame:
+    """Real plus reciprocal minus self and background energy of each system with atoms.
+
+    With a table of ``ewald_parameters`` as ``alpha`` each system has its own alpha and cutoffs, and the energy does not
+    depend on them beyond their eps. ``pairs`` must then reach each system's r_cutoff; None searches for them.
+    """
+    if pairs is None:
+        if not isinstance(alpha, DataFrame):
+            raise ValueError("a search for pairs needs a table of parameters")
+        from .neighbors import neighbor_pairs
+
+        near = ss.systems.select("system_id", "cell", "pbc").join(alpha.select("system_id", "r_cutoff"), "system_id")
+        pairs = neighbor_pairs(ss.with_(systems=near), "r_cutoff", half=half, carry=(charge,))
+    return combine([ewald_real(pairs, ss.atoms, alpha, half=half, charge=charge), ewald_recip(ss, alpha, k_cutoff, bounds, charge=charge), ewald_self(ss, alpha, charge)])
 
 
 def slab_correction(ss: StructureSet, charge: str = "q") -> DataFrame:

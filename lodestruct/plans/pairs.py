@@ -115,36 +115,78 @@ def coulomb_forces(spark, d):
     return rounded(E.coulomb(p, ss.atoms, out="forces").select("system_id", "atom_id", "fx", "fy"), "fx", "fy").join(w, "system_id")
 
 
-_KV = f"""kv AS (SELECT h, k, l, 2 * pi() * h / {A} AS kx, 2 * pi() * k / {B} AS ky, 2 * pi() * l / {C} AS kz FROM (SELECT unnest(range(0, 4)) AS h), (SELECT unnest(range(-1, 2)) AS k), (SELECT unnest(range(-1, 2)) AS l)
-  WHERE h > 0 OR (h = 0 AND (k > 0 OR (k = 0 AND l > 0)))),
+#: Sums that have fallen to 1e-6 for this alpha: cutoffs of the real and the reciprocal one, and the box of Miller indices in the fixed lattice.
+R_CUTOFF, K_CUTOFF = math.sqrt(-math.log(1e-6)) / ALPHA, 2 * ALPHA * math.sqrt(-math.log(1e-6))
+BOX = tuple(math.floor(K_CUTOFF * x / (2 * math.pi)) for x in (A, B, C))
+
+
+def _kv(top: tuple[str, str, str], of: str = "", name: str = "kv") -> str:
+    """A WITH part: half of the vectors of a box of Miller indices, one box for all or one for each row of a table."""
+    return f"""{name} AS (SELECT *, 2 * pi() * h / {A} AS kx, 2 * pi() * k / {B} AS ky, 2 * pi() * l / {C} AS kz FROM (
+  SELECT * FROM (SELECT *, unnest(range(-{top[2]}, {top[2]} + 1)) AS l FROM (SELECT *, unnest(range(-{top[1]}, {top[1]} + 1)) AS k FROM (SELECT {"*, " if of else ""}unnest(range(0, {top[0]} + 1)) AS h {of})))
+) WHERE h > 0 OR (h = 0 AND (k > 0 OR (k = 0 AND l > 0))))"""
+
+
+_KV = f"""{_kv(tuple(map(str, BOX)))},
 sf AS (SELECT system_id, h, k, l, kx * kx + ky * ky + kz * kz AS k2, sum(q * cos(kx * x + ky * y + kz * z_pos)) AS re, sum(q * sin(kx * x + ky * y + kz * z_pos)) AS im FROM atoms, kv GROUP BY ALL)"""
 _RECIP = f"sum(4 * pi() / {V} * exp(-k2 / {4 * ALPHA * ALPHA!r}) / k2 * (re * re + im * im))"
-BOUNDS = (3, 1, 1)
 
 
-@query(f"{BASE}, {_KV} SELECT system_id, h::INT AS h, k::INT AS k, l::INT AS l, round(kx, 9) AS kx, round(ky, 9) AS ky, round(kz, 9) AS kz FROM systems, kv")
+@query(f"{BASE}, {_KV} SELECT h::INT AS h, k::INT AS k, l::INT AS l, count(*) AS systems, round(min(kx), 9) AS kx, round(max(ky), 9) AS ky, round(avg(kz), 9) AS kz FROM systems, kv GROUP BY h, k, l")
 def k_vectors(spark, d):
-    return rounded(E.k_vectors(views.systems(spark, d), bounds=BOUNDS), "kx", "ky", "kz", digits=9)
+    """Every vector up to K_CUTOFF, counted over the systems that have it."""
+    found = E.k_vectors(views.systems(spark, d), K_CUTOFF)
+    return rounded(found.groupBy("h", "k", "l").agg(F.count("*").alias("systems"), F.min("kx").alias("kx"), F.max("ky").alias("ky"), F.avg("kz").alias("kz")), "kx", "ky", "kz", digits=9)
 
 
-@query(f"{BASE}, {_KV} SELECT system_id, h::INT AS h, k::INT AS k, l::INT AS l, round(re, 6) AS re, round(im, 6) AS im FROM sf")
+@query(f"{BASE}, {_KV} SELECT system_id, count(*) AS vectors, round(sum(re * re + im * im), 5) AS power, round(sum(re * h + im * (k + 2 * l)), 5) AS mixed FROM sf GROUP BY ALL")
 def structure_factor(spark, d):
+    """All factors of each system, summed as squares and with weights by index."""
     ss = views.structures(spark, d)
-    return rounded(E.structure_factor(ss.atoms, E.k_vectors(ss.systems, bounds=BOUNDS)).select("system_id", "h", "k", "l", "re", "im"), "re", "im")
+    s = E.structure_factor(ss.atoms, E.k_vectors(ss.systems, K_CUTOFF))
+    power, mixed = F.expr("re * re + im * im"), F.expr("re * h + im * (k + 2 * l)")
+    return rounded(s.groupBy("system_id").agg(F.count("*").alias("vectors"), F.sum(power).alias("power"), F.sum(mixed).alias("mixed")), "power", "mixed", digits=5)
 
 
 @query(f"{BASE}, {_KV} SELECT system_id, round({_RECIP}, 6) AS energy FROM sf GROUP BY ALL")
 def ewald_recip(spark, d):
-    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, bounds=BOUNDS), "energy")
+    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, K_CUTOFF), "energy")
 
 
-@query(f"""{BASE}, {pairs_sql(RC)}, {_KV}, e AS (
+_EWALD = f"""e AS (
   SELECT system_id, sum({_REAL}) / 2 AS e FROM pairs WHERE r > 0 GROUP BY ALL UNION ALL SELECT system_id, {_RECIP} FROM sf GROUP BY ALL
   UNION ALL SELECT system_id, -{ALPHA / math.sqrt(math.pi)!r} * sum(q * q) - {math.pi / (2 * ALPHA**2 * V)!r} * sum(q) * sum(q) FROM atoms GROUP BY ALL)
-SELECT system_id, round(sum(e), 6) AS energy FROM e GROUP BY ALL""")
+SELECT system_id, round(sum(e), 6) AS energy FROM e GROUP BY ALL"""
+
+
+@query(f"{BASE}, {pairs_sql(R_CUTOFF)}, {_KV}, {_EWALD}")
 def ewald_energy(spark, d):
-    ss, p = _ss(spark, d, "q")
-    return rounded(E.ewald(ss, p, ALPHA, bounds=BOUNDS), "energy")
+    """Both sums converged to 1e-6 for one alpha."""
+    ss = views.structures(spark, d)
+    return rounded(E.ewald(ss, N.neighbor_pairs(ss, R_CUTOFF, carry=["q"]), ALPHA, K_CUTOFF), "energy")
+
+
+#: Alpha of each system by its number of atoms, so that small systems do less work; all cutoffs and boxes follow from it.
+_OWN = "(0.25e0 + 0.02e0 * least(count(*), 6))"
+_OWN_PAIRS = pairs_sql(math.sqrt(-math.log(1e-6)) / 0.27, images=3)
+
+
+@query(f"""{BASE}, {_OWN_PAIRS}, n AS (SELECT system_id, {_OWN} AS alpha FROM atoms GROUP BY ALL),
+box AS (SELECT *, {", ".join(f"floor(2 * alpha * sqrt(-ln(1e-6)) * {x} / (2 * pi()))::INT AS t{n}" for n, x in zip("hkl", (A, B, C)))} FROM n),
+{_kv(("th", "tk", "tl"), "FROM box")},
+sf AS (SELECT system_id, alpha, h, k, l, kx * kx + ky * ky + kz * kz AS k2, sum(q * cos(kx * x + ky * y + kz * z_pos)) AS re, sum(q * sin(kx * x + ky * y + kz * z_pos)) AS im FROM atoms JOIN kv USING (system_id) GROUP BY ALL),
+e AS (
+  SELECT system_id, sum(i_q * j_q * {erfc_sql("alpha * r")} / r) / 2 AS e FROM pairs JOIN n USING (system_id) WHERE r > 0 AND r < sqrt(-ln(1e-6)) / alpha GROUP BY ALL
+  UNION ALL SELECT system_id, sum(4 * pi() / {V} * exp(-k2 / (4 * alpha * alpha)) / k2 * (re * re + im * im)) FROM sf GROUP BY ALL
+  UNION ALL SELECT system_id, -any_value(alpha) / sqrt(pi()) * sum(q * q) - pi() / (2 * any_value(alpha) ** 2 * {V}) * sum(q) * sum(q) FROM atoms JOIN n USING (system_id) GROUP BY ALL)
+SELECT system_id, round(any_value(alpha), 6) AS alpha, round(sum(e), 5) AS energy FROM e JOIN n USING (system_id) GROUP BY ALL""")
+def ewald_by_system(spark, d):
+    """Each system with its own alpha, cutoffs and box of vectors; pairs are searched up to each system's cutoff."""
+    ss = views.structures(spark, d)
+    n = ss.atoms.groupBy("system_id").agg((F.lit(0.25) + 0.02 * F.least(F.count("*"), F.lit(6))).alias("alpha"))
+    ss = ss.with_(systems=ss.systems.join(n, "system_id"))
+    own = E.ewald_parameters(ss, 1e-6, "alpha")
+    return rounded(rounded(E.ewald(ss, None, own).join(own.select("system_id", "alpha"), "system_id"), "alpha"), "energy", digits=5).select("system_id", "alpha", "energy")
 
 
 _GR = f"4 * pi() / {V} * exp(-k2 / {4 * ALPHA * ALPHA!r}) / k2"
@@ -153,7 +195,7 @@ _GR = f"4 * pi() / {V} * exp(-k2 / {4 * ALPHA * ALPHA!r}) / k2"
 @query(f"""{BASE}, {_KV} SELECT a.system_id, atom_id, {", ".join(f"round(sum(2 * {_GR} * q * (re * sin(p) - im * cos(p)) * k{c}), 6) AS f{c}" for c in "xyz")}
 FROM (SELECT system_id, atom_id, q, h, k, l, kx, ky, kz, kx * x + ky * y + kz * z_pos AS p FROM atoms, kv) a JOIN sf USING (system_id, h, k, l) GROUP BY ALL""")
 def ewald_recip_forces(spark, d):
-    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, bounds=BOUNDS, out="forces"), "fx", "fy", "fz")
+    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, K_CUTOFF, out="forces"), "fx", "fy", "fz")
 
 
 _EK, _ST = f"{_GR} * (re * re + im * im)", f"2 * (1 / k2 + {1 / (4 * ALPHA * ALPHA)!r})"
@@ -161,32 +203,29 @@ _EK, _ST = f"{_GR} * (re * re + im * im)", f"2 * (1 / k2 + {1 / (4 * ALPHA * ALP
 
 @query(f"{BASE}, {_KV} SELECT system_id, round(sum({_EK} * (1 - {_ST} * kx * kx)), 6) AS wxx, round(sum({_EK} * -{_ST} * ky * kz), 6) AS wyz FROM sf JOIN kv USING (h, k, l) GROUP BY ALL")
 def ewald_recip_virial(spark, d):
-    w = E.ewald_recip(views.structures(spark, d), ALPHA, bounds=BOUNDS, out="virial")
+    w = E.ewald_recip(views.structures(spark, d), ALPHA, K_CUTOFF, out="virial")
     return w.select("system_id", r(F.col("virial")[0]).alias("wxx"), r(F.col("virial")[5]).alias("wyz"))
 
 
-#: Where exp(-k^2 / 4 ALPHA^2) falls to 1e-6, as in ewald_parameters; the box of these indices is (21, 4, 3) in the fixed lattice.
-K_CUTOFF = 2 * ALPHA * math.sqrt(-math.log(1e-6))
+@query(f"{BASE}, {_KV} SELECT system_id, round({_RECIP}, 6) AS energy FROM sf GROUP BY ALL")
+def ewald_recip_full(spark, d):
+    return ewald_recip(spark, d)
 
 
 @query()
 def k_vectors_full(spark, d):
-    """All vectors up to K_CUTOFF; the queries above keep the box of their SQL."""
+    """A row for each system and vector, which is too much to compare in SQL; ``k_vectors`` counts them."""
     return rounded(E.k_vectors(views.systems(spark, d), K_CUTOFF), "kx", "ky", "kz", digits=9)
 
 
 @query()
 def structure_factor_full(spark, d):
+    """A row for each system and vector; ``structure_factor`` sums them."""
     ss = views.structures(spark, d)
     return rounded(E.structure_factor(ss.atoms, E.k_vectors(ss.systems, K_CUTOFF)).select("system_id", "h", "k", "l", "re", "im"), "re", "im")
 
 
-@query()
-def ewald_recip_full(spark, d):
-    return rounded(E.ewald_recip(views.structures(spark, d), ALPHA, K_CUTOFF), "energy")
-
-
-@query()
+@query(f"{BASE}, {pairs_sql(RC)}, {_KV}, {_EWALD}")
 def ewald_energy_full(spark, d):
     """The reciprocal sum is whole; the real sum ends at RC, as in ewald_real."""
     ss, p = _ss(spark, d, "q")
