@@ -19,13 +19,44 @@ from ._common import LOWER, UPPER, batches, materialise, table
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERMS = re.compile(TERM)
 #: Terms and documents of a piece of a stratum, items of a block of queries, and pieces that a task searches together.
-PIECE, DOCUMENTS, ITEMS, TOGETHER = 1 << 20, 1 << 13, 256, 8
+PIECE, DOCUMENTS, ITEMS, TOGETHER = 1 << 20, 1 << 11, 256, 8
 _INDEX = "m long, piece long, documents array<struct<id:{0}>>, terms array<string>, groups array<int>, tf array<int>, sizes array<int>, slots array<int>"
 
 
-def terms(text: str) -> list[str]:
-    """Terms of a text in order, only A-Z lower-cased."""
-    return _TERMS.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def terms(text: bytes) -> list[str]:
+    """Terms of a text in UTF-8 in order, only A-Z lower-cased."""
+    return _TERMS.findall(text.lower().decode())
+
+
+#: Whether each byte is part of a term.
+_INSIDE = np.array([b >= 0x80 or bool(_TERMS.fullmatch(chr(b))) for b in range(256)])
+
+
+def _count(text: pa.Array) -> np.ndarray:
+    """Number of terms of each text of a binary column without nulls: places where a term starts, found over the whole column at once."""
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    if ends[-1] == ends[0]:
+        return np.zeros(len(text), np.int64)
+    inside = _INSIDE[np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends -= ends[0]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    first = ends[:-1][np.diff(ends) > 0]
+    starts[first] = inside[first]
+    before = np.r_[0, np.cumsum(starts)]
+    return before[ends[1:]] - before[ends[:-1]]
+
+
+def _lengths(keep: bool):
+    """n, the number of terms of each text (the last column, as bytes), alone or beside what there is."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                n = pa.array(_count(batch.column(batch.num_columns - 1)), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, n] if keep else [n], names=[*batch.schema.names, "n"] if keep else ["n"])
+
+    return run
 
 
 def _build(kind: pa.DataType):
@@ -60,21 +91,23 @@ def build_index(docs: DataFrame, piece: int = PIECE) -> tuple[DataFrame, int, in
     stratum. Repeated rows and ids are documents each; a null id is kept. Other columns are not read. An empty table
     gives an empty index.
     """
-    sized = docs.select("doc_id", "text", F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
-    lengths = materialise(sized.groupBy("n").agg(F.count("*").alias("docs")), "lengths")
+    kind = docs.schema["doc_id"].dataType
+    body = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    # counted twice, which costs less than to keep the texts
+    lengths = materialise(body.select("text").mapInArrow(_lengths(False), "n long").groupBy("n").agg(F.count("*").alias("docs")).filter("n > 0"), "lengths")
+    sized = body.mapInArrow(_lengths(True), f"doc_id {kind.simpleString()}, text binary, n long").filter("n > 0")
     many, total = lengths.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("docs") * F.col("n")), F.lit(0))).first()
     m = F.expr(f"75L + (25L * n * {many}L) div {max(total, 1)}L")
     strata = lengths.withColumn("m", m).groupBy("m").agg(F.sum(F.expr("docs * n")).alias("words"), F.sum("docs").alias("docs"))
     strata = strata.select("m", F.ceil(F.greatest(F.col("words") / piece, F.col("docs") / DOCUMENTS)).alias("pieces"))
     dealt = sized.withColumn("m", m).join(strata, "m").withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), "pieces"))
-    kind = docs.schema["doc_id"].dataType
     index = dealt.select("m", "piece", "doc_id", "text").groupBy("m", "piece").applyInArrow(_build(to_arrow_type(kind)), _INDEX.format(kind.simpleString()))
     return materialise(index, "index"), many, total
 
 
 def _asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(it):
-        rows = [(k, t, n) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t, n in Counter(terms(text)).items()]
+        rows = [(k, t, n) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t, n in Counter(terms(text.encode())).items()]
         cols = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()))], names=["query", "term", "times"])
 
