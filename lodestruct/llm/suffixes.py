@@ -6,13 +6,17 @@ in two documents: each carries the bytes before it that its strings need.
 
 1. Exact copies of a text: the smallest doc_id stands for all; the others' bytes are known to go.
 2. Texts are gathered into compressed chunks. Each chunk tells the hashes of its anchors; those found twice come back.
-3. Each task sorts the suffixes at such anchors and sends front-coded runs, dealt by the anchor's hash.
+3. Each task sorts the suffixes at such anchors and sends front-coded runs, dealt by the anchor's hash. A range holds what
+   so many bytes of text give, so there are more ranges the more text there is; runs are dealt to at most ``FAN`` ranges at
+   a time, and where there are more, each of these is dealt again, so a run keeps ``RUN / FAN`` suffixes at any size.
 4. A loser tree merges the runs of a range. Suffixes that share the anchor's gram follow one another; in each such group
    every string of every suffix is compared, and those with a smaller doc_id elsewhere give intervals to remove.
-   A range holds what so many bytes of text give, so there are more ranges the more text there is.
-5. An anchor in more than ``HOT`` documents would be one group without a bound: its strings are hashed to 128 bits
-   instead, an aggregate finds each one's smallest doc_id, and a join tells the others.
+5. An anchor that occurs more than ``HOT`` times would be one group without a bound: its different strings are hashed to
+   128 bits instead, an aggregate finds each one's smallest doc_id, and the chunks that have it under a greater one hear.
 6. Intervals go back to the chunks, whose texts are cut.
+
+Nothing is held for a whole text but the text itself: anchors are counted, suffixes sent and intervals joined block by
+block, so a very long text, or one that repeats a short period millions of times, needs no more memory than its bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import as_bytes, materialise, table
@@ -37,8 +40,8 @@ LEFT = GRAMS - 1
 KEY = SPAN + LEFT + 2
 #: Bytes of text in a chunk, window starts handled at once, suffixes in a run, suffixes compared at once.
 CHUNK, BLOCK, RUN, GROUPS = 1 << 22, 1 << 16, 1 << 18, 1 << 15
-#: Bytes of text whose suffixes make a range on average; documents from which on an anchor is dealt by its strings.
-PART, HOT = 1 << 23, 1 << 16
+#: Bytes of text whose suffixes make a range on average; occurrences from which on an anchor is dealt by its strings; ranges dealt to at a time.
+PART, HOT, FAN = 1 << 23, 1 << 16, 256
 #: Bits of a place in a block and of a document in a chunk; what is left of 64 is the hash.
 PLACE = 17
 #: How hard texts are compressed while they travel.
@@ -46,15 +49,27 @@ LEVEL = 5
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h >> np.uint64(PLACE)  # 47 bits are enough to tell grams apart; the place below them makes the leftmost one least
+
+
+def _gram_hash(grams: np.ndarray) -> np.ndarray:
+    """The hash of ``_windows`` for grams in rows."""
+    h = grams.astype(np.uint64) + np.uint64(1)
+    for n in (1, 2, 4, 8):
+        h = h[:, ::2] * np.uint64(pow(_BASE, n, 1 << 64)) + h[:, 1::2]
+    return _mixed(h[:, 0].copy())
+
+
 def _windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each gram of ``x`` and the place of the anchor of each string (leftmost of equals)."""
     h = x.astype(np.uint64) + np.uint64(1)
     for n in (1, 2, 4, 8):
         h = h[:-n] * np.uint64(pow(_BASE, n, 1 << 64)) + h[n:]
-    h ^= h >> np.uint64(31)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
-    h >>= np.uint64(PLACE)  # 47 bits are enough to tell grams apart; the place below them makes the leftmost one least
+    h = _mixed(h)
     least = h << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64)
     for n in (1, 2, 4, 8, 16, GRAMS - 32):
         least = np.minimum(least[n:], least[:-n])
@@ -120,18 +135,28 @@ def _open(batch: pa.RecordBatch, i: int) -> tuple:
 
 
 def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, chunk, docs): the anchors' hashes of each chunk once, and how many of its documents have each."""
+    """(h, chunk, docs, times): the anchors' hashes of each chunk once, how many of its documents have each, and how often it occurs."""
     for batch in it:
         for i in range(batch.num_rows):
             number, _, _, ends, data = _open(batch, i)
-            found = [h << np.uint64(PLACE) | np.searchsorted(ends, a, "right").astype(np.uint64) for a, _, _, h in anchors(data, ends)]
-            if found:
-                pair = np.sort(np.concatenate(found))
-                pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
-                h = (pair >> np.uint64(PLACE)).astype(np.int64)
+            pairs, times, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+            def count() -> tuple[np.ndarray, np.ndarray]:
+                every, at = np.unique(np.concatenate([pairs, *fresh]), return_inverse=True)
+                return every, np.bincount(at, np.r_[times, np.ones(size, np.int64)], len(every)).astype(np.int64)
+
+            for a, _, _, h in anchors(data, ends):
+                fresh.append(h << np.uint64(PLACE) | np.searchsorted(ends, a, "right").astype(np.uint64))
+                size += len(a)
+                if size >= RUN:
+                    pairs, times = count()
+                    fresh, size = [], 0
+            pairs, times = count()
+            if len(pairs):
+                h = (pairs >> np.uint64(PLACE)).astype(np.int64)
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                docs = np.diff(np.r_[first, len(h)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.full(len(first), number)), pa.array(docs)], names=["h", "chunk", "docs"])
+                cols = [h[first], np.full(len(first), number), np.diff(np.r_[first, len(h)]), np.add.reduceat(times, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "chunk", "docs", "times"])
 
 
 # ---- sorted runs
@@ -263,18 +288,19 @@ def _numbers(lists: pa.Array, i: int) -> np.ndarray:
     return np.asarray(lists[i].values) if lists[i].is_valid else np.zeros(0, np.int64)
 
 
-def _runs(parts: int):
+def _deal(held: list[tuple], parts: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the suffixes that are held, one for each ``wide`` ranges that have some."""
+    rows, h, docs, chunks, ords, places = (np.concatenate(c) for c in zip(*held))
+    part = (h % np.uint64(parts)).astype(np.int64) // wide
+    order = np.argsort(part, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        yield pa.RecordBatch.from_arrays([pa.array(part[own[:1]]), pa.array([front_code(rows[own], docs[own], chunks[own], ords[own], places[own])], pa.binary())], names=["part", "run"])
+
+
+def _runs(parts: int, wide: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, h, docs, chunks, ords, places = (np.concatenate(c) for c in zip(*held))
-            part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(part[own[:1]]), pa.array([front_code(rows[own], docs[own], chunks[own], ords[own], places[own])], pa.binary())], names=["part", "run"])
-
         for batch in it:
             for i in range(batch.num_rows):
                 number, ids, _, ends, data = _open(batch, i)
@@ -296,31 +322,80 @@ def _runs(parts: int):
                     rows[:, -2], rows[:, -1] = a - hi, a - lo
                     held.append((rows, h, ids[doc], np.full(len(a), number), doc, a - np.r_[0, ends][doc]))
                     size += len(a)
+                    if size >= RUN:
+                        yield from _deal(held, parts, wide)
+                        held, size = [], 0
+        if size:
+            yield from _deal(held, parts, wide)
+
+    return run
+
+
+def _again(parts: int, wide: int):
+    """Runs taken apart and dealt anew, to narrower ranges."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in it:
+            for packed in batch.column(1).to_pylist():
+                r = Run(packed)
+                keys = [r.key for _ in iter(r.next, -1)]
+                rows = np.repeat(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY), r.count, axis=0)
+                held.append((rows, _gram_hash(rows[:, :GRAM]), r.ids[r.doc], r.of[r.doc], r.ords[r.doc], r.places.astype(np.int64)))
+                size += len(rows)
                 if size >= RUN:
-                    yield from flush()
+                    yield from _deal(held, parts, wide)
                     held, size = [], 0
         if size:
-            yield from flush()
+            yield from _deal(held, parts, wide)
 
     return run
 
 
+def _digests(data: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Start, document and 128-bit hash of the strings at the anchors in ``hot``, a few at a time and in order."""
+    raw = data.tobytes()
+    for _, lo, hi, h in anchors(data, ends):
+        known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        lo, n = lo[known], (hi - lo)[known] + 1
+        for at in range(0, len(lo), GROUPS // GRAMS):
+            m = n[at : at + GROUPS // GRAMS]
+            s = np.repeat(lo[at : at + GROUPS // GRAMS] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield s, np.searchsorted(ends, s, "right"), [xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in s.tolist()]
+
+
 def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, doc_id, chunk, ord, place): 128-bit hash and place of every string at the anchors that are dealt by their strings."""
+    """(s, doc_id, chunk): hashes of the strings at the anchors that are dealt by their strings; one that has been sent lately under the same id is not sent again."""
+    for batch in it:
+        for i in range(batch.num_rows):
+            number, ids, _, ends, data = _open(batch, i)
+            sent: set[tuple] = set()
+            for _, doc, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
+                new = [x for x in dict.fromkeys(zip(digest, ids[doc].tolist())) if x not in sent]
+                sent.update(new)
+                if len(sent) > RUN:
+                    sent.clear()
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.binary()), pa.array([k for _, k in new], pa.int64()), pa.array(np.full(len(new), number))], names=["s", "doc_id", "chunk"])
+
+
+def _marked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, ord, lo, hi) of the strings whose hash a document of smaller id has (the last column: hash and that id), those that follow one another joined."""
     for batch in it:
         for i in range(batch.num_rows):
             number, ids, _, ends, data = _open(batch, i)
-            hot, raw = np.sort(_numbers(batch.column(5), i).view(np.uint64)), data.tobytes()
-            for _, lo, hi, h in anchors(data, ends):
-                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                lo, n = lo[known], (hi - lo)[known] + 1
-                for at in range(0, len(lo), GROUPS // GRAMS):
-                    m = n[at : at + GROUPS // GRAMS]
-                    s = np.repeat(lo[at : at + GROUPS // GRAMS] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    doc = np.searchsorted(ends, s, "right")
-                    digest = [xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in s.tolist()]
-                    cols = [pa.array(digest, pa.binary()), *map(pa.array, (ids[doc], np.full(len(s), number), doc, s - np.r_[0, ends][doc]))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["s", "doc_id", "chunk", "ord", "place"])
+            known = batch.column(6)[i].values
+            least = dict(zip(known.field("s").to_pylist(), known.field("least").to_pylist()))
+            starts, top = np.r_[0, ends], np.iinfo(np.int64).max
+            for s, doc, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
+                gone = ids[doc] > np.array([least.get(d, top) for d in digest], np.int64)
+                s, doc = s[gone], doc[gone]
+                if len(s):
+                    first = np.flatnonzero(np.r_[True, (np.diff(s) > 1) | (np.diff(doc) > 0)])
+                    last = np.r_[first[1:], len(s)] - 1
+                    cols = (np.full(len(first), number), doc[first], s[first] - starts[doc[first]], s[last] - starts[doc[first]] + SPAN)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["chunk", "ord", "lo", "hi"])
 
 
 def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
@@ -332,6 +407,7 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
     of: list[int] = []
     at_: list[int] = []
     fresh = 0  # where the group that is being read begins
+    owned = 0  # by how many documents the keys are had
 
     def compare(n: int) -> None:
         rows = np.frombuffer(b"".join(keys[:n]), np.uint8).reshape(-1, KEY)
@@ -362,12 +438,14 @@ def _intervals(key: tuple, runs: pa.Table) -> pa.Table:
             if len(keys) - fresh == 1 and opened[of[fresh]].single[at_[fresh]]:
                 keys.pop(), of.pop(), at_.pop()  # nobody else has this anchor
             fresh = len(keys)
-            if fresh >= GROUPS:
+            if owned >= GROUPS:
                 compare(fresh)
-                keys, of, at_, fresh = [], [], [], 0
+                keys, of, at_, fresh, owned = [], [], [], 0, 0
+        owned += 1 if opened[run].single[i] else int(opened[run].count[i])
         keys.append(k)
         of.append(run)
         at_.append(i)
+        # a group has at most HOT owners
     if keys:
         compare(len(keys))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
@@ -382,19 +460,21 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[by
     for batch in it:
         for i in range(batch.num_rows):
             _, ids, keys, ends, data = _open(batch, i)
-            starts, depth = np.r_[0, ends[:-1]], np.zeros(len(data) + 1, np.int32)
+            lo = hi = np.zeros(0, np.int64)
+            starts = np.r_[0, ends[:-1]]
             if batch.column(5)[i].is_valid:
                 spans = batch.column(5)[i].values
                 order, lo, hi = (np.asarray(spans.field(c)) for c in ("ord", "lo", "hi"))
-                np.add.at(depth, starts[order] + lo, 1)
-                np.add.at(depth, starts[order] + hi, -1)
-            off = np.cumsum(depth[:-1]) > 0
-            begin = off.copy()
-            begin[1:] &= ~off[:-1]
-            begin[starts] = off[starts]  # a run that ends one text does not go on in the next
-            removed, spans = np.add.reduceat(off.astype(np.int64), starts), np.add.reduceat(begin.astype(np.int64), starts)
-            left, cut = data[~off].tobytes(), np.cumsum(np.diff(np.r_[0, ends]) - removed).tolist()
-            kept = [left[a:b] for a, b in zip([0, *cut[:-1]], cut)]
+                lo, hi = lo + starts[order], hi + starts[order]
+                by = np.argsort(lo, kind="stable")
+                lo, hi = lo[by], np.maximum.accumulate(hi[by])  # strings do not cross texts, so runs do not either
+                # intervals that touch are one run, but not where one text ends and the next begins
+                fresh = np.flatnonzero(np.r_[True, (lo[1:] > hi[:-1]) | (lo[1:] > lo[:-1]) & np.isin(lo[1:], starts)]) if len(lo) else np.zeros(0, np.int64)
+                lo, hi = lo[fresh], hi[np.r_[fresh[1:], len(hi)] - 1] if len(fresh) else hi
+            own = np.searchsorted(ends, lo, "right")
+            removed, spans = (np.bincount(own, w, len(ends)).astype(np.int64) for w in (hi - lo, np.ones(len(lo))))
+            edges, at = np.searchsorted(lo, np.r_[starts, ends[-1:]]), data
+            kept = [b"".join([at[x:y].tobytes() for x, y in zip([a, *hi[p:q].tolist()], [*lo[p:q].tolist(), e])]) for a, e, p, q in zip(starts.tolist(), ends.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, keys[:, 0], keys[:, 1], removed, spans)], names=[n for n, _ in _KEPT]), kept
 
 
@@ -403,10 +483,11 @@ def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counts.append_column("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
 
 
-def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """Chunks of the different texts that are long enough, and (chunk, ord, lo, hi): the bytes of the ord-th text of a chunk that repeat a document of smaller id.
 
-    ``part``: bytes of text whose suffixes make a range; ``hot``: documents from which on an anchor is dealt by its strings.
+    ``part``: bytes of text whose suffixes make a range; ``hot``: occurrences from which on an anchor is dealt by its
+    strings; ``fan``: ranges that runs are dealt to at a time.
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("body")).filter(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN))
     body = body.select("doc_id", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("text"), "body").alias("t2"), "body")
@@ -417,30 +498,40 @@ def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT) -> tuple[D
     # the filter is what the inner join below adds by itself: with it, all joins with texts share one exchange
     chunks = made.select(*_TEXT).filter("chunk is not null")
 
-    # a hash has one row a chunk at most, so one for every CHUNK bytes of text
-    hashes = chunks.mapInArrow(_hashes, "h long, chunk long, docs int").withColumn("n", F.sum("docs").over(W.partitionBy("h"))).filter("n > 1")
-    lists = hashes.groupBy("chunk").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("h"))).alias("wanted"), F.collect_list(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
+    # a hash has one row a chunk at most; its sums are added up before they are dealt, and the join can split a hash in very many chunks
+    hashes = materialise(chunks.mapInArrow(_hashes, "h long, chunk long, docs long, times long"), "anchors")
+    sums = hashes.groupBy("h").agg(F.sum("docs").alias("n"), F.sum("times").alias("times")).filter("n > 1").select("h", (F.col("times") > hot).alias("is_hot"))
+    lists = hashes.select("h", "chunk").join(sums, "h").groupBy("chunk").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("h"))).alias("wanted"), F.collect_list(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
     lists = materialise(lists, "shared_anchors")  # at most the anchors of a chunk
-    runs = chunks.join(lists.select("chunk", "wanted"), "chunk").select(*_TEXT, "wanted").mapInArrow(_runs(parts), "part long, run binary")
+    wide = 1
+    while wide * fan < parts:
+        wide *= fan
+    runs = chunks.join(lists.select("chunk", "wanted"), "chunk").select(*_TEXT, "wanted").mapInArrow(_runs(parts, wide), "part long, run binary")
+    while wide > 1:
+        wide //= fan
+        runs = runs.repartition("part").mapInArrow(_again(parts, wide), "part long, run binary")
     found = runs.groupBy("part").applyInArrow(_intervals, "chunk long, ord long, lo long, hi long")
     dealt = lists.select("chunk", "hot").filter("size(hot) > 0")
     if not dealt.isEmpty():
-        strings = materialise(chunks.join(dealt, "chunk").select(*_TEXT, "hot").mapInArrow(_strings, "s binary, doc_id long, chunk long, ord long, place long"), "strings")
-        least = materialise(strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("s", "least"), "least")
-        found = found.unionByName(strings.join(least, "s").filter("doc_id > least").select("chunk", "ord", F.col("place").alias("lo"), (F.col("place") + SPAN).alias("hi")))
+        strings = materialise(chunks.join(dealt, "chunk").select(*_TEXT, "hot").mapInArrow(_strings, "s binary, doc_id long, chunk long"), "strings")
+        least = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("s", "least")
+        told = strings.join(least, "s").filter("doc_id > least").select("chunk", "s", "least").distinct().groupBy("chunk").agg(F.collect_list(F.struct("s", "least")).alias("told"))  # at most the strings of a chunk
+        marked = chunks.join(dealt, "chunk").join(told, "chunk").select(*_TEXT, "hot", "told").mapInArrow(_marked, "chunk long, ord long, lo long, hi long")
+        found = found.unionByName(marked)
     return chunks, found
 
 
-def drop_repeats(docs: DataFrame, part: int = PART, hot: int = HOT) -> DataFrame:
+def drop_repeats(docs: DataFrame, part: int = PART, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """What is left of every text when each byte of a ``SPAN``-byte string that also starts in a document of smaller id is removed.
 
     Returns one row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Strings are those of the input
-    and never cross documents. Null texts count as empty; texts shorter than ``SPAN`` bytes stay. A copy of a
+    and never cross documents. Null texts count as empty; texts shorter than ``SPAN`` bytes stay. Very long and periodic texts
+    take a few times their bytes in memory. A copy of a
     text under a greater id goes whole, and rows of the same id do not repeat each other. Rows without an id have no
     order: they stay whole and remove nothing. Ids must be integers or cast to such; others count as null. Other columns are neither read nor returned; an empty table gives an
     empty result.
     """
-    chunks, found = repeated_spans(docs, part, hot)
+    chunks, found = repeated_spans(docs, part, hot, fan)
     spans = found.groupBy("chunk").agg(F.collect_list(F.struct("ord", "lo", "hi")).alias("gone"))  # at most the anchors of a chunk
     cut = chunks.join(spans, "chunk", "left").select(*_TEXT, "gone").mapInArrow(_digest, "r_id long, r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string")
     body = docs.select("doc_id", as_bytes(F.col("text")).alias("body"))

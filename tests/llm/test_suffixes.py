@@ -65,9 +65,9 @@ def test_more_than_a_chunk_block_run_and_group(spark):
     assert got[0][2] == 0 and got[1][2] > 0.99 * 300 and got[2][2] > 0.9 * len(base)
 
 
-@pytest.mark.parametrize("part, hot", [(1 << 25, 1 << 16), (2_000, 1 << 16), (1 << 25, 3), (500, 10)])
-def test_ranges_and_hot_anchors(spark, part, hot):
-    """A passage in every third text, exact copies, repeats inside a text; few or many ranges; anchors of more than three documents dealt by their strings."""
+@pytest.mark.parametrize("part, hot, fan", [(1 << 25, 1 << 16, 256), (2_000, 1 << 16, 256), (1 << 25, 3, 256), (500, 10, 4), (500, 1 << 16, 3)])
+def test_ranges_and_hot_anchors(spark, part, hot, fan):
+    """A passage in every third text, exact copies, repeats inside a text; few or many ranges, dealt at once or step by step; anchors of more than a few occurrences dealt by their strings."""
     rng = np.random.default_rng(11)
     passage, rows = words(rng, 60), []
     for k in range(90):
@@ -80,7 +80,7 @@ def test_ranges_and_hot_anchors(spark, part, hot):
             t = rows[k // 2][1].decode()
         rows.append((int(1000 - k if k % 2 else k), t.encode()))
     rows += [(2000, b"short"), (2001, b"x" * 49), (2002, b"x" * 500), (2003, b"x" * 300), (2004, b"")]
-    check(spark, rows, part=part, hot=hot)
+    check(spark, rows, part=part, hot=hot, fan=fan)
 
 
 def test_anchor_is_the_leftmost_of_least_hash():
@@ -90,3 +90,21 @@ def test_anchor_is_the_leftmost_of_least_hash():
     assert place.tolist() == [s + int(np.argmin(h[s : s + suffixes.GRAMS])) for s in range(len(x) - S + 1)]
     assert len({g: 0 for g in h.tolist()}) == len({bytes(x[i : i + suffixes.GRAM]) for i in range(len(x) - suffixes.GRAM + 1)})
     assert re.fullmatch(b"[a-c]+", x.tobytes())
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 1 << 22])
+def test_long_periodic_texts(spark, monkeypatch, hot):
+    """Texts that repeat a short period half a million times, and one that has a piece of them."""
+    rng = np.random.default_rng(2)
+    rows = [(1, b"a" * 600_000), (2, b"start " + b"a" * 500_000 + b" end"), (3, b"abcdefg" * 70_000), (4, b"xyz" + b"defgabc" * 60_000), (5, b"b" * 70 + b"a" * 70 + b"c" * 60), (6, words(rng, 50).encode()), (7, b"a" * 600_000)]
+    got = check(spark, rows, hot=hot)
+    assert [r[2] for r in got] == [0, 500_000, 0, 420_000, 70, 0, 600_000]
+
+
+def test_runs_dealt_again_are_the_same_suffixes():
+    rng = np.random.default_rng(4)
+    data = np.frombuffer(words(rng, 3000).encode() * 2, np.uint8)
+    ends = np.array([len(data) // 2, len(data)])
+    a, lo, hi, h = next(suffixes.anchors(data, ends))
+    grams = np.lib.stride_tricks.sliding_window_view(data, suffixes.GRAM)[a]
+    assert (suffixes._gram_hash(grams) == h).all()
