@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import running_sum
 from ..functions.vectors import cell_inverse, cell_volume, column_norms, dot, elements, minimum_image, norm, row_times, to_fractional, vec
 from ..structures import POSITION, StructureSet
 
@@ -72,10 +73,12 @@ def bin_atoms(atoms: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def bin_counts(binned: DataFrame) -> DataFrame:
-    """Atoms of each occupied bin and the number of atoms in the system's bins before it."""
+    """Atoms of each occupied bin and the number of atoms in the system's bins before it; a bin beyond 2^20 along an axis is an error."""
     c = binned.groupBy("system_id", "bx", "by", "bz").agg(F.count("*").alias("n_atoms"))
-    w = W.partitionBy("system_id").orderBy("bx", "by", "bz").rowsBetween(W.unboundedPreceding, -1)
-    return c.withColumn("start", F.coalesce(F.sum("n_atoms").over(w), F.lit(0)))
+    far = F.greatest(*[F.abs(b) for b in ("bx", "by", "bz")]) >= MAX_BINS
+    place = reduce(lambda at, b: at * (2 * MAX_BINS) + F.col(b).cast("long") + MAX_BINS, ("bx", "by", "bz"), F.lit(0).cast("long"))
+    c = c.withColumn("_place", F.when(far, F.raise_error(F.lit("a bin is too far from the origin")).cast("long")).otherwise(place))
+    return running_sum(c, "_place", {"start": F.col("n_atoms")}, by=("system_id",)).drop("_place")
 
 
 def image_shifts(systems: DataFrame, cutoff: float) -> DataFrame:
@@ -225,8 +228,7 @@ def to_csr(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     """(system_id, atom_id, start, stop) of every atom in the system's pairs ordered by i, j and shift; empty for atoms without pairs."""
     n = pairs.groupBy("system_id", F.col("i").alias("atom_id")).agg(F.count("*").alias("n"))
     a = atoms.select("system_id", "atom_id").join(n, ["system_id", "atom_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    stop = F.sum("n").over(W.partitionBy("system_id").orderBy("atom_id").rowsBetween(W.unboundedPreceding, 0))
-    return a.withColumn("stop", stop).select("system_id", "atom_id", (F.col("stop") - F.col("n")).alias("start"), "stop")
+    return running_sum(a, "atom_id", {"stop": F.col("n")}, exclusive=False, by=("system_id",)).select("system_id", "atom_id", (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
 def estimate_max_neighbors(density: Column, cutoff: float) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.order import running_sum
+from ..functions.order import dense_index, running_sum
 from ..structures import StructureSet
 
 
@@ -31,18 +31,18 @@ def mix(children: Sequence[DataFrame | StructureSet], strict: bool = True) -> Da
     Strict: non-empty datasets must have the same columns. Otherwise those of the first one are kept.
     """
     frames = [c.systems if isinstance(c, StructureSet) else c for c in children]
-    if strict:
+    if strict and any(set(f.columns) != set(frames[0].columns) for f in frames):  # only then it matters which are empty
         filled = [f for f in frames if not f.isEmpty()]
         if any(set(f.columns) != set(filled[0].columns) for f in filled):
             raise ValueError("datasets differ in their columns")
         frames = [f if set(f.columns) == set(filled[0].columns) else filled[0].limit(0) for f in frames] if filled else frames
     names = frames[0].columns
-    rows = [running_sum(f, "system_id", {"local_index": F.lit(1).cast("long")}).withColumn("dataset_id", F.lit(k)) for k, f in enumerate(frames)]
-    rows = [r.select("dataset_id", "local_index", *[F.col(c) if c in r.columns else F.lit(None).alias(c) for c in names]) for r in rows]
-    out = reduce(lambda a, b: a.unionByName(b), rows)
-    n = out.groupBy("dataset_id").agg(F.count("*").alias("n"))
-    base = n.select("dataset_id", F.coalesce(F.sum("n").over(W.orderBy("dataset_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return out.join(F.broadcast(base), "dataset_id").withColumn("global_index", F.col("_base") + F.col("local_index")).drop("_base")
+    rows = [f.select(F.lit(k).alias("dataset_id"), *[F.col(c) if c in f.columns else F.lit(None).alias(c) for c in names]) for k, f in enumerate(frames)]
+    out = dense_index(reduce(lambda a, b: a.unionByName(b), rows), "system_id", "local_index", by=("dataset_id",))
+    base = out.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    base = base.select("dataset_id", F.coalesce(F.sum("n").over(W.orderBy("dataset_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each dataset
+    out = out.join(F.broadcast(base), "dataset_id").withColumn("global_index", F.col("_base") + F.col("local_index"))
+    return out.select("dataset_id", "local_index", *names, "global_index")
 
 
 def locate(mixed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,48 +188,102 @@ def oversized(sizes: DataFrame, max_atoms: int, max_edges: int) -> DataFrame:
     return sizes.filter((F.col("num_atoms") > max_atoms) | (F.col("num_edges") > max_edges))
 
 
-def _fits(used: list[int], row, budget: tuple[int, int, int]) -> bool:
-    return used[0] + row.num_atoms <= budget[0] and used[1] + row.num_edges <= budget[1] and used[2] + 1 <= budget[2]
+#: Limits of a batch: atoms, edges and systems; None for one that is open.
+Budget = tuple[int | None, int | None, int | None]
+
+
+def _limits(budget: Budget) -> tuple[float, float, float]:
+    if budget[0] is None and budget[1] is None:
+        raise ValueError("a limit on atoms or on edges is needed")
+    return tuple(float("inf") if b is None else b for b in budget)
+
+
+class Waiting:
+    """Sizes in order, of which the first that fits is taken: a tree of least atoms and least edges, so a search does not walk over those that do not fit."""
+
+    def __init__(self, ids: list[int], atoms: list[int], edges: list[int]) -> None:
+        self.ids, self.n = ids, 1 << max(0, (len(ids) - 1).bit_length())
+        none = float("inf")
+        self.atoms = [none] * self.n + atoms + [none] * (self.n - len(atoms))
+        self.edges = [none] * self.n + edges + [none] * (self.n - len(edges))
+        for k in range(self.n - 1, 0, -1):
+            self._renew(k)
+
+    def _renew(self, k: int) -> None:
+        self.atoms[k] = min(self.atoms[2 * k], self.atoms[2 * k + 1])
+        self.edges[k] = min(self.edges[2 * k], self.edges[2 * k + 1])
+
+    def __bool__(self) -> bool:
+        return self.atoms[1] != float("inf")
+
+    def take(self, atoms: float, edges: float) -> tuple[int, int, int] | None:
+        """(id, atoms, edges) of the first with at most so many atoms and edges, which is gone then."""
+        stack = [1]
+        while stack:
+            k = stack.pop()
+            if self.atoms[k] > atoms or self.edges[k] > edges:
+                continue
+            if k >= self.n:
+                found = self.ids[k - self.n], self.atoms[k], self.edges[k]
+                self.atoms[k] = self.edges[k] = float("inf")
+                while k > 1:
+                    k //= 2
+                    self._renew(k)
+                return found
+            stack += (2 * k + 1, 2 * k)
+        return None
+
+
+def pack_sizes(bins: dict[int, Waiting], limits: tuple[float, float, float]) -> list[tuple[int, int, int]]:
+    """(batch, id, ordinal) of the greedy choice that ``pack_initial`` describes."""
+    out, batch = [], 0
+    order = sorted(bins)
+    while any(bins[b] for b in order):
+        left, n, added = list(limits), 0, True
+        while added:
+            added = False
+            for b in order:
+                if left[2] < 1:
+                    break
+                found = bins[b].take(left[0], left[1])
+                if found:
+                    left = [left[0] - found[1], left[1] - found[2], left[2] - 1]
+                    out.append((batch, found[0], n))
+                    added, n = True, n + 1
+        if not n:
+            raise ValueError("a system exceeds the budget")
+        batch += 1
+        order = [b for b in order if bins[b]]
+    return out
 
 
-def pack_initial(sizes: DataFrame, budget: tuple[int, int, int], shard_col: str = "shard") -> DataFrame:
-    """(shard, batch, system_id, ordinal): batches within budgets of atoms, edges and systems.
+def pack_initial(sizes: DataFrame, budget: Budget, shard_col: str = "shard") -> DataFrame:
+    """(shard, batch, system_id, ordinal): batches within budgets of atoms, edges and systems; None leaves one open, but not both of atoms and edges.
 
     Round after round over the bins in ascending order, a batch takes the first system of each bin that still fits, and ends with a round that
     adds none; the next batch starts from what is left. Greedy choice is sequential, so shards are packed independently,
-    from their (id, size) rows alone; choose shards of bounded size. A system over the budget is an error.
+    from their (id, size) rows alone, in n log n; choose shards of bounded size. A system over the budget is an error.
     """
+    limits = _limits(budget)
+
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        waiting = {b: list(g.sort_values("system_id").itertuples(index=False)) for b, g in frame.groupby("bin")}
-        out, batch = [], 0
-        while any(waiting.values()):
-            used, added, n = [0, 0, 0], True, 0
-            while added:
-                added = False
-                for b in sorted(waiting):
-                    for k, row in enumerate(waiting[b]):
-                        if _fits(used, row, budget):
-                            used = [used[0] + row.num_atoms, used[1] + row.num_edges, used[2] + 1]
-                            out.append((key[0], batch, row.system_id, n))
-                            del waiting[b][k]
-                            added, n = True, n + 1
-                            break
-            if not n:
-                raise ValueError("a system exceeds the budget")
-            batch += 1
-        return pd.DataFrame(out, columns=["shard", "batch", "system_id", "ordinal"])
+        bins = {b: Waiting(*(g.sort_values("system_id")[c].tolist() for c in ("system_id", "num_atoms", "num_edges"))) for b, g in frame.groupby("bin")}
+        out = pd.DataFrame(pack_sizes(bins, limits), columns=["batch", "system_id", "ordinal"])
+        return out.assign(shard=key[0])[["shard", "batch", "system_id", "ordinal"]]
 
     return sizes.select(F.col(shard_col).cast("long").alias("shard"), "system_id", "num_atoms", "num_edges", "bin").groupBy("shard").applyInPandas(run, "shard long, batch long, system_id long, ordinal long")
 
 
-def refill(pool: DataFrame, used: DataFrame, budget: tuple[int, int, int], shard_col: str = "shard") -> DataFrame:
+def refill(pool: DataFrame, used: DataFrame, budget: Budget, shard_col: str = "shard") -> DataFrame:
     """(shard, system_id): systems of ``pool`` that go into what ``used`` (shard, num_atoms, num_edges, n) leaves of the budget, bins in descending order."""
+    limits = _limits(budget)
+
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        used_ = [int(frame["u_atoms"].iloc[0]), int(frame["u_edges"].iloc[0]), int(frame["u_n"].iloc[0])]
+        left = [limit - int(frame[c].iloc[0]) for limit, c in zip(limits, ("u_atoms", "u_edges", "u_n"))]
         out = []
         for row in frame.sort_values(["bin", "system_id"], ascending=[False, True]).itertuples(index=False):
-            if _fits(used_, row, budget):
-                used_ = [used_[0] + row.num_atoms, used_[1] + row.num_edges, used_[2] + 1]
+            if row.num_atoms <= left[0] and row.num_edges <= left[1] and left[2] >= 1:
+                left = [left[0] - row.num_atoms, left[1] - row.num_edges, left[2] - 1]
                 out.append((key[0], row.system_id))
         return pd.DataFrame(out, columns=["shard", "system_id"])
 

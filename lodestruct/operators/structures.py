@@ -102,18 +102,19 @@ def concat(a: StructureSet, b: StructureSet, fill: float | None = 0) -> Structur
 
 
 def concat_all(sets: Sequence[StructureSet], fill: float | None = 0) -> StructureSet:
-    sets = [rekey(s) for s in sets]
-    n = reduce(lambda x, y: x.unionByName(y), [s.systems.agg(F.count("*").alias("n")).withColumn("_set", F.lit(k)) for k, s in enumerate(sets)])
-    base = n.select("_set", F.coalesce(F.sum("n").over(W.orderBy("_set").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each set
-    out = {}
+    """All sets under one numbering, those of a set after those before it; each level is one union with the number of its set."""
+    tagged = {}
     for level in KEYS:
         parts = [getattr(s, level).withColumn("_set", F.lit(k)) for k, s in enumerate(sets) if getattr(s, level) is not None]
         if parts:
             common = set.intersection(*[set(p.columns) for p in parts])
             all_ = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-            moved = all_.join(F.broadcast(base), "_set").withColumn("system_id", F.col("system_id") + F.col("_base")).drop("_set", "_base")
-            out[level] = _fill(moved, [c for c in moved.columns if c not in common], fill)
-    return StructureSet(**out)
+            tagged[level] = _fill(all_, [c for c in all_.columns if c not in common], fill)
+    ids = dense_index(tagged["systems"].select("_set", "system_id"), "system_id", "_local", by=("_set",))
+    n = ids.groupBy("_set").agg(F.count("*").alias("n"))
+    base = n.select("_set", F.coalesce(F.sum("n").over(W.orderBy("_set").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each set
+    ids = ids.join(F.broadcast(base), "_set").select("_set", "system_id", (F.col("_base") + F.col("_local")).alias("_new"))
+    return StructureSet(**{level: df.join(ids, ["_set", "system_id"]).withColumn("system_id", F.col("_new")).select([c for c in df.columns if c != "_set"]) for level, df in tagged.items()})
 
 
 def add_key(ss: StructureSet, key: str, df: DataFrame, level: str, overwrite: bool = False) -> StructureSet:
