@@ -47,6 +47,53 @@ class Metric:
         return self.rows(pred, label).agg(ratio(F.sum("_v"), F.sum("_w")).alias("value"), F.sum("_w").alias("weight"))
 
 
+@dataclass(frozen=True)
+class Loss:
+    """A standard loss as rows that add up: energy, force or stress; kind "square", "absolute" (of forces: the length), "huber".
+
+    ``sizes`` makes energies per atom, weighted by atoms; ``balanced`` forces are means of systems, each counted once; ``mask``
+    names a column of the force labels; ``ignore_nonfinite`` leaves labels out that are null, NaN or infinite.
+    """
+
+    component: str
+    kind: str = "square"
+    delta: float = 0.01
+    sizes: DataFrame | None = None
+    balanced: bool = True
+    mask: str | None = None
+    ignore_nonfinite: bool = False
+
+    def _of(self, residual: Column) -> Column:
+        return {"square": lambda: residual * residual, "absolute": lambda: F.abs(residual), "huber": lambda: huber(residual, self.delta)}[self.kind]()
+
+    def rows(self, pred: DataFrame, label: DataFrame) -> DataFrame:
+        """(system_id, _v, _w): the loss is the sum of _v over the sum of _w."""
+        if self.component not in ("energy", "force", "stress") or self.kind not in ("square", "absolute", "huber"):
+            raise ValueError(f"no such loss: {self.component}, {self.kind}")
+        if self.component == "force":
+            return self._forces(pred, label)
+        j = joined(pred, label, ["system_id"], [self.component])
+        p, t = F.col(f"p_{self.component}"), F.col(f"t_{self.component}")
+        if self.component == "stress":
+            j = j.filter(F.forall(t, finite)) if self.ignore_nonfinite else j
+            return j.select("system_id", (F.aggregate(F.zip_with(p, t, lambda a, b: self._of(a - b)), F.lit(0.0), lambda a, b: a + b) / 9).alias("_v"), F.lit(1.0).alias("_w"))
+        j, n = (j.filter(finite(t)) if self.ignore_nonfinite else j), F.lit(1.0)
+        if self.sizes is not None:
+            j, n = j.join(self.sizes.select("system_id", "num_atoms"), "system_id").filter("num_atoms > 0"), F.col("num_atoms").cast("double")
+        return j.select("system_id", (n * self._of((p - t) / n)).alias("_v"), n.alias("_w"))
+
+    def _forces(self, pred: DataFrame, label: DataFrame) -> DataFrame:
+        j = joined(pred, label, ["system_id", "atom_id"], FORCE)
+        if self.mask is not None:
+            j = j.join(label.select("system_id", "atom_id", F.col(self.mask).alias("_mask")), ["system_id", "atom_id"]).filter("_mask")
+        if self.ignore_nonfinite:
+            j = j.filter(reduce(lambda a, b: a & b, [finite(F.col(f"t_{c}")) for c in FORCE]))
+        d = [F.col(f"p_{c}") - F.col(f"t_{c}") for c in FORCE]
+        v = F.sqrt(dot(d, d)) if self.kind == "absolute" else reduce(lambda a, b: a + b, [self._of(x) for x in d])
+        g = j.groupBy("system_id").agg(F.sum(v).alias("_v"), (F.count("*") * (1.0 if self.kind == "absolute" else 3.0)).alias("_w"))
+        return g.select("system_id", (F.col("_v") / F.col("_w")).alias("_v"), F.lit(1.0).alias("_w")) if self.balanced else g
+
+
 def joined(pred: DataFrame, label: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     p = pred.select(*keys, *[F.col(c).alias(f"p_{c}") for c in columns])
     return p.join(label.select(*keys, *[F.col(c).alias(f"t_{c}") for c in columns]), list(keys))
@@ -167,6 +214,34 @@ def evaluate(pred: dict[str, DataFrame] | DataFrame, label: dict[str, DataFrame]
     return b.agg(F.avg(by_batch).alias("total"), *[F.avg(n).alias(n) for n in parts], (F.sum("_sum") / F.sum("n")).alias("per_sample"), F.count("*").alias("n_batches"), F.sum("n").alias("n_samples"))
 
 
+def evaluate_losses(pred: dict[str, DataFrame], label: dict[str, DataFrame], losses: dict[str, tuple[str, Metric | Loss, float]], batches: DataFrame) -> DataFrame:
+    """Validation summary by any losses: one row with the mean over batches of each one and of their weighted sum, ``total``.
+
+    ``losses`` gives to each name the table it is of (a key of ``pred`` and ``label``), a ``Loss`` or a ``Metric`` of one's own
+    with system_id among its keys, and its weight; a table can have several. Each loss of a batch is the sum of its rows
+    over the sum of their weights, so all of them come from one aggregate over (system_id, batch_id), whatever the losses.
+    A batch without rows of a loss leaves its mean and adds nothing to the total. ``<name>_all`` is the same over all rows
+    at once. Systems without a batch are counted in ``n_unbatched`` and are in ``<name>_all`` only; n_samples counts systems
+    that have any row.
+    """
+    missing = [c for c, _, _ in losses.values() if c not in pred or c not in label]
+    if missing or not losses:
+        raise KeyError(", ".join(missing) or "no losses")
+    parts = [m.rows(pred[c], label[c]).groupBy("system_id").agg(F.sum("_v").alias("_v"), F.sum("_w").alias("_w")).withColumn("_name", F.lit(n)) for n, (c, m, _) in losses.items()]
+    rows = reduce(lambda x, y: x.unionByName(y), parts).join(batches.select("system_id", "batch_id"), "system_id", "left")
+    of = lambda c, n: F.sum(F.when(F.col("_name") == n, F.col(c)))
+    s = rows.groupBy("system_id", "batch_id").agg(*[of(c, n).alias(f"{c}{k}") for k, n in enumerate(losses) for c in ("_v", "_w")])
+    sums = [F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(len(losses)) for c in ("_v", "_w")]
+    b = s.groupBy("batch_id").agg(*sums, F.count("*").alias("_n"))
+    here = F.col("batch_id").isNotNull()
+    value = [F.when(here, F.try_divide(f"_v{k}", f"_w{k}")) for k in range(len(losses))]
+    total = reduce(lambda x, y: x + y, [F.coalesce(v, F.lit(0.0)) * float(w) for v, (_, _, w) in zip(value, losses.values())])
+    return b.agg(
+        F.avg(F.when(here, total)).alias("total"), *[F.avg(v).alias(n) for v, n in zip(value, losses)], *[F.try_divide(F.sum(f"_v{k}"), F.sum(f"_w{k}")).alias(f"{n}_all") for k, n in enumerate(losses)],
+        F.count("batch_id").alias("n_batches"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_samples"), F.coalesce(F.sum(F.when(~here, F.col("_n"))), F.lit(0)).alias("n_unbatched"),
+    )
+
+
 def check_pairing(pred: DataFrame, label: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(problem, detail): missing columns, differing types, keys without a partner; none if the tables match."""
     spark, rows = pred.sparkSession, []

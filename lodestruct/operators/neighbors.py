@@ -18,8 +18,8 @@ from ..functions.order import running_sum
 from ..functions.vectors import cell_inverse, cell_volume, column_norms, dot, elements, minimum_image, norm, row_times, to_fractional, vec
 from ..structures import POSITION, StructureSet
 
-#: Number of atoms of a system beyond which bins pay.
-GRID_FROM = 64
+#: Systems of up to so many atoms are not worth an estimate; what a row that is repeated for a bin costs, in distances.
+SMALL, REPEAT = 16, 4.0
 #: Bins of a system at most, whatever its volume.
 MAX_BINS = 1 << 20
 GEOMETRY = ("dx", "dy", "dz", "r")
@@ -144,11 +144,28 @@ def _grid(ss: StructureSet, cutoff: float | str, half: bool, left: DataFrame, ca
     return _finish(p.withColumns({f"s{a}": F.col(f"m{a}") - F.col(f"jw{a}") for a in "xyz"}), cutoff, half, carry)
 
 
+def search_costs(ss: StructureSet, cutoff: float | str, sizes: DataFrame | None = None) -> DataFrame:
+    """(system_id, naive, grid): distances that either search is expected to compute for a system, from its number of atoms, cell, cutoff and periodic axes.
+
+    The naive join looks at each two atoms and at the images that the cutoff reaches. Bins repeat each atom for the bins
+    within reach, which costs REPEAT distances each, and compare it with what lies there. Systems without atoms have no row.
+    """
+    n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size")) if sizes is None else sizes
+    s = grid_spec(ss.systems, cutoff).join(n, "system_id")
+    wide = [2 * w * _length(cutoff) for w in column_norms(elements(F.col("inv")))]
+    images = reduce(lambda x, y: x * y, [F.when(F.col("pbc")[k], w).otherwise(F.least(w, F.lit(1.0))) for k, w in enumerate(wide)])
+    around = reduce(lambda x, y: x * y, [2.0 * F.col("reach")[k] + 1 for k in range(3)])
+    # along an open axis no more bins are looked into than there are
+    inside = reduce(lambda x, y: x * y, [F.when(F.col("pbc")[k], (2.0 * F.col("reach")[k] + 1) / F.col("n")[k]).otherwise(F.least((2.0 * F.col("reach")[k] + 1) / F.col("n")[k], F.lit(1.0))) for k in range(3)])
+    size = F.col("_size").cast("double")
+    return s.select("system_id", (size * size * (1 + images)).alias("naive"), (REPEAT * size * around + size * size * inside).alias("grid"))
+
+
 def neighbor_pairs(ss: StructureSet, cutoff: float | str, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs within ``cutoff``: (system_id, i, j, sx, sy, sz) and, with geometry, dx, dy, dz, r.
 
-    method "naive" joins all atoms of a system, "grid" bins them; by default each system's own size decides, so a large
-    one among many small ones is binned and the small ones are not.
+    method "naive" joins all atoms of a system, "grid" bins them; by default ``search_costs`` decides for each
+    system, so a large one among many small ones is binned and the small ones are not.
     ``targets`` (system_id, atom_id) restricts i. ``strict`` raises where an active pair has distance 0. ``half``
     keeps one direction: i < j, or a positive shift for an atom and its own image. Columns of atoms named in ``carry``
     come along as i_<name> and j_<name>, which spares a join for them later. A cutoff that is a string names a column of
@@ -167,11 +184,14 @@ def neighbor_pairs(ss: StructureSet, cutoff: float | str, pbc: bool = True, half
     if method is None:
         # a narrow count tells whether there are systems of either kind; only then are both joins planned
         n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
-        least, most = n.agg(F.min("_size"), F.max("_size")).first()
-        of = {"naive": ss.atoms} if (most or 0) <= GRID_FROM else {"grid": ss.atoms}
-        if (least or 0) <= GRID_FROM < (most or 0):
-            # a join, not a window: the counts are summed before they are dealt, and a large system's atoms can be split
-            of = {m: ss.atoms.join(n.filter(some), "system_id", "left_semi") for m, some in (("naive", F.col("_size") <= GRID_FROM), ("grid", F.col("_size") > GRID_FROM))}
+        of = {"naive": ss.atoms}
+        if (n.agg(F.max("_size")).first()[0] or 0) > SMALL:
+            costs = search_costs(ss, cutoff, n)
+            binned = costs.select("system_id", (F.col("grid") < F.col("naive")).alias("_bins"))
+            some, every = binned.agg(F.bool_or("_bins"), F.bool_and("_bins")).first()
+            if some:
+                # a join, not a window: the counts are summed before they are dealt, and a large system's atoms can be split
+                of = {"grid": ss.atoms} if every else {m: ss.atoms.join(binned.filter(c).select("system_id"), "system_id", "left_semi") for m, c in (("naive", ~F.col("_bins")), ("grid", F.col("_bins")))}
 
     def aimed(side: DataFrame) -> DataFrame:
         return side if targets is None else side.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")

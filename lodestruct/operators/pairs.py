@@ -246,13 +246,25 @@ def slab_correction(ss: StructureSet, charge: str = "q") -> DataFrame:
 # ---- mesh
 
 
+#: Grid points along an axis of a block of a mesh; atoms are dealt by system and block.
+BLOCK = 32
+
+
+def _block(point: Column, dim: int) -> Column:
+    return F.floor(F.pmod(point, F.lit(dim)) / BLOCK).cast("int")
+
+
 def mesh_points(ss: StructureSet, dims: Sequence[int], order: int, columns: Sequence[str] = ()) -> DataFrame:
     """Atoms times the order^3 grid points they reach: gx, gy, gz, weight, and the weight's slope along each fractional axis (sa, sb, sc)."""
     s = ss.systems.select("system_id", cell_inverse(F.col("cell")).alias("inv"))
-    # dealt by system before each atom becomes order^3 rows: what is summed per system and point then needs no other exchange
-    a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns).repartition("system_id").join(s, "system_id")
+    a = ss.atoms.select("system_id", "atom_id", *POSITION, *columns)
     f = to_fractional(vec(POSITION), elements(F.col("inv")))
-    a = a.withColumns({f"u{k}": f[k] * dims[k] for k in range(3)})
+    # dealt before each atom becomes order^3 rows: what is summed per system (and block) and point then needs no other exchange
+    if max(dims) <= BLOCK:
+        a = a.repartition("system_id").join(s, "system_id").withColumns({f"u{k}": f[k] * dims[k] for k in range(3)} | {"block": F.lit(0)})
+    else:
+        a = a.join(s, "system_id").withColumns({f"u{k}": f[k] * dims[k] for k in range(3)})
+        a = a.withColumn("block", F.struct(*[_block(F.floor(f"u{k}"), dims[k]) for k in range(3)])).repartition("system_id", "block")
     for k in range(3):
         a = a.withColumn(f"o{k}", F.explode(F.array(*[F.lit(o) for o in range(order)])))
     # one step after the other: each value is named before it is used more than once, so no expression is repeated
@@ -263,15 +275,27 @@ def mesh_points(ss: StructureSet, dims: Sequence[int], order: int, columns: Sequ
     w, s_ = ([F.col(f"{c}{k}") for k in range(3)] for c in "ws")
     point = [F.pmod(F.floor(F.col(f"u{k}")) - F.col(f"o{k}"), F.lit(dims[k])).cast("int").alias(f"g{n}") for k, n in enumerate("xyz")]
     return a.select(
-        "system_id", "atom_id", *columns, "inv", *point,
+        "system_id", "atom_id", "block", *columns, "inv", *point,
         (w[0] * w[1] * w[2]).alias("weight"), (s_[0] * w[1] * w[2]).alias("sa"), (w[0] * s_[1] * w[2]).alias("sb"), (w[0] * w[1] * s_[2]).alias("sc"),
     )
 
 
 def spread(ss: StructureSet, dims: Sequence[int], order: int = 4, channels: Sequence[str] = ("q",)) -> DataFrame:
-    """Values of atoms on a periodic grid: (system_id, gx, gy, gz, one column per channel), points that get nothing left out."""
-    m = mesh_points(ss, dims, order, channels).groupBy("system_id", "gx", "gy", "gz").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in channels], F.max("weight").alias("_w"))
-    return m.filter("_w > 0").drop("_w")
+    """Values of atoms on a periodic grid: (system_id, gx, gy, gz, one column per channel), points that get nothing left out.
+
+    A mesh of more than BLOCK points along an axis is cut into blocks, and each is summed where its atoms are, so one large
+    system spreads over all tasks; only points within order - 1 of the next block get parts from both, which are added up.
+    """
+    keys, add = ["system_id", "gx", "gy", "gz"], lambda of: [*[F.sum(of(c)).alias(c) for c in channels], F.max("weight").alias("weight")]
+    m = mesh_points(ss, dims, order, channels)
+    if max(dims) <= BLOCK:
+        m = m.groupBy(*keys).agg(*add(lambda c: F.col("weight") * F.col(c)))
+    else:
+        m = m.groupBy(*keys, "block").agg(*add(lambda c: F.col("weight") * F.col(c)))
+        shared = reduce(lambda x, y: x | y, [_block(F.col(g), d) != _block(F.col(g) + order - 1, d) for g, d in zip(keys[1:], dims)])
+        border = m.filter(shared).groupBy(*keys).agg(*add(F.col))
+        m = m.filter(~shared).select(border.columns).unionByName(border)
+    return m.filter("weight > 0").drop("weight")
 
 
 def gather(mesh: DataFrame, ss: StructureSet, dims: Sequence[int], order: int = 4, channels: Sequence[str] = ("q",), gradient: bool = False) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.special import weight_at
 from ..operators import metrics as M
 from ..operators import monitors as H
+from ..operators import sampling as G
 from ..operators import structures as O
-from ..sources import views
+from ..sources import sinks, views
 from ..streaming import monitors as S
 from .common import BASE, folder, r, rounded
 from .registry import query
@@ -132,6 +133,25 @@ def evaluate_all(spark, d):
     return rounded(rounded(out, "total", "energy", "force", "per_sample", digits=4), "stress", digits=9)
 
 
+@query(f"""{BASE}, {_E}, {_R}, es AS (SELECT system_id, abs(pred - energy) AS mae, n::DOUBLE AS n, abs(pred - energy) / (1 + abs(energy)) AS own FROM e JOIN n USING (system_id)),
+fs AS (SELECT system_id, sum(dx * dx + dy * dy + dz * dz) / (3 * count(*)) AS mse, sum(sqrt(dx * dx + dy * dy + dz * dz)) AS l2, count(*)::DOUBLE AS c FROM res GROUP BY ALL),
+s AS (SELECT CASE WHEN e.system_id % 10 <> 3 THEN e.system_id // 64 END AS batch_id, mae, n, own, pred, energy, mse, l2, c FROM e LEFT JOIN es USING (system_id) LEFT JOIN fs USING (system_id)),
+o AS (SELECT *, abs(pred - energy) / (1 + abs(energy)) AS rel FROM s),
+b AS (SELECT batch_id, sum(mae) AS a, sum(n) AS an, sum(mse) AS f, count(mse) AS fn, sum(l2) AS l, sum(c) AS ln, sum(rel) AS o, count(*) AS k FROM o GROUP BY ALL)
+SELECT round(avg(CASE WHEN batch_id IS NOT NULL THEN 2 * coalesce(a / an, 0) + 10 * coalesce(f / fn, 0) + 0.5e0 * coalesce(l / ln, 0) + 4 * o / k END), 4) AS total, round(avg(CASE WHEN batch_id IS NOT NULL THEN a / an END), 4) AS energy,
+  round(avg(CASE WHEN batch_id IS NOT NULL THEN f / fn END), 6) AS force, round(avg(CASE WHEN batch_id IS NOT NULL THEN l / ln END), 6) AS length, round(avg(CASE WHEN batch_id IS NOT NULL THEN o / k END), 6) AS own,
+  round(sum(a) / sum(an), 4) AS energy_all, round(sum(f) / sum(fn), 6) AS force_all, round(sum(l) / sum(ln), 6) AS length_all, round(sum(o) / sum(k), 6) AS own_all,
+  count(batch_id) AS n_batches, sum(k)::BIGINT AS n_samples, coalesce(sum(CASE WHEN batch_id IS NULL THEN k END), 0)::BIGINT AS n_unbatched FROM b""")
+def evaluate_losses(spark, d):
+    """Absolute error per atom, two losses of forces and a metric of one's own; a tenth of the systems has no batch."""
+    (pe, le), (pf, lf) = _energies(spark, d), _forces(spark, d)
+    own = M.Metric(["system_id"], ["energy"], lambda p, t: F.abs(p["energy"] - t["energy"]) / (1 + F.abs(t["energy"])))
+    losses = {"energy": ("energy", M.Loss("energy", "absolute", sizes=_sizes(spark, d)), 2.0), "force": ("force", M.Loss("force"), 10.0), "length": ("force", M.Loss("force", "absolute", balanced=False), 0.5), "own": ("energy", own, 4.0)}
+    batches = le.filter("system_id % 10 <> 3").select("system_id", F.expr("system_id div 64").alias("batch_id"))
+    out = M.evaluate_losses({"energy": pe, "force": pf}, {"energy": le, "force": lf}, losses, batches)
+    return rounded(rounded(out, "total", "energy", "energy_all", digits=4), "force", "length", "own", "force_all", "length_all", "own_all")
+
+
 @query("SELECT 'prediction without label' AS problem, o_orderkey::VARCHAR AS detail FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'label without prediction', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 UNION ALL SELECT 'types of energy differ', 'double float'")
 def check_pairing(spark, d):
     pred, label = _energies(spark, d)
@@ -285,3 +305,28 @@ def stream_first_converged(spark, d):
 @query(f"{_STAGE} SELECT system_id, transition, round(s, 6) AS seconds FROM g WHERE transition IS NOT NULL")
 def stream_stage_timing(spark, d):
     return rounded(_streamed(spark, d, S.stage_timing_stream), "seconds")
+
+
+@query(f"""{BASE}, run AS (SELECT system_id, system_id % 8 AS shard, system_id % 2 AS part, max(energy) AS top FROM trajectory GROUP BY ALL),
+done AS (SELECT system_id, part FROM run WHERE top <= 5),
+room AS (SELECT part, shard, 40 - count(*) AS room FROM run WHERE top > 5 GROUP BY ALL),
+pool AS (SELECT o_orderkey AS system_id, o_orderkey % 8 AS shard FROM orders),
+both_rooms AS (SELECT shard, part, coalesce(room, 40) AS room FROM (SELECT shard, unnest([1, 0]) AS part FROM (SELECT DISTINCT shard FROM pool)) LEFT JOIN room USING (shard, part)),
+first_ AS (SELECT shard, system_id FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY system_id) AS k FROM pool WHERE system_id NOT IN (SELECT system_id FROM run WHERE part = 1)) JOIN both_rooms USING (shard) WHERE part = 1 AND k <= room),
+second_ AS (SELECT shard, system_id FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY system_id) AS k FROM pool WHERE system_id NOT IN (SELECT system_id FROM run WHERE part = 0) AND system_id NOT IN (SELECT system_id FROM first_)) JOIN both_rooms USING (shard) WHERE part = 0 AND k <= room)
+SELECT 'graduated' AS what, part + 0 AS batch, NULL::BIGINT AS shard, system_id FROM (SELECT system_id, 1 - part AS part FROM done) UNION ALL SELECT 'admitted', 0, shard, system_id FROM first_ UNION ALL SELECT 'admitted', 1, shard, system_id FROM second_""")
+def stream_inflight(spark, d):
+    """The replacement flow over two micro-batches, odd systems and then even ones: what has converged leaves, and what waits fills a shard up to 40 systems."""
+    source, marks = folder(spark, "flow"), folder(spark, "marks")
+    t = views.trajectory(spark, d).groupBy("system_id").agg(F.max("energy").alias("fmax")).withColumn("shard", F.col("system_id") % 8)
+    for odd in (1, 0):
+        t.filter(F.col("system_id") % 2 == odd).select(F.col("system_id").cast("long"), F.col("shard").cast("long"), "fmax").coalesce(1).write.mode("append").parquet(source)
+    waiting = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("system_id"))
+    sizes = waiting.unionByName(t.select(F.col("system_id").cast("long"))).distinct().select("system_id", F.lit(1).cast("long").alias("num_atoms"), F.lit(0).cast("long").alias("num_edges"))
+    pool = G.size_bins(sizes.join(waiting, "system_id", "left_semi").withColumn("shard", F.col("system_id") % 8), 10)
+    graduated, admitted = sinks.Sink(spark, folder(spark, "graduated")), sinks.Sink(spark, folder(spark, "admitted"))
+    stream = spark.readStream.schema("system_id long, shard long, fmax double").option("maxFilesPerTrigger", 1).parquet(source)
+    q = S.inflight(stream, pool, graduated, admitted, {"fmax": (F.col("fmax"), "max", 5.0)}, (None, 1, 40), sizes)
+    q.option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    gone = graduated.read().select(F.lit("graduated").alias("what"), "batch", F.lit(None).cast("long").alias("shard"), "system_id")
+    return gone.unionByName(admitted.read().select(F.lit("admitted").alias("what"), "batch", "shard", "system_id"))

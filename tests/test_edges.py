@@ -211,7 +211,7 @@ def test_each_system_by_its_own_size(spark):
 
     rnd = random.Random(4)
     cells = {1: [9, 0, 0, 1, 8, 0, 0, 0, 7], **{k: CUBE for k in range(2, 12)}}
-    places = {1: [tuple(rnd.uniform(-2, 10) for _ in range(3)) for _ in range(N.GRID_FROM + 40)], **{k: [tuple(rnd.uniform(0, 4) for _ in range(3)) for _ in range(k % 4)] for k in range(2, 12)}}
+    places = {1: [tuple(rnd.uniform(-2, 10) for _ in range(3)) for _ in range(104)], **{k: [tuple(rnd.uniform(0, 4) for _ in range(3)) for _ in range(k % 4)] for k in range(2, 12)}}
     ss = make(spark, cells, [(k, i, *p) for k, ps in places.items() for i, p in enumerate(ps)])
     ss = ss.with_(atoms=ss.atoms.withColumn("q", F.col("atom_id") * 0.5))
     got = {}
