@@ -6,9 +6,11 @@ A full list holds both directions of a pair, so each of its rows counts half; a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from ..structures import POSITION, StructureSet
 
 D = ("dx", "dy", "dz")
 SQRT_PI = math.sqrt(math.pi)
+#: Atoms of a system up to which its reciprocal energy is computed in one row.
+FEW = 512
 
 
 def with_atoms(pairs: DataFrame, atoms: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -178,6 +182,59 @@ def _parameters(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | No
     return ss.with_(systems=ss.systems.select("system_id", "cell", F.lit(float(alpha)).alias("alpha"), F.lit(k_cutoff).cast("double").alias("k_cutoff")))
 
 
+def _miller(tops: tuple[int, int, int]) -> np.ndarray:
+    """Half of the vectors of a box of Miller indices, as ``k_vectors`` has them."""
+    h, k, l = np.meshgrid(np.arange(tops[0] + 1), np.arange(-tops[1], tops[1] + 1), np.arange(-tops[2], tops[2] + 1), indexing="ij")
+    half = (h > 0) | (h == 0) & ((k > 0) | (k == 0) & (l > 0))
+    return np.stack([x[half] for x in (h, k, l)]).astype(np.float64)
+
+
+def _small_energies(bounds: Sequence[int] | None):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes: dict[tuple, np.ndarray] = {}
+        for batch in it:
+            found = []
+            ids, cells, alphas, cuts, atoms = batch.columns
+            ends, flat = atoms.offsets.to_numpy(), atoms.values.to_numpy(zero_copy_only=False).reshape(-1, 4)
+            flat = np.nan_to_num(flat)  # a null charge is none
+            for n, (system, cell, alpha, cut) in enumerate(zip(ids.to_pylist(), cells.to_pylist(), alphas.to_pylist(), cuts.to_pylist())):
+                if cell is None or alpha is None or (cut is None and bounds is None):
+                    continue
+                m = np.array(cell, np.float64).reshape(3, 3)
+                volume = abs(np.linalg.det(m))
+                tops = tuple(bounds) if bounds else tuple(int(cut * np.sqrt(v @ v) / (2 * math.pi)) for v in m)
+                if volume == 0 or not any(tops):
+                    continue
+                if tops not in boxes:
+                    boxes = {tops: _miller(tops)} if len(boxes) > 64 else boxes | {tops: _miller(tops)}
+                k = 2 * math.pi * np.linalg.inv(m) @ boxes[tops]
+                own = flat[ends[n] // 4 : ends[n + 1] // 4]
+                phase = own[:, :3] @ k
+                re, im, k2 = own[:, 3] @ np.cos(phase), own[:, 3] @ np.sin(phase), (k * k).sum(axis=0)
+                found.append((system, float((4 * math.pi / volume * np.exp(-k2 / (4 * alpha * alpha)) / k2 * (re * re + im * im)).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], ids.type), pa.array([f[1] for f in found], pa.float64())], names=["system_id", "energy"])
+
+    return run
+
+
+def _recip_energy(ss: StructureSet, bounds: Sequence[int] | None, charge: str) -> DataFrame:
+    """Reciprocal energies by way of every structure factor."""
+    vectors = k_vectors(ss.systems, bounds=bounds) if bounds else k_vectors(ss.systems, "k_cutoff")
+    s = structure_factor(ss.atoms, vectors, charge).join(ss.systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id")
+    k2 = dot(vec(("kx", "ky", "kz")), vec(("kx", "ky", "kz")))
+    e = 4 * math.pi / F.col("v") * F.exp(-k2 / (4 * F.col("alpha") * F.col("alpha"))) / k2 * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
+
+
+def _small_recip(ss: StructureSet, bounds: Sequence[int] | None, charge: str) -> DataFrame:
+    """Reciprocal energies of systems of few atoms, whole in a row each: no row for each vector is made."""
+    four = [F.col(c).cast("double") for c in (*POSITION, charge)]
+    a = ss.atoms.groupBy("system_id").agg(F.flatten(F.collect_list(F.array(*four))).alias("atoms"))
+    s = ss.systems.select("system_id", F.col("cell").cast("array<double>").alias("cell"), "alpha", "k_cutoff").join(a, "system_id")
+    kind = s.schema["system_id"].dataType.simpleString()
+    return s.mapInArrow(_small_energies(bounds), f"system_id {kind}, energy double")
+
+
 def ewald_recip(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, out: str = "energy", charge: str = "q") -> DataFrame:
     """Reciprocal sum: (system_id, energy), "forces" (system_id, atom_id, fx, fy, fz) or "virial" (system_id, virial of nine).
 
@@ -187,13 +244,18 @@ def ewald_recip(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | No
     if not isinstance(alpha, DataFrame) and (k_cutoff is None) == (bounds is None):
         raise ValueError("give either k_cutoff or bounds")
     k, ss = vec(("kx", "ky", "kz")), _parameters(ss, alpha, k_cutoff)
+    if out == "energy":
+        # a narrow count tells whether there are systems of many atoms, whose vectors are spread over tasks
+        n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
+        if (n.agg(F.max("_size")).first()[0] or 0) <= FEW:
+            return _small_recip(ss, bounds, charge)
+        few, many = (ss.with_(atoms=ss.atoms.join(n.filter(c).select("system_id"), "system_id", "left_semi")) for c in (F.col("_size") <= FEW, F.col("_size") > FEW))
+        return _small_recip(few, bounds, charge).unionByName(_recip_energy(many, bounds, charge))
     vectors = k_vectors(ss.systems, bounds=bounds) if bounds else k_vectors(ss.systems, "k_cutoff")
     s = structure_factor(ss.atoms, vectors, charge).join(ss.systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id")
     k2, spread_ = dot(k, k), 1 / (4 * F.col("alpha") * F.col("alpha"))
     green = 4 * math.pi / F.col("v") * F.exp(-k2 * spread_) / k2  # half space: each vector stands for two
     e = green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    if out == "energy":
-        return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
     if out == "virial":
         stretch = 2 * (1 / k2 + spread_)
         parts = [F.sum(e * ((1.0 if a == b else 0.0) - stretch * k[a] * k[b])).alias(f"w{3 * a + b}") for a in range(3) for b in range(3)]

@@ -49,6 +49,23 @@ def test_parameters_of_each_system(crystal):
     assert all(abs(got[s] - half[s]) < 1e-9 for s in want)
 
 
+def test_large_systems_by_structure_factors(crystal, monkeypatch):
+    own = E.ewald_parameters(crystal, 1e-8)
+    want = energies(E.ewald_recip(crystal, own))
+    for few in (0, 4):  # all, or all but the small ones
+        monkeypatch.setattr(E, "FEW", few)
+        assert energies(E.ewald_recip(crystal, own)) == pytest.approx(want)
+        assert energies(E.ewald_recip(crystal, 0.5, bounds=(2, 3, 1))) == pytest.approx(_bounded(crystal, monkeypatch))
+
+
+def _bounded(crystal, monkeypatch):
+    before = E.FEW
+    monkeypatch.setattr(E, "FEW", 512)
+    found = energies(E.ewald_recip(crystal, 0.5, bounds=(2, 3, 1)))
+    monkeypatch.setattr(E, "FEW", before)
+    return found
+
+
 def test_forces_and_virial_by_system(crystal):
     own = E.ewald_parameters(crystal, 1e-8)
     moved, h = [], 1e-4
