@@ -383,10 +383,17 @@ def _bonded(radii: Column, k1: float) -> Column:
     return 1 / (1 + F.exp(-k1 * (radii / F.col("r") - 1)))
 
 
+def _by_element(pairs: DataFrame, atoms: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairs with parameters of both elements as i_<name> and j_<name>; where z came along with the pairs, no atom is looked up."""
+    p = with_atoms(pairs, atoms, ["z"])
+    for end in ("i", "j"):
+        p = p.join(F.broadcast(table.select(F.col("z").alias(f"{end}_z"), *[F.col(c).alias(f"{end}_{c}") for c in columns])), f"{end}_z")
+    return p
+
+
 def coordination(pairs: DataFrame, atoms: DataFrame, rcov: DataFrame, k1: float = 16.0) -> DataFrame:
     """(system_id, atom_id, cn) of all atoms over a full list; ``rcov`` (z, rcov) has a row per element and is broadcast."""
-    table = F.broadcast(rcov.select("z", "rcov"))
-    p = with_atoms(pairs.filter("r > 0"), atoms.select("system_id", "atom_id", "z").join(table, "z"), ["rcov"])
+    p = _by_element(pairs.filter("r > 0"), atoms, rcov, ["rcov"])
     cn = p.groupBy("system_id", F.col("i").alias("atom_id")).agg(F.sum(_bonded(F.col("i_rcov") + F.col("j_rcov"), k1)).alias("cn"))
     return atoms.select("system_id", "atom_id").join(cn, ["system_id", "atom_id"], "left").na.fill(0.0, ["cn"])
 
@@ -395,27 +402,39 @@ def dispersion_d3(pairs: DataFrame, atoms: DataFrame, elements_: DataFrame, grid
     """(system_id, energy): -1/2 sum S (s6 C6 / (r^6 + f^6) + s8 C8 / (r^8 + f^8)), f = a1 sqrt(C8/C6) + a2, over a full list.
 
     ``elements_`` (z, rcov, r4r2) and ``grid`` (zi, zj, cni, cnj, c6) are parameter tables over elements, 25 grid rows a
-    pair at most, and are broadcast. C6 is the mean over the grid weighted by exp(-k3 ((cn_i - cni)^2 + (cn_j - cnj)^2)).
+    pair at most, and are broadcast. C6 is the mean over the grid weighted by exp(-k3 ((cn_i - cni)^2 + (cn_j - cnj)^2)),
+    a product of a weight of each atom: those, one for each reference of its element, and their slopes are computed once an
+    atom and travel with the pairs, where C6 is a bilinear form of them without an exponent.
     out "forces" and "virial" follow the energy's slope over the distance and over both coordination numbers, which depend
-    on distances in turn; "atom_energy" halves each pair.
+    on distances in turn; "atom_energy" halves each pair. Search pairs with z in ``carry``: elements are then known without a join.
     """
     cn = coordination(pairs, atoms, elements_, k1)
-    own = atoms.select("system_id", "atom_id", "z").join(cn, ["system_id", "atom_id"]).join(F.broadcast(elements_.select("z", "rcov", "r4r2")), "z")
-    points = grid.groupBy("zi", "zj").agg(F.collect_list(F.struct("cni", "cnj", "c6")).alias("points"))
-    p = with_atoms(pairs.filter("r > 0"), own, ["z", "cn", "rcov", "r4r2"]).join(F.broadcast(points), (F.col("i_z") == F.col("zi")) & (F.col("j_z") == F.col("zj")))
+    ends = grid.select(F.col("zi").alias("z"), F.col("cni").alias("cn")).unionByName(grid.select(F.col("zj").alias("z"), F.col("cnj").alias("cn")))
+    refs = ends.groupBy("z").agg(F.array_sort(F.collect_set("cn")).alias("refs"))
+    place = lambda refs, cn: (F.array_position(refs, F.col(cn)) - 1).cast("int")
+    points = grid.join(F.broadcast(refs.select(F.col("z").alias("zi"), F.col("refs").alias("ri"))), "zi").join(F.broadcast(refs.select(F.col("z").alias("zj"), F.col("refs").alias("rj"))), "zj")
+    points = points.groupBy("zi", "zj").agg(F.collect_list(F.struct(place(F.col("ri"), "cni").alias("a"), place(F.col("rj"), "cnj").alias("b"), "c6")).alias("points"))
+    off = lambda ref: F.col("cn") - ref
+    own = atoms.select("system_id", "atom_id", "z").join(cn, ["system_id", "atom_id"]).join(F.broadcast(refs), "z")
+    own = own.withColumn("w", F.transform("refs", lambda x: F.exp(-k3 * off(x) * off(x))))
+    own = own.withColumn("dw", F.zip_with("refs", "w", lambda x, w: -2 * k3 * off(x) * w))
+    p = _by_element(pairs.filter("r > 0"), atoms, elements_, ["rcov", "r4r2"])
+    p = with_atoms(p, own, ["w"] if out in ("energy", "atom_energy") else ["w", "dw"])
+    p = p.join(F.broadcast(points), (F.col("i_z") == F.col("zi")) & (F.col("j_z") == F.col("zj")))
     start = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "c", "dw", "dc")])
+    if "i_dw" not in p.columns:
+        p = p.withColumn("i_dw", F.col("i_w"))  # slopes are not asked for
 
     def add(acc: Column, g: Column) -> Column:
-        off = F.col("i_cn") - g["cni"]
-        w = F.exp(-k3 * (off**2 + (F.col("j_cn") - g["cnj"]) ** 2))
-        dw = -2 * k3 * off * w
+        w, dw = F.col("i_w")[g["a"]] * F.col("j_w")[g["b"]], F.col("i_dw")[g["a"]] * F.col("j_w")[g["b"]]
         return F.struct((acc["w"] + w).alias("w"), (acc["c"] + w * g["c6"]).alias("c"), (acc["dw"] + dw).alias("dw"), (acc["dc"] + dw * g["c6"]).alias("dc"))
 
     def mean(a: Column) -> Column:
         c6 = F.coalesce(F.try_divide(a["c"], a["w"]), F.lit(0.0))
         return F.struct(c6.alias("c6"), F.coalesce(F.try_divide(a["dc"] - c6 * a["dw"], a["w"]), F.lit(0.0)).alias("slope"))
 
-    p = p.withColumn("at", F.aggregate("points", start, add, mean)).drop("points").withColumns({"c6": F.col("at.c6"), "c6_slope": F.col("at.slope")})
+    p = p.withColumn("at", F.aggregate("points", start, add, mean)).withColumns({"c6": F.col("at.c6"), "c6_slope": F.col("at.slope")})
+    p = p.drop("points", "at", "zi", "zj", "i_w", "j_w", "i_dw", "j_dw")
     r = F.col("r")
     ratio = 3 * F.col("i_r4r2") * F.col("j_r4r2")
     f = a1 * F.sqrt(ratio) + a2
