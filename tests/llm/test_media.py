@@ -91,3 +91,31 @@ def test_pages_table(spark, sf):
         assert " ".join(x["text"] or "" for x in got[r["page_id"]] if x["kind"] == "text").split() == words
     found = media.page_sequences(spark, sf)
     assert found.count() == pages.count() and found.filter("n_items > 0").count() > 0
+
+
+def test_page_sequences_by_reading_them_again(spark, sf):
+    """Items, references and the digest of all of them against a plain walk over every page with the standard parser."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.refs = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag in media.MEDIA and a.get("src"):
+                self.refs.append(a["src"])
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    items = {r["id"]: r["items"] for r in media.sequences(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    found = {r["page_id"]: r for r in media.page_sequences(spark, sf).collect()}
+    assert set(found) == set(pages)
+    for k, text in pages.items():
+        walk = Walk()
+        walk.feed(re.sub(r"(?s)<(script|style|template|noscript)\b.*?</\1>", " ", text))
+        own = [i for i in items[k] if i["kind"] == "media"]
+        assert [i["ref"] for i in own] == walk.refs and found[k]["n_media"] == len(walk.refs), k
+        assert found[k]["n_items"] == len(items[k])
+        whole = "\x1e".join("\x1f".join(x for x in (i["kind"], i["text"], i["ref"], i["caption"]) if x is not None) for i in items[k])
+        assert found[k]["items_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
