@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import as_bytes, materialise, table
@@ -155,8 +156,8 @@ def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(pairs):
                 h = (pairs >> np.uint64(PLACE)).astype(np.int64)
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                cols = [h[first], np.full(len(first), number), np.diff(np.r_[first, len(h)]), np.add.reduceat(times, first)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "chunk", "docs", "times"])
+                cols = [h[first], np.full(len(first), number), np.diff(np.r_[first, len(h)]), np.minimum(np.add.reduceat(times, first), 1 << 30)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "chunk", "docs", "times"])
 
 
 # ---- sorted runs
@@ -498,10 +499,10 @@ def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT, fan: int =
     # the filter is what the inner join below adds by itself: with it, all joins with texts share one exchange
     chunks = made.select(*_TEXT).filter("chunk is not null")
 
-    # a hash has one row a chunk at most; its sums are added up before they are dealt, and the join can split a hash in very many chunks
-    hashes = materialise(chunks.mapInArrow(_hashes, "h long, chunk long, docs long, times long"), "anchors")
-    sums = hashes.groupBy("h").agg(F.sum("docs").alias("n"), F.sum("times").alias("times")).filter("n > 1").select("h", (F.col("times") > hot).alias("is_hot"))
-    lists = hashes.select("h", "chunk").join(sums, "h").groupBy("chunk").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("h"))).alias("wanted"), F.collect_list(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
+    # a hash has one row a chunk at most, so one for every CHUNK bytes of text; to count first and join then took twice the disk
+    w = W.partitionBy("h")
+    hashes = chunks.mapInArrow(_hashes, "h long, chunk long, docs int, times int").withColumns({"n": F.sum("docs").over(w), "times": F.sum("times").over(w)}).filter("n > 1")
+    lists = hashes.groupBy("chunk").agg(F.collect_list(F.when(F.col("times") <= hot, F.col("h"))).alias("wanted"), F.collect_list(F.when(F.col("times") > hot, F.col("h"))).alias("hot"))
     lists = materialise(lists, "shared_anchors")  # at most the anchors of a chunk
     wide = 1
     while wide * fan < parts:
