@@ -42,7 +42,7 @@ KEY = SPAN + LEFT + 2
 #: Bytes of text in a chunk, window starts handled at once, suffixes in a run, suffixes compared at once.
 CHUNK, BLOCK, RUN, GROUPS = 1 << 22, 1 << 16, 1 << 18, 1 << 15
 #: Bytes of text whose suffixes make a range on average; occurrences from which on an anchor is dealt by its strings; ranges dealt to at a time.
-PART, HOT, FAN = 1 << 23, 1 << 16, 256
+PART, HOT, FAN = 1 << 23, 1 << 18, 256
 #: Bits of a place in a block and of a document in a chunk; what is left of 64 is the hash.
 PLACE = 17
 #: How hard texts are compressed while they travel.
@@ -514,7 +514,7 @@ def repeated_spans(docs: DataFrame, part: int = PART, hot: int = HOT, fan: int =
     found = runs.groupBy("part").applyInArrow(_intervals, "chunk long, ord long, lo long, hi long")
     dealt = lists.select("chunk", "hot").filter("size(hot) > 0")
     if not dealt.isEmpty():
-        strings = materialise(chunks.join(dealt, "chunk").select(*_TEXT, "hot").mapInArrow(_strings, "s binary, doc_id long, chunk long"), "strings")
+        strings = chunks.join(dealt, "chunk").select(*_TEXT, "hot").mapInArrow(_strings, "s binary, doc_id long, chunk long")  # hashed twice; the texts' exchange is that of the runs
         least = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("s", "least")
         told = strings.join(least, "s").filter("doc_id > least").select("chunk", "s", "least").distinct().groupBy("chunk").agg(F.collect_list(F.struct("s", "least")).alias("told"))  # at most the strings of a chunk
         marked = chunks.join(dealt, "chunk").join(told, "chunk").select(*_TEXT, "hot", "told").mapInArrow(_marked, "chunk long, ord long, lo long, hi long")
