@@ -189,14 +189,17 @@ def _miller(tops: tuple[int, int, int]) -> np.ndarray:
     return np.stack([x[half] for x in (h, k, l)]).astype(np.float64)
 
 
-def _small_energies(bounds: Sequence[int] | None):
+_SMALL = {"energy": "energy double", "virial": "virial array<double>", "forces": "atom_id long, fx double, fy double, fz double"}
+
+
+def _small_sums(bounds: Sequence[int] | None, out: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes: dict[tuple, np.ndarray] = {}
         for batch in it:
-            found = []
-            ids, cells, alphas, cuts, atoms = batch.columns
-            ends, flat = atoms.offsets.to_numpy(), atoms.values.to_numpy(zero_copy_only=False).reshape(-1, 4)
-            flat = np.nan_to_num(flat)  # a null charge is none
+            found: list[tuple] = []
+            ids, cells, alphas, cuts, names, atoms = batch.columns
+            ends, named = names.offsets.to_numpy(), names.values.to_numpy(zero_copy_only=False)
+            flat = np.nan_to_num(atoms.values.to_numpy(zero_copy_only=False).reshape(-1, 4))  # a null charge is none
             for n, (system, cell, alpha, cut) in enumerate(zip(ids.to_pylist(), cells.to_pylist(), alphas.to_pylist(), cuts.to_pylist())):
                 if cell is None or alpha is None or (cut is None and bounds is None):
                     continue
@@ -208,31 +211,55 @@ def _small_energies(bounds: Sequence[int] | None):
                 if tops not in boxes:
                     boxes = {tops: _miller(tops)} if len(boxes) > 64 else boxes | {tops: _miller(tops)}
                 k = 2 * math.pi * np.linalg.inv(m) @ boxes[tops]
-                own = flat[ends[n] // 4 : ends[n + 1] // 4]
+                own = flat[ends[n] - ends[0] : ends[n + 1] - ends[0]]
                 phase = own[:, :3] @ k
-                re, im, k2 = own[:, 3] @ np.cos(phase), own[:, 3] @ np.sin(phase), (k * k).sum(axis=0)
-                found.append((system, float((4 * math.pi / volume * np.exp(-k2 / (4 * alpha * alpha)) / k2 * (re * re + im * im)).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], ids.type), pa.array([f[1] for f in found], pa.float64())], names=["system_id", "energy"])
+                cos, sin, k2, width = np.cos(phase), np.sin(phase), (k * k).sum(axis=0), 1 / (4 * alpha * alpha)
+                re, im, green = own[:, 3] @ cos, own[:, 3] @ sin, 4 * math.pi / volume * np.exp(-k2 * width) / k2
+                e = green * (re * re + im * im)
+                if out == "energy":
+                    found.append((system, float(e.sum())))
+                elif out == "virial":
+                    found.append((system, (np.eye(3) * e.sum() - (k * (e * 2 * (1 / k2 + width))) @ k.T).ravel().tolist()))
+                else:
+                    f = (own[:, 3:] * (2 * green * re * sin - 2 * green * im * cos)) @ k.T
+                    found += [(system, int(i), *x) for i, x in zip(named[ends[n] - ends[0] : ends[n + 1] - ends[0]], f.tolist())]
+            fields = [c.split() for c in _SMALL[out].split(", ")]
+            kinds = [{"double": pa.float64(), "long": pa.int64()}.get(t, pa.list_(pa.float64())) for _, t in fields]
+            cols = list(zip(*found)) or [()] * (len(fields) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (ids.type, *kinds))], names=["system_id", *[n for n, _ in fields]])
 
     return run
 
 
-def _recip_energy(ss: StructureSet, bounds: Sequence[int] | None, charge: str) -> DataFrame:
-    """Reciprocal energies by way of every structure factor."""
+def _large_recip(ss: StructureSet, bounds: Sequence[int] | None, charge: str, out: str) -> DataFrame:
+    """Reciprocal sums by way of every structure factor."""
+    k = vec(("kx", "ky", "kz"))
     vectors = k_vectors(ss.systems, bounds=bounds) if bounds else k_vectors(ss.systems, "k_cutoff")
     s = structure_factor(ss.atoms, vectors, charge).join(ss.systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id")
-    k2 = dot(vec(("kx", "ky", "kz")), vec(("kx", "ky", "kz")))
-    e = 4 * math.pi / F.col("v") * F.exp(-k2 / (4 * F.col("alpha") * F.col("alpha"))) / k2 * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
+    k2, width = dot(k, k), 1 / (4 * F.col("alpha") * F.col("alpha"))
+    green = 4 * math.pi / F.col("v") * F.exp(-k2 * width) / k2  # half space: each vector stands for two
+    e = green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    if out == "energy":
+        return s.groupBy("system_id").agg(F.sum(e).alias("energy"))
+    if out == "virial":
+        stretch = 2 * (1 / k2 + width)
+        parts = [F.sum(e * ((1.0 if a == b else 0.0) - stretch * k[a] * k[b])).alias(f"w{3 * a + b}") for a in range(3) for b in range(3)]
+        return s.groupBy("system_id").agg(*parts).select("system_id", F.array(*[f"w{n}" for n in range(9)]).alias("virial"))
+    factors = s.select("system_id", "kx", "ky", "kz", (2 * green * F.col("re")).alias("a"), (2 * green * F.col("im")).alias("b")).hint("merge")  # never broadcast
+    j = ss.atoms.select("system_id", F.col("atom_id").cast("long").alias("atom_id"), *POSITION, charge).join(factors, "system_id")
+    j = j.withColumn("phase", F.col("kx") * F.col("x") + F.col("ky") * F.col("y") + F.col("kz") * F.col("z_pos"))
+    j = j.withColumn("g", F.col(charge) * (F.col("a") * F.sin("phase") - F.col("b") * F.cos("phase")))
+    return j.groupBy("system_id", "atom_id").agg(*[F.sum(F.col("g") * x).alias(c) for x, c in zip(k, ("fx", "fy", "fz"))])
 
 
-def _small_recip(ss: StructureSet, bounds: Sequence[int] | None, charge: str) -> DataFrame:
-    """Reciprocal energies of systems of few atoms, whole in a row each: no row for each vector is made."""
+def _small_recip(ss: StructureSet, bounds: Sequence[int] | None, charge: str, out: str) -> DataFrame:
+    """Reciprocal sums of systems of few atoms, whole in a row each: no row for each vector is made."""
     four = [F.col(c).cast("double") for c in (*POSITION, charge)]
-    a = ss.atoms.groupBy("system_id").agg(F.flatten(F.collect_list(F.array(*four))).alias("atoms"))
+    a = ss.atoms.groupBy("system_id").agg(F.collect_list(F.struct(F.col("atom_id").cast("long").alias("i"), F.array(*four).alias("v"))).alias("atoms"))
+    a = a.select("system_id", F.transform("atoms", lambda x: x["i"]).alias("names"), F.flatten(F.transform("atoms", lambda x: x["v"])).alias("atoms"))
     s = ss.systems.select("system_id", F.col("cell").cast("array<double>").alias("cell"), "alpha", "k_cutoff").join(a, "system_id")
     kind = s.schema["system_id"].dataType.simpleString()
-    return s.mapInArrow(_small_energies(bounds), f"system_id {kind}, energy double")
+    return s.mapInArrow(_small_sums(bounds, out), f"system_id {kind}, {_SMALL[out]}")
 
 
 def ewald_recip(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | None = None, bounds: Sequence[int] | None = None, out: str = "energy", charge: str = "q") -> DataFrame:
@@ -243,29 +270,15 @@ def ewald_recip(ss: StructureSet, alpha: float | DataFrame, k_cutoff: float | No
     """
     if not isinstance(alpha, DataFrame) and (k_cutoff is None) == (bounds is None):
         raise ValueError("give either k_cutoff or bounds")
-    k, ss = vec(("kx", "ky", "kz")), _parameters(ss, alpha, k_cutoff)
-    if out == "energy":
-        # a narrow count tells whether there are systems of many atoms, whose vectors are spread over tasks
-        n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
-        if (n.agg(F.max("_size")).first()[0] or 0) <= FEW:
-            return _small_recip(ss, bounds, charge)
-        few, many = (ss.with_(atoms=ss.atoms.join(n.filter(c).select("system_id"), "system_id", "left_semi")) for c in (F.col("_size") <= FEW, F.col("_size") > FEW))
-        return _small_recip(few, bounds, charge).unionByName(_recip_energy(many, bounds, charge))
-    vectors = k_vectors(ss.systems, bounds=bounds) if bounds else k_vectors(ss.systems, "k_cutoff")
-    s = structure_factor(ss.atoms, vectors, charge).join(ss.systems.select("system_id", "alpha", cell_volume(F.col("cell")).alias("v")), "system_id")
-    k2, spread_ = dot(k, k), 1 / (4 * F.col("alpha") * F.col("alpha"))
-    green = 4 * math.pi / F.col("v") * F.exp(-k2 * spread_) / k2  # half space: each vector stands for two
-    e = green * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    if out == "virial":
-        stretch = 2 * (1 / k2 + spread_)
-        parts = [F.sum(e * ((1.0 if a == b else 0.0) - stretch * k[a] * k[b])).alias(f"w{3 * a + b}") for a in range(3) for b in range(3)]
-        return s.groupBy("system_id").agg(*parts).select("system_id", F.array(*[f"w{n}" for n in range(9)]).alias("virial"))
-    if out != "forces":
+    if out not in _SMALL:
         raise ValueError("out must be energy, forces or virial")
-    j = ss.atoms.select("system_id", "atom_id", *POSITION, charge).join(s.select("system_id", "kx", "ky", "kz", (2 * green * F.col("re")).alias("a"), (2 * green * F.col("im")).alias("b")), "system_id")
-    j = j.withColumn("phase", F.col("kx") * F.col("x") + F.col("ky") * F.col("y") + F.col("kz") * F.col("z_pos"))
-    j = j.withColumn("g", F.col(charge) * (F.col("a") * F.sin("phase") - F.col("b") * F.cos("phase")))
-    return j.groupBy("system_id", "atom_id").agg(*[F.sum(F.col("g") * x).alias(c) for x, c in zip(k, ("fx", "fy", "fz"))])
+    ss = _parameters(ss, alpha, k_cutoff)
+    # a narrow count tells whether there are systems of many atoms, whose vectors are spread over tasks
+    n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
+    if (n.agg(F.max("_size")).first()[0] or 0) <= FEW:
+        return _small_recip(ss, bounds, charge, out)
+    few, many = (ss.with_(atoms=ss.atoms.join(n.filter(c).select("system_id"), "system_id", "left_semi")) for c in (F.col("_size") <= FEW, F.col("_size") > FEW))
+    return _small_recip(few, bounds, charge, out).unionByName(_large_recip(many, bounds, charge, out))
 
 
 def ewald_self(ss: StructureSet, alpha: float | DataFrame, charge: str = "q") -> DataFrame:

@@ -52,6 +52,12 @@ def test_parameters_of_each_system(crystal):
 def test_large_systems_by_structure_factors(crystal, monkeypatch):
     own = E.ewald_parameters(crystal, 1e-8)
     want = energies(E.ewald_recip(crystal, own))
+    rows = lambda out: {tuple(r[: 2 if out == "forces" else 1]): r[2:] if out == "forces" else tuple(r[1]) for r in E.ewald_recip(crystal, own, out=out).collect()}
+    others = {out: rows(out) for out in ("forces", "virial")}
+    monkeypatch.setattr(E, "FEW", 4)
+    for out, have in others.items():
+        again = rows(out)
+        assert set(again) == set(have) and all(again[k] == pytest.approx(have[k], abs=1e-9) for k in have)
     for few in (0, 4):  # all, or all but the small ones
         monkeypatch.setattr(E, "FEW", few)
         assert energies(E.ewald_recip(crystal, own)) == pytest.approx(want)
