@@ -169,7 +169,8 @@ def k_vectors(systems: DataFrame, k_cutoff: float | str | None = None, bounds: S
 def structure_factor(atoms: DataFrame, kvecs: DataFrame, charge: str = "q") -> DataFrame:
     """(system_id, h, k, l, kx, ky, kz, re, im): sum of q exp(i k r); atoms meet their system's vectors only."""
     phase = F.col("kx") * F.col("x") + F.col("ky") * F.col("y") + F.col("kz") * F.col("z_pos")
-    j = atoms.select("system_id", *POSITION, charge).join(kvecs, "system_id")
+    # their number is not known before they are made, so the vectors must not be taken for a small table
+    j = atoms.select("system_id", *POSITION, charge).join(kvecs.hint("merge"), "system_id")
     return j.groupBy("system_id", "h", "k", "l", "kx", "ky", "kz").agg(F.sum(F.col(charge) * F.cos(phase)).alias("re"), F.sum(F.col(charge) * F.sin(phase)).alias("im"))
 
 
