@@ -149,7 +149,7 @@ def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, _, _, h in anchors(data, ends):
                 fresh.append(h << np.uint64(PLACE) | np.searchsorted(ends, a, "right").astype(np.uint64))
                 size += len(a)
-                if size >= RUN:
+                if size >= max(RUN, len(pairs)):  # so each is counted a few times only, however long the text
                     pairs, times = count()
                     fresh, size = [], 0
             pairs, times = count()
@@ -354,16 +354,29 @@ def _again(parts: int, wide: int):
     return run
 
 
-def _digests(data: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Start, document and 128-bit hash of the strings at the anchors in ``hot``, a few at a time and in order."""
-    raw = data.tobytes()
+def _digests(data: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Start, document and number of the strings at the anchors in ``hot``, a block at a time and in order, and the 128-bit hash of each number.
+
+    A block's equal strings have one number and are hashed once, so a period costs no more than its length.
+    """
     for _, lo, hi, h in anchors(data, ends):
         known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
         lo, n = lo[known], (hi - lo)[known] + 1
-        for at in range(0, len(lo), GROUPS // GRAMS):
-            m = n[at : at + GROUPS // GRAMS]
-            s = np.repeat(lo[at : at + GROUPS // GRAMS] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            yield s, np.searchsorted(ends, s, "right"), [xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in s.tolist()]
+        if not len(lo):
+            continue
+        s = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # at most BLOCK, as each string has one anchor
+        rows = np.zeros((len(s), -(-SPAN // 8) * 8), np.uint8)
+        rows[:, :SPAN] = np.lib.stride_tricks.sliding_window_view(data, SPAN)[s]
+        whole = rows.view(np.uint64)
+        mixed = np.zeros(len(s), np.uint64)
+        for k in range(whole.shape[1]):
+            mixed = (mixed ^ whole[:, k]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
+        if (whole != whole[first[number]]).any():  # different strings met by chance: compare the strings themselves
+            _, first, number = np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        raw = rows[first, :SPAN].tobytes()
+        yield s, np.searchsorted(ends, s, "right"), number, [xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in range(0, len(raw), SPAN)]
 
 
 def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +385,9 @@ def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             number, ids, _, ends, data = _open(batch, i)
             sent: set[tuple] = set()
-            for _, doc, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
-                new = [x for x in dict.fromkeys(zip(digest, ids[doc].tolist())) if x not in sent]
+            for _, doc, of, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
+                which, who = np.divmod(np.unique(of * len(ids) + doc), len(ids))
+                new = [x for x in dict.fromkeys(zip([digest[k] for k in which.tolist()], ids[who].tolist())) if x not in sent]
                 sent.update(new)
                 if len(sent) > RUN:
                     sent.clear()
@@ -389,8 +403,8 @@ def _marked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = batch.column(6)[i].values
             least = dict(zip(known.field("s").to_pylist(), known.field("least").to_pylist()))
             starts, top = np.r_[0, ends], np.iinfo(np.int64).max
-            for s, doc, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
-                gone = ids[doc] > np.array([least.get(d, top) for d in digest], np.int64)
+            for s, doc, of, digest in _digests(data, ends, np.sort(_numbers(batch.column(5), i).view(np.uint64))):
+                gone = ids[doc] > np.array([least.get(d, top) for d in digest], np.int64)[of]
                 s, doc = s[gone], doc[gone]
                 if len(s):
                     first = np.flatnonzero(np.r_[True, (np.diff(s) > 1) | (np.diff(doc) > 0)])
