@@ -541,7 +541,7 @@ def drop_repeats(docs: DataFrame, part: int = PART, hot: int = HOT, fan: int = F
 
     Returns one row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Strings are those of the input
     and never cross documents. Null texts count as empty; texts shorter than ``SPAN`` bytes stay. Very long and periodic texts
-    take a few times their bytes in memory. A copy of a
+    take a few times their bytes in memory, and each block of one hashes its different strings only. A copy of a
     text under a greater id goes whole, and rows of the same id do not repeat each other. Rows without an id have no
     order: they stay whole and remove nothing. Ids must be integers or cast to such; others count as null. Other columns are neither read nor returned; an empty table gives an
     empty result.

@@ -108,3 +108,33 @@ def test_runs_dealt_again_are_the_same_suffixes():
     a, lo, hi, h = next(suffixes.anchors(data, ends))
     grams = np.lib.stride_tricks.sliding_window_view(data, suffixes.GRAM)[a]
     assert (suffixes._gram_hash(grams) == h).all()
+
+
+def strings_of(data, ends, hot):
+    return [(int(s), int(d), digest[k]) for at, doc, of, digest in suffixes._digests(data, ends, hot) for s, d, k in zip(at, doc, of)]
+
+
+@pytest.mark.parametrize("mix", [int(suffixes._MIX), 0])
+def test_equal_strings_are_hashed_once(monkeypatch, mix):
+    """A period costs its length in each block, and strings that meet under one mixed number are still told apart."""
+    rng = np.random.default_rng(6)
+    texts = [b"abc" * 60_000, words(rng, 2_000).encode(), b"a" * 60]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    every = np.unique(np.concatenate([h for _, _, _, h in suffixes.anchors(data, ends)]))
+    if not mix:
+        # only the mixing of whole strings goes wrong, not the anchors' hashes
+        known = list(suffixes.anchors(data, ends))
+        monkeypatch.setattr(suffixes, "anchors", lambda *_: iter(known))
+        monkeypatch.setattr(suffixes, "_MIX", np.uint64(0))
+    got = strings_of(data, ends, every)
+    raw, starts = data.tobytes(), np.r_[0, ends[:-1]]
+    want = [(s, d) for d, (a, e) in enumerate(zip(starts.tolist(), ends.tolist())) for s in range(a, e - S + 1)]
+    assert [g[:2] for g in got] == want
+    assert all(h == suffixes.xxhash.xxh3_128_digest(raw[s : s + S]) for s, _, h in got)
+    hashed = [len(digest) for _, _, _, digest in suffixes._digests(data[: ends[0]], ends[:1], every)] if mix else []
+    assert all(n == 3 for n in hashed)
+
+
+def test_no_hot_anchor_gives_no_string():
+    data, ends = np.frombuffer(b"a" * 400, np.uint8), np.array([200, 400])
+    assert strings_of(data, ends, np.array([1], np.uint64)) == []
