@@ -85,6 +85,11 @@ def neighbor_csr(spark, d):
     return N.to_csr(N.neighbor_pairs(ss, 3.7), ss.atoms)
 
 
+@query(f"{BASE}, {pairs_sql(3.7)} SELECT system_id, i, j, sx, sy, sz FROM pairs ORDER BY ALL")
+def order_pairs(spark, d):
+    return N.order_pairs(_pairs(spark, d, 3.7).select(*N.PAIR))
+
+
 @query(f"{BASE}, {pairs_sql(3.7)} SELECT system_id, i, j, sx, sy, sz, row_number() OVER (PARTITION BY system_id, i ORDER BY j, sx, sy, sz) - 1 AS rank FROM pairs")
 def neighbor_rank(spark, d):
     return N.neighbor_rank(_pairs(spark, d, 3.7)).select(*N.PAIR, "rank")

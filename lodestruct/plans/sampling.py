@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling as G
 from ..operators import structures as O
+from ..operators import transforms as T
 from ..sources import views
-from .common import BASE
+from ..structures import FORCE, POSITION
+from .common import BASE, A, B, C, rounded
 from .registry import query
 
 NAMES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -80,6 +82,31 @@ def plain_batches(spark, d):
     return G.batches(G.shuffle(views.systems(spark, d).select("system_id"), 1, 2), 64, drop_last=True)
 
 
+@query(f"""{BASE}, n AS (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS n FROM atoms) SELECT system_id, atom_id,
+  round(x + 60 - {A} * floor((x + 60) / {A}), 6) AS x, round(y - 20 - {B} * floor((y - 20) / {B}), 6) AS y, round(z_pos - {C} * floor(z_pos / {C}), 6) AS z_pos,
+  round(CASE WHEN n > 30 THEN fx * 30 / n ELSE fx END, 6) AS fx, round(CASE WHEN n > 30 THEN fy * 30 / n ELSE fy END, 6) AS fy, round(CASE WHEN n > 30 THEN fz * 30 / n ELSE fz END, 6) AS fz FROM n""")
+def transform_samples(spark, d):
+    """Atoms moved away, wrapped into their cells, and their forces clamped, as one chain."""
+    away = T.sample_step(lambda ss: ss.with_(atoms=ss.atoms.withColumns({"x": F.col("x") + 60, "y": F.col("y") - 20})))
+    chain = T.Transforms([away, O.wrap_positions, lambda ss: ss.with_(atoms=O.clamp_norm(ss.atoms, FORCE, 30.0))])
+    return rounded(chain(views.structures(spark, d)).atoms.select("system_id", "atom_id", *POSITION, *FORCE), *POSITION, *FORCE)
+
+
+@query(f"""{BASE}, {_SH}, b AS (SELECT system_id, position // 64 AS batch_id FROM s),
+m AS (SELECT batch_id, avg(energy) AS mean FROM systems JOIN b USING (system_id) GROUP BY ALL),
+g AS (SELECT batch_id, sqrt(avg(fx * fx + fy * fy + fz * fz)) AS rms FROM atoms JOIN b USING (system_id) GROUP BY ALL),
+f AS (SELECT system_id, max(sqrt(fx * fx + fy * fy + fz * fz)) AS top FROM atoms GROUP BY ALL)
+SELECT system_id, batch_id, round(energy - mean, 8) AS energy, round(top / rms, 6) AS top FROM systems JOIN b USING (system_id) JOIN m USING (batch_id) LEFT JOIN g USING (batch_id) LEFT JOIN f USING (system_id)""")
+def transform_batches(spark, d):
+    """Energies less their batch's mean and forces over their batch's root mean square; of each system the longest force that results."""
+    ss = views.structures(spark, d)
+    batched = T.with_batches(ss, G.batches(G.shuffle(ss.systems.select("system_id"), 1, 2), 64))
+    out = batched.transform(T.less_batch_mean("energy"), T.over_batch_rms(*FORCE))
+    top = out.atoms.groupBy("system_id").agg(F.max(F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy") + F.col("fz") * F.col("fz"))).alias("top"))
+    found = out.systems.select("system_id", "batch_id", "energy").join(top, "system_id", "left")
+    return rounded(rounded(found, "energy", digits=8), "top")  # cents over 64 have eight decimals: fewer would round at ties
+
+
 @query(f"{BASE} SELECT s.system_id, count(atom_id) AS num_atoms, count(atom_id) // 4 AS bin FROM systems s LEFT JOIN atoms USING (system_id) GROUP BY ALL")
 def size_bins(spark, d):
     return G.size_bins(O.sizes(views.structures(spark, d)), 100, width=4).select("system_id", "num_atoms", "bin")

@@ -41,11 +41,10 @@ class StructureSet:
         return self.map(lambda df: df.unpersist())
 
     def transform(self, *steps: Callable[[StructureSet], StructureSet]) -> StructureSet:
-        """Steps applied from left to right."""
-        out = self
-        for step in steps:
-            out = step(out)
-        return out
+        """Steps applied from left to right; ``operators.transforms`` tells which steps go together."""
+        from .operators.transforms import Transforms
+
+        return Transforms(steps)(self)
 
 
 def level_of(ss: StructureSet, column: str) -> str | None:
