@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_models import naive_quality
+from test_near_copies import roots, shingle_set
 
 import corpus_pipeline
 from lodestruct.llm import _train, mixing, packing, quality
@@ -48,30 +49,59 @@ def write_labels(spark, folder, known):
     return str(folder)
 
 
-def test_quality_keeps_what_the_model_accepts(spark, docs, tmp_path):
-    bad = [(200 + k, "zz zz zz " * int(RNG.integers(5, 40)), "en", "s1", 1, 9, "l", "b") for k in range(60)]
-    every = docs.unionByName(spark.createDataFrame(bad, SCHEMA))
-    folder = write_labels(spark, tmp_path, [(k, 1, 0) for k in range(60)] + [(200 + k, 0, 0) for k in range(60)] + [(None, 0, 1)])
+BAD = [(200 + k, "zz zz zz " * int(RNG.integers(5, 40)), "en", "s1", 1) for k in range(60)]
+
+
+def with_bad(spark, docs, folder):
+    """The documents with some of poor quality, and the folder with labels of both."""
+    every = docs.unionByName(spark.createDataFrame([(*r, 9, "l", "b") for r in BAD], SCHEMA))
+    return every, write_labels(spark, folder, [(k, 1, 0) for k in range(60)] + [(200 + k, 0, 0) for k in range(60)] + [(None, 0, 1)])
+
+
+def plain_quality(spark, every, folder):
     texts, y = _train.labelled_sample(every, spark.read.parquet(f"{folder}/labels.parquet"), "quality")
     model = quality.fit([t.encode() for t in texts], y)
-    score = {t: naive_quality(model, (t or "").encode()) for t in {r[1] for r in ROWS + bad}}
-    want = [r[:5] for r in ROWS + bad if score[r[1]] >= quality.ACCEPT]
+    score = {t: naive_quality(model, (t or "").encode()) for t in {r[1] for r in ROWS + BAD}}
+    return [r for r in ROWS + BAD if score[r[1]] >= quality.ACCEPT]
+
+
+def test_quality_keeps_what_the_model_accepts(spark, docs, tmp_path):
+    every, folder = with_bad(spark, docs, tmp_path)
+    want = plain_quality(spark, every, folder)
     assert kept(corpus_pipeline.quality(spark, every, folder)) == sorted(want, key=repr)
     assert sum(r[0] is not None and r[0] < 60 for r in want) > 55 and not any(r[0] is not None and r[0] >= 200 for r in want)
 
 
-def test_line_dedup_drops_common_lines(spark, docs):
-    space = " \t\n\x0b\x0c\r"
+def common_lines(rows):
+    """Documents by line key, and how a line becomes its key."""
     found = {}
-    for i, t, *_ in ROWS:
+    for i, t, *_ in rows:
         for line in (t or "").split("\n"):
-            found.setdefault(line.strip(space).lower(), set()).add(i)
-    want = []
-    for i, t, lang, source, _ in ROWS:
-        left = "\n".join(x for x in (t or "").split("\n") if not x.strip(space) or len(found[x.strip(space).lower()]) < 10)
+            found.setdefault(line.strip(" \t\n\x0b\x0c\r").lower(), set()).add(i)
+    return found
+
+
+def plain_lines(rows):
+    found, want = common_lines(rows), []
+    for i, t, lang, source, _ in rows:
+        keys = [(x, x.strip(" \t\n\x0b\x0c\r").lower()) for x in (t or "").split("\n")]
+        left = "\n".join(x for x, key in keys if not key or len(found[key]) < 10)
         want.append((i, left, lang, source, len(left)))
+    return want
+
+
+def test_line_dedup_drops_common_lines(spark, docs):
+    found = common_lines(ROWS)
     assert {len(found["common line"]) >= 10, len(found["few"]) < 10} == {True}
-    assert kept(corpus_pipeline.line_dedup(spark, docs, "")) == sorted(want, key=repr)
+    assert kept(corpus_pipeline.line_dedup(spark, docs, "")) == sorted(plain_lines(ROWS), key=repr)
+
+
+def plain_near(rows):
+    """Of each class of near copies the row of least id, nulls last; here no class has two different rows of that id."""
+    best = {}
+    for row, root in zip(rows, roots([shingle_set(r[1]) for r in rows])):
+        best.setdefault(root, []).append(row)
+    return [min(group, key=lambda r: (r[0] is None, r[0] or 0)) for group in best.values()]
 
 
 def plain_mix(spark, rows):
@@ -110,27 +140,33 @@ def plain_mix(spark, rows):
     return size, taken
 
 
-def test_mixing_against_plain_python(spark, docs):
-    size, taken = plain_mix(spark, [(r[0], r[1], r[3]) for r in ROWS])
+def plain_times(spark, rows):
+    size, taken = plain_mix(spark, [(r[0], r[1], r[3]) for r in rows])
     group = {}
-    for r, n, t in zip(ROWS, size, taken):
+    for r, n, t in zip(rows, size, taken):
         g = group.setdefault((r[0], r[1], r[3]), [0, 0])
         g[0], g[1] = g[0] + n, g[1] + t
     want = []
-    for r in ROWS:
+    for r in rows:
         n, t = group[r[0], r[1], r[3]]
         want += [r] * (math.floor(t / n + 0.5) if n else 0)
+    return want
+
+
+def test_mixing_against_plain_python(spark, docs):
+    want = plain_times(spark, ROWS)
     assert any(r[0] == 80 for r in want) and max(Counter(want).values()) <= 3 * 12
     assert kept(corpus_pipeline.mixing(spark, docs, "")) == sorted(want, key=repr)
 
 
-def test_packing_holds_every_id_once(spark, docs):
+def check_packed(rows, pieces):
+    """The pieces hold each id of the rows once, and the sequences are full up to a power of two."""
     tok = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     ids = {}
-    for i, t, *_ in ROWS:
+    for i, t, *_ in rows:
         ids.setdefault(i, []).append([*tok.encode(t or "", add_special_tokens=False).ids, packing.END])
     covered, sequences = Counter(), {}
-    for r in corpus_pipeline.packing(spark, docs, "").collect():
+    for r in pieces:
         part = slice(r["start"], r["start"] + r["length"])
         assert any(len(x) == r["doc_tokens"] and zlib.crc32(np.array(x[part], "<u4").tobytes()) == r["ids_crc32"] for x in ids[r["doc_id"]])
         covered.update((r["doc_id"], r["doc_tokens"], k) for k in range(part.start, part.stop))
@@ -141,6 +177,23 @@ def test_packing_holds_every_id_once(spark, docs):
         assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and (ends[-1] & (ends[-1] - 1)) == 0 and ends[-1] <= packing.LENGTH
 
 
+def test_packing_holds_every_id_once(spark, docs):
+    check_packed(ROWS, corpus_pipeline.packing(spark, docs, "").collect())
+
+
+def test_five_stages_in_a_row(spark, docs, tmp_path):
+    """The whole pipeline over tables with nulls, repeats, near copies and poor texts: what plain Python keeps, and as often."""
+    every, folder = with_bad(spark, docs, tmp_path)
+    every.write.parquet(f"{folder}/documents.parquet")
+    rows = plain_quality(spark, every, folder)
+    for stage in (plain_lines, plain_near, lambda r: plain_times(spark, r)):
+        before, rows = rows, stage(rows)
+        assert rows and Counter(rows) != Counter(before)
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    check_packed(rows, pieces)
+    assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == Counter(r[0] for r in rows)
+
+
 def test_stages_of_empty_tables(spark, docs, tmp_path):
     folder = write_labels(spark, tmp_path, [(1, 1, 0), (2, 0, 0)])
     for name, stage in corpus_pipeline.STAGES:
