@@ -1,4 +1,4 @@
-"""Near copies by the similarity of their word shingles: MinHash bands find candidates, whole shingle sets decide."""
+"""Near copies by the similarity of their word shingles: SimHash fingerprints and MinHash bands find candidates, whole shingle sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._common import batches, materialise
 from .components import connected_components
-from .simhash import BLOCK, SEED
+from .simhash import SEED, folded, near_links, shingle_hashes
 
 #: Four minima make a band. Sets of similarity 0.8 share one of the 16 bands in all but (1 - 0.8^4)^16 = 0.02% of cases.
 BANDS, ROWS = 16, 4
@@ -29,16 +29,7 @@ MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the different ASCII-lower-cased word shingles; a shorter text is one shingle, no words none."""
-    split = text.lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(split), max(1, len(split) - words + 1)
-    ends = np.cumsum([len(w) + 1 for w in split]) - 1
-    starts = np.r_[0, ends[:-1] + 1][:n].tolist()
-    stops = ends[min(words, len(split)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    found = [np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], dtype=np.uint64) for at in range(0, n, BLOCK)]
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -51,15 +42,17 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 def _mark(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            nodes, sigs, keys = [], [], []
+            nodes, sigs, keys, prints = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                found = shingles((text or "").encode(), words)
+                blocks = list(shingle_hashes((text or "").encode(), words))
+                prints.append(folded(blocks))
+                found = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
                 least = minima(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sigs.append(least.astype(np.uint8).tobytes())
                 keys.append((least.reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64).view(np.int64) if len(found) else [])
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "node", "sig", "keys"])
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "node", "sig", "keys", "fp"])
 
     return run
 
@@ -99,6 +92,15 @@ def _compare(least: float):
     return run
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a > b) of nodes whose fingerprints differ in at most two bits, enough of them to connect all such nodes: by the least node of each fingerprint."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    same = nodes.join(least.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    one, two = (least.select(F.col("fp").alias(n), F.col("least").alias(f"{n}_node")) for n in "ab")
+    near = near_links(nodes.select("fp")).join(one, "a").join(two, "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    return same.unionByName(near).filter("a > b")
+
+
 def _tiles(rows: DataFrame, sets: DataFrame, keys: list[str], least: float) -> DataFrame:
     return rows.join(sets, "node").select(*keys, "node", "root", "side", "sig", "hashes").groupBy(*keys).applyInArrow(_compare(least), "a long, b long")
 
@@ -110,22 +112,23 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int
     and a table (node, root, best) with one row per different set: root names the class, best is the class's first row
     as (no id, doc_id, mark, node). Texts without words are one class. Equal sets are one node, whatever their number.
 
-    Candidates share a band. Bands of up to ``bucket`` sets give pairs. Larger ones give no pairs: their sets meet in
+    Candidates have SimHash fingerprints within two bits, as op2 finds them, or share a band, which most sets of that
+    similarity do whose fingerprints are further apart. Bands of up to ``bucket`` sets give pairs. Larger ones give no pairs: their sets meet in
     blocks of ``block``, each in the largest band it is in; then, in every band that is still of several classes, the
     sets outside the largest class meet all others, tile by tile. A pair in one class already is not compared.
     """
     made = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", node long, sig binary, keys array<long>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", node long, sig binary, keys array<long>, fp long"
     marked = materialise(made.mapInArrow(_mark(words), schema), "marked")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "node")
-    nodes = materialise(marked.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialise(marked.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp")), "nodes")
 
     keyed = nodes.select("node", F.posexplode("keys").alias("slot", "key"))
     stats = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(keyed.join(stats, ["slot", "key"]), "bands")
     small = met.filter(F.col("n") <= bucket).groupBy("slot", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> named_struct('a', y, 'b', x))))")).alias("p")).select("p.a", "p.b")
-    pairs = materialise(pairs.distinct(), "pairs")
+    pairs = materialise(pairs.unionByName(fingerprint_pairs(nodes.filter("size(keys) > 0"))).distinct(), "pairs")
     hot = met.filter(F.col("n") > bucket)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
@@ -156,7 +159,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int
 
     classes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     best = classes.groupBy("root").agg(F.min("first").alias("best"))
-    return marked.drop("sig", "keys"), classes.join(best, "root").select("node", "root", "best")
+    return marked.drop("sig", "keys", "fp"), classes.join(best, "root").select("node", "root", "best")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

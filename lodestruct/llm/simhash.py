@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,21 +19,32 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash of the ASCII-lower-cased word shingles of ``text``; no words: 0."""
+def shingle_hashes(text: bytes, words: int = 3) -> Iterator[np.ndarray]:
+    """64-bit hashes of the ASCII-lower-cased word shingles of ``text``, repeats included, BLOCK at a time; a shorter text is one shingle, no words none."""
     split = text.lower().split()
     if not split:
-        return 0
+        return
     joined, n = b" ".join(split), max(1, len(split) - words + 1)
     ends = np.cumsum([len(w) + 1 for w in split]) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[min(words, len(split)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], dtype="<u8")
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], dtype="<u8")
+
+
+def folded(blocks: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of hashes: a bit is set where over half of them have it; of none: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """64-bit SimHash of the word shingles of ``text``; no words: 0."""
+    return folded(shingle_hashes(text, words))
 
 
 def _fingerprints(words: int):
