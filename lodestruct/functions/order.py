@@ -17,6 +17,11 @@ def _before(of: str, w) -> Column:
     return F.coalesce(F.sum(of).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
+def tasks(df: DataFrame) -> int:
+    """The session's number of tasks of an exchange; rows dealt by an explicit number stay in so many tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def running_sum(df: DataFrame, key: str, values: dict[str, Column], exclusive: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with, for each name, the sum of its column over all rows of smaller ``key`` (and, if not exclusive, its own), within each group ``by``.
 

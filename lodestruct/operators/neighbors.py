@@ -13,13 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.order import running_sum
 from ..functions.vectors import cell_inverse, cell_volume, column_norms, dot, elements, minimum_image, norm, row_times, to_fractional, vec
 from ..structures import POSITION, StructureSet
+from . import small
 
-#: Systems of up to so many atoms are not worth an estimate; what a row that is repeated for a bin costs, in distances.
-SMALL, REPEAT = 16, 4.0
+#: Systems of up to so many atoms are searched in a row each; what a row that is repeated for a bin costs, in distances.
+SMALL, REPEAT = 512, 4.0
 #: Bins of a system at most, whatever its volume.
 MAX_BINS = 1 << 20
 GEOMETRY = ("dx", "dy", "dz", "r")
@@ -161,11 +163,42 @@ def search_costs(ss: StructureSet, cutoff: float | str, sizes: DataFrame | None
     return s.select("system_id", (size * size * (1 + images)).alias("naive"), (REPEAT * size * around + size * size * inside).alias("grid"))
 
 
+def _in_rows(ss: StructureSet, cutoff: float | str, half: bool, carry: Sequence[str], binned: bool, targets: DataFrame | None) -> tuple[DataFrame | None, StructureSet | None]:
+    """Pairs of systems of few atoms, and the systems that are left; None where there are none."""
+    if not isinstance(ss.atoms.schema["atom_id"].dataType, T.IntegralType):
+        return None, ss
+    few, many = small.split_by_size(ss, SMALL)
+    aim = None
+    if targets is not None:
+        aim, own = "_aim", targets.select("system_id", "atom_id", F.lit(True).alias("_aim")).distinct()
+        few = few.with_(atoms=few.atoms.join(own, ["system_id", "atom_id"], "left"))
+    return small.pairs(few, grid_spec(few.systems, cutoff), _length(cutoff), half, carry, binned, aim), many
+
+
+def _joined(ss: StructureSet, cutoff: float | str, half: bool, carry: Sequence[str], method: str | None, targets: DataFrame | None) -> DataFrame:
+    """Pairs by joins: of all atoms of a system, or of those in neighbouring bins."""
+    ways = {"naive": _naive, "grid": _grid}
+    of = {method: ss.atoms}
+    if method is None:
+        binned = search_costs(ss, cutoff).select("system_id", (F.col("grid") < F.col("naive")).alias("_bins"))
+        some, every = binned.agg(F.bool_or("_bins"), F.bool_and("_bins")).first()
+        of = {"naive": ss.atoms}
+        if some:
+            # a join, not a window: the counts are summed before they are dealt, and a large system's atoms can be split
+            of = {"grid": ss.atoms} if every else {m: ss.atoms.join(binned.filter(c).select("system_id"), "system_id", "left_semi") for m, c in (("naive", ~F.col("_bins")), ("grid", F.col("_bins")))}
+
+    def aimed(side: DataFrame) -> DataFrame:
+        return side if targets is None else side.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")
+
+    return reduce(lambda x, y: x.unionByName(y), [ways[m](ss.with_(atoms=side), cutoff, half, aimed(side), carry) for m, side in of.items()])
+
+
 def neighbor_pairs(ss: StructureSet, cutoff: float | str, pbc: bool = True, half: bool = False, method: str | None = None, targets: DataFrame | None = None, with_geometry: bool = True, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs within ``cutoff``: (system_id, i, j, sx, sy, sz) and, with geometry, dx, dy, dz, r.
 
-    method "naive" joins all atoms of a system, "grid" bins them; by default ``search_costs`` decides for each
-    system, so a large one among many small ones is binned and the small ones are not.
+    Systems of up to SMALL atoms are searched in a row each, without a row for each two atoms or bin. For the others
+    method "naive" joins all atoms of a system, "grid" bins them (and the small ones' atoms in their row); by default
+    ``search_costs`` decides for each system.
     ``targets`` (system_id, atom_id) restricts i. ``strict`` raises where an active pair has distance 0. ``half``
     keeps one direction: i < j, or a positive shift for an atom and its own image. Columns of atoms named in ``carry``
     come along as i_<name> and j_<name>, which spares a join for them later. A cutoff that is a string names a column of
@@ -179,24 +212,11 @@ def neighbor_pairs(ss: StructureSet, cutoff: float | str, pbc: bool = True, half
         ss = ss.with_(systems=ss.systems.withColumn("pbc", F.array(*[F.lit(False)] * 3)))
     if method not in (None, "naive", "grid"):
         raise ValueError(f"no such method: {method}")
-    ways = {"naive": _naive, "grid": _grid}
-    of = {method: ss.atoms}
-    if method is None:
-        # a narrow count tells whether there are systems of either kind; only then are both joins planned
-        n = ss.atoms.groupBy("system_id").agg(F.count("*").alias("_size"))
-        of = {"naive": ss.atoms}
-        if (n.agg(F.max("_size")).first()[0] or 0) > SMALL:
-            costs = search_costs(ss, cutoff, n)
-            binned = costs.select("system_id", (F.col("grid") < F.col("naive")).alias("_bins"))
-            some, every = binned.agg(F.bool_or("_bins"), F.bool_and("_bins")).first()
-            if some:
-                # a join, not a window: the counts are summed before they are dealt, and a large system's atoms can be split
-                of = {"grid": ss.atoms} if every else {m: ss.atoms.join(binned.filter(c).select("system_id"), "system_id", "left_semi") for m, c in (("naive", ~F.col("_bins")), ("grid", F.col("_bins")))}
-
-    def aimed(side: DataFrame) -> DataFrame:
-        return side if targets is None else side.join(targets.select("system_id", "atom_id").distinct(), ["system_id", "atom_id"], "left_semi")
-
-    pairs = reduce(lambda x, y: x.unionByName(y), [ways[m](ss.with_(atoms=side), cutoff, half, aimed(side), carry) for m, side in of.items()])
+    found, ss = _in_rows(ss, cutoff, half, carry, method == "grid", targets)
+    if ss is not None:
+        many = _joined(ss, cutoff, half, carry, method, targets)
+        found = many if found is None else found.unionByName(many)
+    pairs = found
     if strict:
         pairs = pairs.withColumn("r", F.when(F.col("r") == 0, F.raise_error(F.lit("two atoms of a pair coincide"))).otherwise(F.col("r")))
     return pairs if with_geometry else pairs.drop(*GEOMETRY)
