@@ -42,6 +42,8 @@ def running_sum(df: DataFrame, key: str, values: dict[str, Column], exclusive: b
         inner = sums.withColumns({f"_o_{n}": _before(f"_s_{n}", W.partitionBy("_r2").orderBy("_r1")) for n in names})
         bases = inner.join(top, "_r2").select("_r1", *[(F.col(f"_a_{n}") + F.col(f"_o_{n}")).alias(f"_b_{n}") for n in names])
     own = W.partitionBy(*by, "_r1").orderBy(key).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    # dealt by a number that is not lowered afterwards, as what a task holds would grow with the rows that are put together for it
+    d = d.repartition(tasks(df), *by, "_r1")
     d = d.withColumns({f"_o_{n}": F.coalesce(F.sum(f"_v_{n}").over(own), F.lit(0)) for n in names}).join(bases, [*by, "_r1"])
     return d.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.order import dense_index, running_sum
+from ..functions.order import dense_index, running_sum, tasks
 from ..functions.vectors import cell_inverse, elements, norm, row_times, to_cartesian, to_fractional, vec
 from ..structures import FORCE, KEYS, POSITION, VELOCITY, StructureSet, without
 
@@ -114,7 +114,8 @@ def concat_all(sets: Sequence[StructureSet], fill: float | None = 0) -> Structur
     n = ids.groupBy("_set").agg(F.count("*").alias("n"))
     base = n.select("_set", F.coalesce(F.sum("n").over(W.orderBy("_set").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each set
     ids = ids.join(F.broadcast(base), "_set").select("_set", "system_id", (F.col("_base") + F.col("_local")).alias("_new"))
-    return StructureSet(**{level: df.join(ids, ["_set", "system_id"]).withColumn("system_id", F.col("_new")).select([c for c in df.columns if c != "_set"]) for level, df in tagged.items()})
+    # dealt by a number that is not lowered afterwards, so what a task sorts for the join stays small
+    return StructureSet(**{level: df.repartition(tasks(df), "_set", "system_id").join(ids, ["_set", "system_id"]).withColumn("system_id", F.col("_new")).select([c for c in df.columns if c != "_set"]) for level, df in tagged.items()})
 
 
 def add_key(ss: StructureSet, key: str, df: DataFrame, level: str, overwrite: bool = False) -> StructureSet:
