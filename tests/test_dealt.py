@@ -24,3 +24,13 @@ def test_concatenated_sets_are_dealt_by_number(spark):
     got = O.concat_all([one(4), one(3)]).atoms
     assert DEALT in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(s, a) for s in range(7) for a in range(2)]
+
+
+def test_a_store_round_trip_keeps_its_view_once(spark, sf, monkeypatch):
+    from lodestruct.plans import data
+
+    kept, levels = [], []
+    real = StructureSet.persist
+    monkeypatch.setattr(StructureSet, "persist", lambda ss: kept.append(1) or levels.append(real(ss)) or levels[-1])
+    assert data.store_round_trip(spark, sf).count() > 0
+    assert kept == [1] and not levels[0].atoms.is_cached
