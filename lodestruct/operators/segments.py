@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cell_volume, dot, norm, outer, row_times, vec
@@ -27,6 +28,17 @@ def per_system(df: DataFrame, exprs: dict[str, Column], key: str = "system_id",
     return out if empty is None else out.withColumns({n: F.coalesce(n, F.lit(empty)) for n in exprs})
 
 
+def per_system_in_order(df: DataFrame, exprs: dict[str, Column], order: str, key: str = "system_id", of: DataFrame | None = None, empty: float | None = 0) -> DataFrame:
+    """``per_system`` with the rows of a key taken one after the other by ``order``, which is unique in its key and not null.
+
+    Sums of doubles depend on the order in which rows come, and after an exchange that is another one in each run; where a
+    sum is then rounded, its last bit decides a half.
+    """
+    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.select(key, order, *[c.over(w).alias(n) for n, c in exprs.items()])
+    return per_system(rows, {n: F.max_by(n, order) for n in exprs}, key, of, empty)
+
+
 # What the functions below aggregate, by name; several of them go into one pass with ``per_system``.
 
 

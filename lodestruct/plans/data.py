@@ -149,7 +149,8 @@ SELECT system_id, a || ',' || n || ',' || (n + 1) || ',' || n || ',' || b || ','
 def voigt(spark, d):
     """A stress of six made from each system's atoms, as three by three."""
     ss = views.structures(spark, d)
-    x = S.per_system(ss.atoms, {"a": F.sum(F.col("fx") * F.col("x")), "b": F.sum(F.col("fy") * F.col("y") * 100), "c": F.sum(F.col("fz") * F.col("z_pos") * 100), "n": F.count("*")}, of=ss.systems)
+    # added by atom id, as in SQL: a sum near a half is rounded by its last bit
+    x = S.per_system_in_order(ss.atoms, {"a": F.sum(F.col("fx") * F.col("x")), "b": F.sum(F.col("fy") * F.col("y") * 100), "c": F.sum(F.col("fz") * F.col("z_pos") * 100), "n": F.count("*")}, "atom_id", of=ss.systems)
     # halves to the even side, as a cast to an integer does in SQL
     six = F.array(*[F.rint(F.col(c)).cast("long") for c in "abc"], F.col("n") + 2, F.col("n") + 1, F.col("n"))
     return x.select("system_id", F.array_join(voigt_to_matrix(six).cast("array<string>"), ",").alias("stress"))
