@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import bspline, bspline_slope, erfc, switch_c2, switch_c2_slope
 from ..functions.vectors import cell_inverse, cell_volume, column_norms, dot, elements, row_times, to_fractional, vec
@@ -446,6 +447,31 @@ def dispersion_d3(pairs: DataFrame, atoms: DataFrame, elements_: DataFrame, grid
     return _potential(p, energy, (F.col("c6") * slope - (F.col("i_by_cn") + F.col("j_by_cn")) * closer) / r, out, False)
 
 
+def dispersion(ss: StructureSet, cutoff: float | str, elements_: DataFrame, grid: DataFrame, a1: float = 0.4, a2: float = 4.5, s6: float = 1.0, s8: float = 1.0, k1: float = 16.0, k3: float = 4.0, switch: tuple[float, float] | None = None, out: str = "energy") -> DataFrame:
+    """``dispersion_d3`` over all pairs within ``cutoff``, a number or a column of systems.
+
+    Systems of few atoms do all of it in a row each: pairs, coordination numbers and sums; no pair is shuffled. For these
+    both parameter tables, without nulls, are collected and go with the tasks. Atom ids are unique in their system.
+    """
+    from .neighbors import _length, grid_spec, neighbor_pairs
+
+    if out not in ("energy", "atom_energy", "forces", "virial"):
+        raise ValueError("out must be energy, atom_energy, forces or virial")
+    if isinstance(cutoff, str):
+        ss = ss.with_(systems=ss.systems.filter(F.col(cutoff) > 0))
+    elif cutoff <= 0:
+        raise ValueError("cutoff must be positive")
+    numbers = dict(a1=a1, a2=a2, s6=s6, s8=s8, k1=k1, k3=k3, switch=switch)
+    few, many = small.split_by_size(ss, FEW) if isinstance(ss.atoms.schema["atom_id"].dataType, T.IntegralType) else (None, ss)
+    parts = []
+    if few is not None:
+        tables = [tuple(map(tuple, t.select(*names).collect())) for t, names in ((elements_, ("z", "rcov", "r4r2")), (grid, ("zi", "zj", "cni", "cnj", "c6")))]
+        parts.append(small.dispersion(few, grid_spec(few.systems, cutoff), _length(cutoff), small.Dispersion(*tables, **numbers), out))
+    if many is not None:
+        parts.append(dispersion_d3(neighbor_pairs(many, cutoff, carry=("z",)), many.atoms, elements_, grid, out=out, **numbers))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stress(systems: DataFrame, virial_: DataFrame) -> DataFrame:
     """(system_id, stress): minus the virial over the volume."""
     s = systems.select("system_id", cell_volume(F.col("cell")).alias("v")).join(virial_, "system_id")
